@@ -2,6 +2,7 @@
 
 from tabellion.plans import (  # noqa: F401  (importing a module registers its queries)
     estate_queries,
+    profile_queries,
     question_queries,
 )
 from tabellion.plans.registry import ORACLES, QUERIES
