@@ -67,6 +67,12 @@ def present(*candidates: Column) -> Column:
     return F.array_compact(F.array(*candidates))
 
 
+def plain_number(value: Column, digits: int = 4) -> Column:
+    """A double as text without an exponent and with at least one decimal."""
+    fixed = value.cast(f"decimal(30,{digits})").cast("string")
+    return F.regexp_replace(fixed, r"(\.[0-9]+?)0+$", "$1")
+
+
 def stable_id(*parts: Column | str) -> Column:
     """Reproducible row identity: a digest of the identifying parts."""
     return F.sha2(F.concat_ws("|", *parts), 256)

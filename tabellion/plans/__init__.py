@@ -1,8 +1,10 @@
 """Queries over the test tables, each paired with an independent SQL oracle."""
 
 from tabellion.plans import (  # noqa: F401  (importing a module registers its queries)
+    enrich_queries,
     estate_queries,
     profile_queries,
+    quality_queries,
     question_queries,
 )
 from tabellion.plans.registry import ORACLES, QUERIES
