@@ -3,6 +3,7 @@
 from tabellion.plans import (  # noqa: F401  (importing a module registers its queries)
     enrich_queries,
     estate_queries,
+    policy_queries,
     profile_queries,
     quality_queries,
     question_queries,

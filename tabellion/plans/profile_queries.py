@@ -103,7 +103,7 @@ def profile_samples(e: Estate) -> DataFrame:
     )
 
 
-def _pattern_hits(table: str, column: str, kind: str) -> str:
+def pattern_hits(table: str, column: str, kind: str) -> str:
     hits = ", ".join(
         f"COUNT(*) FILTER (WHERE regexp_matches({strip(shown('v', kind))}, '{p}')) AS {name}" for name, p in VALUE_PATTERNS.items()
     )
@@ -115,7 +115,7 @@ def _pattern_hits(table: str, column: str, kind: str) -> str:
 
 @query(
     "profile_patterns",
-    "\nUNION ALL\n".join(_pattern_hits("orders", c, k) for c, k in SCHEMAS["orders"]),
+    "\nUNION ALL\n".join(pattern_hits("orders", c, k) for c, k in SCHEMAS["orders"]),
 )
 def profile_patterns(e: Estate) -> DataFrame:
     found = profile.profile_table(e.table("orders"), "orders", patterns_from="values")
