@@ -9,6 +9,7 @@ summary row per (group, slice) that carries the state in from the earlier slices
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -39,7 +40,13 @@ class OrderedGroups:
         self.split = not counts.filter(F.col("n") > max_group_rows).limit(1).isEmpty()
         self.frame = self._slices(df) if self.split else df
 
-    def row_number(self, name: str) -> DataFrame:
+    def over(self, frame: DataFrame) -> OrderedGroups:
+        """The same groups, order and slices over a frame derived row by row from this one."""
+        derived = copy.copy(self)
+        derived.frame = frame
+        return derived
+
+    def row_number(self, name: str, keep_slices: bool = False) -> DataFrame:
         local = F.row_number().over(self._window()).cast("bigint")
         if not self.split:
             return self.frame.withColumn(name, local)
@@ -50,7 +57,7 @@ class OrderedGroups:
         return (
             self._with_carry(self.frame.withColumn(name, local), before)
             .withColumn(name, F.col(name) + F.col("_before"))
-            .drop("_before", SLICE)
+            .drop("_before", *([] if keep_slices else [SLICE]))
         )
 
     def dense_rank(self, name: str) -> DataFrame:
@@ -65,7 +72,7 @@ class OrderedGroups:
         on = [*self.keys, column]
         return _null_safe_join(self.frame.drop(SLICE), ranked, on)
 
-    def last_known(self, columns: Sequence[str]) -> DataFrame:
+    def last_known(self, columns: Sequence[str], keep_slices: bool = False) -> DataFrame:
         """Each column replaced by its latest non-null value up to and including the row."""
         upto = self._window().rowsBetween(Window.unboundedPreceding, 0)
         running = {c: F.last(c, ignorenulls=True).over(upto) for c in columns}
@@ -82,7 +89,7 @@ class OrderedGroups:
         )
         merged = self._with_carry(self.frame.withColumns(running), carried)
         merged = merged.withColumns({c: F.coalesce(F.col(c), F.col(f"_in_{c}")) for c in columns})
-        return merged.drop(SLICE, *[f"_in_{c}" for c in columns])
+        return merged.drop(*([] if keep_slices else [SLICE]), *[f"_in_{c}" for c in columns])
 
     def previous(self, columns: dict[str, str]) -> DataFrame:
         """Adds ``name -> value of column`` in the preceding row of the group (null for the first)."""

@@ -12,23 +12,28 @@ from tabellion.plans.oracle import with_tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {}
 
 
-def register(name: str, build: Callable[[Estate], DataFrame], oracle: str | None = None, recursive: bool = False) -> None:
+def oracles() -> dict[str, str]:
+    """The oracle of every query that has one, as complete SQL."""
+    return {name: with_tables(sql) for name, sql in _ORACLES.items()}
+
+
+def register(name: str, build: Callable[[Estate], DataFrame], oracle: str | None = None) -> None:
     """Adds a query over the bound estate; ``oracle`` may use the shared table expressions."""
     if name in QUERIES:
         raise ValueError(f"query {name} is registered twice")
     QUERIES[name] = lambda spark, folder: build(Estate(spark, folder))
     if oracle is not None:
-        ORACLES[name] = with_tables(oracle, recursive)
+        _ORACLES[name] = oracle
 
 
-def query(name: str, oracle: str | None = None, recursive: bool = False):
+def query(name: str, oracle: str | None = None):
     """Decorator form of ``register``."""
 
     def add(build: Callable[[Estate], DataFrame]) -> Callable[[Estate], DataFrame]:
-        register(name, build, oracle, recursive)
+        register(name, build, oracle)
         return build
 
     return add
