@@ -217,7 +217,7 @@ def gold(e: Estate) -> DataFrame:
 define(
     "lineage_verdicts_t",
     """SELECT target_table, target_column, COUNT(DISTINCT source_table || source_column) AS expected,
-    CAST(CASE WHEN CAST(target_column[2:] AS BIGINT) % 37 = 0 AND COUNT(DISTINCT source_column) = 2 THEN 1 ELSE 0 END AS BIGINT) AS missing FROM column_edges_t GROUP BY ALL""",
+    CAST(CASE WHEN CAST(target_column[2:] AS BIGINT) % 37 = 0 AND COUNT(DISTINCT source_column) = 2 THEN 1 ELSE 0 END AS BIGINT) AS missing FROM column_edges_t GROUP BY target_table, target_column""",
 )
 
 

@@ -44,14 +44,14 @@ def money_mean(expression: str) -> str:
     """Average to two digits, half up, in integer arithmetic on cents."""
     cents = f"SUM(CAST(CAST({expression} AS DECIMAL(18,2)) * 100 AS BIGINT))"
     n = f"COUNT({expression})"
-    return f"(SIGN({cents}) * CAST((2 * ABS({cents}) + {n}) // (2 * {n}) AS DOUBLE) / 100)"
+    return f"(SIGN({cents}) * CAST((2 * ABS({cents}) + {n}) // NULLIF(2 * {n}, 0) AS DOUBLE) / 100)"
 
 
 def half_up(part: str, whole: str, digits: int, scale: int = 1) -> str:
     """``scale * part / whole`` of non-negative integers, rounded half up in integer arithmetic."""
     unit = 10**digits
     top = f"CAST({part} AS HUGEINT) * {scale * unit}"
-    return f"(CAST((2 * {top} + ({whole})) // (2 * ({whole})) AS DOUBLE) / {unit})"
+    return f"(CAST((2 * {top} + ({whole})) // NULLIF(2 * ({whole}), 0) AS DOUBLE) / {unit})"
 
 
 define("places", "SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")

@@ -38,7 +38,7 @@ def column_profile(table: str, ordinal: int, column: str, kind: str, values: str
     source = values or f"SELECT {column} AS v FROM {table}"
     mean = (
         "(SIGN(SUM(CAST(v AS DECIMAL(28,6)))) * CAST((2 * ABS(SUM(CAST(CAST(v AS DECIMAL(18,6)) * 1000000 AS HUGEINT))) + 10000 * COUNT(v))"
-        " // (20000 * COUNT(v)) AS DOUBLE) / 100)"
+        " // NULLIF(20000 * COUNT(v), 0) AS DOUBLE) / 100)"
         if kind in NUMBERS
         else "CAST(NULL AS DOUBLE)"
     )

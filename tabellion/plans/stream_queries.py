@@ -1,0 +1,77 @@
+"""Streaming queries, run to the end of the test tables and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tabellion.plans.binding import Estate
+from tabellion.plans.catalog_queries import asset_changes
+from tabellion.plans.evaluate_queries import ADMISSION_SQL
+from tabellion.plans.policy_queries import STATUS_COLUMNS, proposals
+from tabellion.plans.registry import query
+from tabellion.session import scratch_path
+from tabellion.streaming import feeds
+
+CHECKS = {"low_value": "value < 1.0", "errors": "event_type = 'error'", "blank_props": "props IS NULL"}
+HOURLY = """SELECT date_trunc('hour', ts) AS hour, COUNT(*) AS rows, COUNT(*) FILTER (WHERE value < 1.0) AS low_value, COUNT(*) FILTER (WHERE event_type = 'error') AS errors,
+    CAST(0 AS BIGINT) AS blank_props FROM events GROUP BY ALL"""
+
+
+class Feed(Estate):
+    """The estate with its tables read as streams."""
+
+    def table(self, name: str) -> DataFrame:
+        return feeds.read_feed(self.spark, self.folder, f"{name}.parquet")
+
+
+def stream(e: Estate) -> Feed:
+    return Feed(e.spark, e.folder)
+
+
+@query("quality_hourly", HOURLY)
+def quality_hourly(e: Estate) -> DataFrame:
+    return feeds.hourly_quality(e.table("events"), "ts", CHECKS)
+
+
+@query(
+    "stream_quality_hourly",
+    f"SELECT * FROM ({HOURLY}) WHERE hour + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)",
+)
+def stream_quality_hourly(e: Estate) -> DataFrame:
+    """The hours that the watermark has closed."""
+    path = scratch_path(e.spark, "hourly")
+    feeds.run_available(feeds.hourly_quality(stream(e).table("events"), "ts", CHECKS), path)
+    return feeds.stored(e.spark, path)
+
+
+@query("stream_policy_routing", f"SELECT {', '.join(STATUS_COLUMNS)} FROM routed_t")
+def stream_policy_routing(e: Estate) -> DataFrame:
+    path = scratch_path(e.spark, "routing")
+    feeds.run_available(feeds.routed_proposals(proposals(stream(e))).select(*STATUS_COLUMNS), path)
+    return feeds.stored(e.spark, path)
+
+
+@query(
+    "stream_asset_current",
+    """SELECT asset_id, description, owner, certification_status, quality_score, version FROM asset_states_t QUALIFY ROW_NUMBER() OVER (PARTITION BY asset_id ORDER BY version DESC) = 1""",
+)
+def stream_asset_current(e: Estate) -> DataFrame:
+    path = scratch_path(e.spark, "changes")
+    feeds.versioned_changes(asset_changes(stream(e)), ["ts", "event_id"], "ts", path).awaitTermination()
+    return e.spark.read.parquet(f"{path}/current/0").drop("created_at", "updated_at")
+
+
+@query("stream_admission_control", ADMISSION_SQL)
+def stream_admission_control(e: Estate) -> DataFrame:
+    path = scratch_path(e.spark, "admission")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = e.spark.conf.get(provider, None)
+    e.spark.conf.set(provider, feeds.ROCKSDB)
+    try:
+        feeds.run_available(feeds.admitted(stream(e).table("events"), "user_id", "ts", "event_id", 3, 86_400), path)
+    finally:
+        if before is None:
+            e.spark.conf.unset(provider)
+        else:
+            e.spark.conf.set(provider, before)
+    return feeds.stored(e.spark, path).select("user_id", "event_id", F.col("accepted"))
