@@ -35,17 +35,15 @@ def state_diff(before: Column, after: Column) -> Column:
 
 
 def diff_text(before: Column, after: Column) -> Column:
-    entries = F.array_sort(F.map_keys(state_diff(before, after)))
-    changes = state_diff(before, after)
+    """Canonical text of the diff: changed keys of ``after`` in key order, or that the asset was created."""
+
+    def old(entry: Column) -> Column:
+        return F.try_element_at(before, entry["key"])
+
+    changed = F.filter(F.array_sort(F.map_entries(after)), lambda x: ~old(x).eqNullSafe(x["value"]))
     shown = F.transform(
-        entries,
-        lambda k: F.concat(
-            k,
-            F.lit(":"),
-            F.coalesce(F.element_at(changes, k)["before"], F.lit("null")),
-            F.lit(">"),
-            F.coalesce(F.element_at(changes, k)["after"], F.lit("null")),
-        ),
+        changed,
+        lambda x: F.concat(x["key"], F.lit(":"), F.coalesce(old(x), F.lit("null")), F.lit(">"), F.coalesce(x["value"], F.lit("null"))),
     )
     return F.when(before.isNull(), F.lit("created")).otherwise(F.array_join(shown, ","))
 
@@ -95,32 +93,37 @@ def append(
     start = F.when(continues, F.col("_head")).otherwise(segment_start(F.col("asset_id"), F.col("segment")))
     placed = numbered.withColumn("segment", segment).withColumn("_start", start)
     ready = placed.withColumn("_body", record_body())
-    kept = [f for f in ready.schema.fields if not f.name.startswith("_")]
-    schema = T.StructType([*kept, T.StructField("prev_hash", T.StringType()), T.StructField("curr_hash", T.StringType())])
-    narrow = ready.select("asset_id", "segment", "record_id", "_body", "_start")
-    links = narrow.groupBy("asset_id", "segment").applyInPandas(
-        _chain, f"asset_id {narrow.schema['asset_id'].dataType.simpleString()}, record_id bigint, prev_hash string, curr_hash string"
+    return _chained(ready, [c for c in ready.columns if not c.startswith("_")])
+
+
+def _chained(ready: DataFrame, columns: list[str]) -> DataFrame:
+    """Hashes each segment by a fold over its records (at most ``segment_rows``) in record order.
+
+    Whole records travel through the segment's array, so nothing has to be joined back. Maps
+    travel as entry arrays, because rows that are sorted may not hold maps.
+    """
+    maps = [f.name for f in ready.schema.fields if isinstance(f.dataType, T.MapType)]
+    carried = [F.map_entries(c).alias(c) if c in maps else F.col(c) for c in columns if c != "record_id"]
+    record = F.struct("record_id", "_start", "_body", *carried)
+    segments = ready.groupBy("asset_id", "segment").agg(F.array_sort(F.collect_list(record)).alias("_records"))
+    hashes = F.aggregate(
+        "_records",
+        F.array(F.col("_records")[0]["_start"]),
+        lambda done, r: F.concat(done, F.array(_digest(r["record_id"], F.element_at(done, -1), r["_body"]))),
     )
-    return ready.drop("_body", "_start", "_head", "_last").join(links, ["asset_id", "record_id"]).select([f.name for f in schema.fields])
-
-
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """Hashes one segment (at most ``segment_rows`` records) in record order."""
-    ordered = rows.sort_values("record_id")
-    previous = ordered["_start"].iloc[0]
-    before, after = [], []
-    for record_id, body in zip(ordered["record_id"], ordered["_body"], strict=True):
-        before.append(previous)
-        previous = hashlib.sha256(f"{record_id}|{previous}|{body}".encode()).hexdigest()
-        after.append(previous)
-    return pd.DataFrame(
-        {
-            "asset_id": ordered["asset_id"].to_numpy(),
-            "record_id": ordered["record_id"].to_numpy(),
-            "prev_hash": before,
-            "curr_hash": after,
-        }
+    size = F.size("_records")
+    linked = F.arrays_zip(
+        F.col("_records").alias("r"),
+        F.slice("_hashes", F.lit(1), size).alias("prev_hash"),
+        F.slice("_hashes", F.lit(2), size).alias("curr_hash"),
     )
+    listed = segments.withColumn("_hashes", hashes).select(F.inline(linked).alias("r", "prev_hash", "curr_hash"))
+    fields = [F.map_from_entries(F.col(f"r.{c}")).alias(c) if c in maps else F.col(f"r.{c}").alias(c) for c in columns]
+    return listed.select(*fields, "prev_hash", "curr_hash")
+
+
+def _digest(record_id: Column, previous: Column, body: Column) -> Column:
+    return F.sha2(F.concat_ws("|", record_id.cast("string"), previous, body), 256)
 
 
 def verify(records: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -133,7 +136,7 @@ def verify(records: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     window = Window.partitionBy("asset_id", "_segment").orderBy("record_id")
     first = (F.col("record_id") - 1) % segment_rows == 0
     expected = F.when(first, segment_start(F.col("asset_id"), F.col("_segment"))).otherwise(F.col("_before"))
-    recomputed = F.sha2(F.concat_ws("|", F.col("record_id").cast("string"), "prev_hash", record_body()), 256)
+    recomputed = _digest(F.col("record_id"), F.col("prev_hash"), record_body())
     gap = ~first & ~F.col("_id_before").eqNullSafe(F.col("record_id") - 1)
     reason = (
         F.when(recomputed != F.col("curr_hash"), "CONTENT")

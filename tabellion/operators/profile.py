@@ -1,15 +1,19 @@
 """Column profiles: one row per column, for any number of tables in one plan.
 
-Columns are grouped into type families; each family reads only its own columns, turns them
-into narrow (table, column, value) rows, and counts the values with a map-side combine. Row
-count, nulls, distinct values, bounds, mean, samples and duplicates all follow from those
-counts, so no row is widened and no column needs a scan of its own.
+Columns are grouped into type families. Each family reads only its own columns, turns them
+into narrow (column number, value) rows, and counts the values with a map-side combine. Row
+count, nulls, distinct values, bounds, mean and samples all follow from those counts, so no
+row is widened and no column needs a scan of its own.
+
+Long texts are counted by digest, so the shuffle carries 64 characters per value and not the
+text; their bounds and samples come from a second pass that shuffles a few values per task.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,7 +23,8 @@ from tabellion.functions.columns import ratio
 from tabellion.functions.patterns import VALUE_PATTERNS, matches
 
 SAMPLES = 5
-NEIGHBOURS_SCHEMA = "table_name string, ordinal int, column_name string, data_type string, neighbor_columns array<string>"
+LONG_TEXT_BYTES = 256
+LISTING = "column int, table_name string, ordinal int, column_name string, data_type string, neighbor_columns array<string>"
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType)
@@ -35,25 +40,23 @@ def resolve_column(df: DataFrame, name: str) -> str:
     return name
 
 
-def value_counts(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Per type family: (table_name, column_name, value, n) over all columns of the family."""
-    narrow: dict[str, list[DataFrame]] = {}
-    for table, df in tables.items():
-        families: dict[str, list[str]] = {}
-        for field in df.schema.fields:
-            families.setdefault(_family(field.dataType), []).append(field.name)
-        for family, columns in families.items():
-            typed = df.select(*[_as_family(F.col(f"`{c}`"), family).alias(c) for c in columns])
-            rows = typed.unpivot([], columns, "column_name", "value")
-            narrow.setdefault(family, []).append(
-                rows.select(F.lit(table).alias("table_name"), "column_name", "value")
-            )
-    return {
-        family: reduce(DataFrame.unionAll, parts)
-        .groupBy("table_name", "column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        for family, parts in narrow.items()
-    }
+@dataclass(frozen=True)
+class ColumnRef:
+    """A profiled column and its number in the plan."""
+
+    number: int
+    table: str
+    name: str
+    family: str
+
+
+def value_counts(tables: Mapping[str, DataFrame]) -> tuple[list[ColumnRef], dict[str, DataFrame]]:
+    """The numbered columns, and per type family the frame (column, value, n) of counted values."""
+    columns = _numbered(tables)
+    counted = {}
+    for family in sorted({c.family for c in columns}):
+        counted[family] = _narrow(tables, columns, family).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return columns, counted
 
 
 def profile_tables(tables: Mapping[str, DataFrame], samples: int = SAMPLES, patterns_from: str = "samples") -> DataFrame:
@@ -63,17 +66,24 @@ def profile_tables(tables: Mapping[str, DataFrame], samples: int = SAMPLES, patt
     them on all distinct values, which costs a regular expression per distinct value.
     """
     spark = next(iter(tables.values())).sparkSession
-    per_family = [
-        _statistics(counts, family, samples, patterns_from) for family, counts in value_counts(tables).items()
-    ]
+    columns, counted = value_counts(tables)
+    per_family = []
+    for family, counts in counted.items():
+        stats = _statistics(counts, family, samples, patterns_from)
+        if family == "long":
+            stats = stats.join(_long_values(tables, columns, counts, samples, patterns_from), "column", "left")
+        per_family.append(stats.select(*_STATISTICS))
     found = reduce(DataFrame.unionByName, per_family)
-    listed = column_list(spark, tables)
+    numbers = {(c.table, c.name): c.number for c in columns}
+    listed = column_list(spark, tables, numbers)
     total = F.coalesce("total_rows", F.lit(0))
     nulls = F.coalesce("null_count", F.lit(0))
     distinct = F.coalesce("distinct_count", F.lit(0))
     zero = F.lit(0.0)
     none = F.array().cast("array<string>")
-    return listed.join(found, ["table_name", "column_name"], "left").select(
+    shown = F.coalesce("sample_values", none)
+    patterns = F.coalesce("detected_patterns", detected_patterns(shown))
+    return listed.join(found, "column", "left").select(
         "table_name",
         "column_name",
         "ordinal",
@@ -87,8 +97,8 @@ def profile_tables(tables: Mapping[str, DataFrame], samples: int = SAMPLES, patt
         "min_value",
         "max_value",
         "avg_value",
-        F.coalesce("sample_values", none).alias("sample_values"),
-        F.coalesce("detected_patterns", none).alias("detected_patterns"),
+        shown.alias("sample_values"),
+        patterns.alias("detected_patterns"),
         "neighbor_columns",
     )
 
@@ -100,9 +110,9 @@ def profile_table(df: DataFrame, name: str, **options) -> DataFrame:
 def profile_column(df: DataFrame, table: str, column: str, **options) -> DataFrame:
     """Profile of one column, scanning only that column; the other columns stay its neighbours."""
     actual = resolve_column(df, column)
-    listed = column_list(df.sparkSession, {table: df}).select("column_name", "neighbor_columns", "ordinal")
-    alone = profile_table(df.select(f"`{actual}`"), table, **options).drop("neighbor_columns", "ordinal")
-    return alone.join(listed, "column_name")
+    alone = profile_table(df.select(f"`{actual}`"), table, **options)
+    others = F.array(*[F.lit(c) for c in df.columns if c != actual]).cast("array<string>")
+    return alone.withColumns({"neighbor_columns": others, "ordinal": F.lit(df.columns.index(actual))})
 
 
 def profile_sketch(df: DataFrame, name: str) -> DataFrame:
@@ -125,14 +135,14 @@ def profile_sketch(df: DataFrame, name: str) -> DataFrame:
     return listed.select(F.lit(name).alias("table_name"), "c.*")
 
 
-def column_list(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+def column_list(spark: SparkSession, tables: Mapping[str, DataFrame], numbers: Mapping[tuple[str, str], int]) -> DataFrame:
     """One row per column from the schemas alone; it grows with the schema, not with the data."""
     rows = [
-        (table, i, field.name, field.dataType.simpleString(), [c for c in df.columns if c != field.name])
+        (numbers[table, field.name], table, i, field.name, field.dataType.simpleString(), [c for c in df.columns if c != field.name])
         for table, df in tables.items()
         for i, field in enumerate(df.schema.fields)
     ]
-    return spark.createDataFrame(rows, NEIGHBOURS_SCHEMA)
+    return spark.createDataFrame(rows, LISTING)
 
 
 def detected_patterns(samples: Column) -> Column:
@@ -146,8 +156,57 @@ def _matching(samples: Column, pattern: str) -> Column:
     return F.size(F.filter(samples, lambda s: matches(s, pattern)))
 
 
+_STATISTICS = [
+    "column",
+    "total_rows",
+    "null_count",
+    "distinct_count",
+    "avg_value",
+    "min_value",
+    "max_value",
+    "sample_values",
+    "detected_patterns",
+]
+
+
+def _numbered(tables: Mapping[str, DataFrame]) -> list[ColumnRef]:
+    long = _long_columns(tables)
+    columns = []
+    for table, df in tables.items():
+        for field in df.schema.fields:
+            family = "long" if (table, field.name) in long else _family(field.dataType)
+            columns.append(ColumnRef(len(columns), table, field.name, family))
+    return columns
+
+
+def _long_columns(tables: Mapping[str, DataFrame]) -> set[tuple[str, str]]:
+    """Text columns with a value longer than ``LONG_TEXT_BYTES`` (one aggregate per table, no shuffle of values)."""
+    texts = [(t, f.name) for t, df in tables.items() for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return set()
+    widest = []
+    for table, df in tables.items():
+        own = [c for t, c in texts if t == table]
+        if own:
+            cells = [F.struct(F.lit(c).alias("c"), F.max(F.octet_length(f"`{c}`")).alias("bytes")) for c in own]
+            widest.append(df.agg(F.array(*cells).alias("cells")).select(F.lit(table).alias("t"), F.inline("cells")))
+    rows = reduce(DataFrame.unionAll, widest).filter(F.col("bytes") > LONG_TEXT_BYTES).collect()
+    return {(r.t, r.c) for r in rows}
+
+
+def _narrow(tables: Mapping[str, DataFrame], columns: list[ColumnRef], family: str) -> DataFrame:
+    """(column number, value) rows of all columns of a family."""
+    parts = []
+    for table, df in tables.items():
+        own = [c for c in columns if c.table == table and c.family == family]
+        if own:
+            cells = [x for c in own for x in (F.lit(c.number), _as_family(F.col(f"`{c.name}`"), family))]
+            parts.append(df.select(F.stack(F.lit(len(own)), *cells).alias("column", "value")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def _statistics(counts: DataFrame, family: str, samples: int, patterns_from: str) -> DataFrame:
-    keys = ["table_name", "column_name"]
+    """Counts, bounds, mean and samples per column, both from the same shuffled value counts."""
     value, n = F.col("value"), F.col("n")
     known = F.when(value.isNotNull(), n)
     aggregates = [
@@ -156,40 +215,67 @@ def _statistics(counts: DataFrame, family: str, samples: int, patterns_from: str
         F.count(value).alias("distinct_count"),
         _mean(value, known, family).alias("avg_value"),
     ]
-    if family not in _COMPLEX_FREE:
-        aggregates += [F.lit(None).cast("string").alias("min_value"), F.lit(None).cast("string").alias("max_value")]
-    else:
-        aggregates += [
-            _shown(F.min(value), family).alias("min_value"),
-            _shown(F.max(value), family).alias("max_value"),
-        ]
+    if family == "long":
+        return counts.groupBy("column").agg(*aggregates)
+    none = F.lit(None).cast("string")
+    no_list = F.lit(None).cast("array<string>")
+    if family == "nested":
+        bare = counts.groupBy("column").agg(*aggregates)
+        return bare.withColumns({"min_value": none, "max_value": none, "sample_values": no_list, "detected_patterns": no_list})
+    aggregates += [_shown(F.min(value), family).alias("min_value"), _shown(F.max(value), family).alias("max_value")]
     if patterns_from == "values":
-        shown = _shown(value, family)
-        enough = F.greatest(F.lit(1), F.floor(F.count(value) / 2))
-        hits = [F.when(F.count_if(matches(shown, name)) >= enough, F.lit(name)) for name in VALUE_PATTERNS]
-        aggregates.append(F.array_compact(F.array(*hits)).alias("detected_patterns"))
-    stats = counts.groupBy(*keys).agg(*aggregates)
-    if family not in _COMPLEX_FREE:
-        empty = F.array().cast("array<string>")
-        stats = stats.withColumn("sample_values", empty)
-        return stats if patterns_from == "values" else stats.withColumn("detected_patterns", empty)
-    smallest = Window.partitionBy(*keys).orderBy("value")
-    picked = (
-        counts.filter(value.isNotNull())
-        .withColumn("_at", F.row_number().over(smallest))
+        aggregates.append(_patterns_of_all(value, _shown(value, family)).alias("detected_patterns"))
+    stats = counts.groupBy("column").agg(*aggregates)
+    if patterns_from != "values":
+        stats = stats.withColumn("detected_patterns", no_list)
+    return stats.join(_smallest(counts, samples, _shown(value, family)), "column", "left")
+
+
+def _smallest(counts: DataFrame, samples: int, shown: Column) -> DataFrame:
+    """The smallest values of each column; every task cuts to ``samples`` before the shuffle.
+
+    Nulls sort last and are dropped at the end, and ``n`` stays in the rows, so that this
+    reads the same shuffle as the statistics.
+    """
+    order = Window.partitionBy("column").orderBy(F.col("value").asc_nulls_last())
+    picked = F.when(F.col("value").isNotNull(), F.struct("_at", shown.alias("text"), "n"))
+    return (
+        counts.withColumn("_at", F.row_number().over(order))
         .filter(F.col("_at") <= samples)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_at", _shown(value, family).alias("text")))).alias("_picked"))
-        .select(*keys, F.col("_picked.text").alias("sample_values"))
+        .groupBy("column")
+        .agg(F.array_sort(F.collect_list(picked)).alias("_picked"))
+        .select("column", F.col("_picked.text").alias("sample_values"))
     )
-    joined = stats.join(picked, keys, "left")
-    if patterns_from == "values":
-        return joined
-    none = F.array().cast("array<string>")
-    return joined.withColumn("detected_patterns", detected_patterns(F.coalesce("sample_values", none)))
 
 
-_COMPLEX_FREE = ("text", "whole", "real", "exact")
+def _long_values(
+    tables: Mapping[str, DataFrame], columns: list[ColumnRef], counts: DataFrame, samples: int, patterns_from: str
+) -> DataFrame:
+    """Bounds and samples of long texts; the samples are the values with the smallest digests."""
+    long = [ColumnRef(c.number, c.table, c.name, "text") for c in columns if c.family == "long"]
+    texts = _narrow(tables, long, "text").withColumn("digest", F.sha2("value", 256))
+    picks = _smallest(counts, samples, F.col("value")).select("column", F.explode("sample_values").alias("digest"), F.lit(True).alias("_picked"))
+    marked = texts.join(F.broadcast(picks), ["column", "digest"], "left")
+    chosen = F.array_sort(F.collect_set(F.when(F.col("_picked"), F.struct("digest", "value"))))
+    bounds = marked.groupBy("column").agg(
+        F.min("value").alias("min_value"), F.max("value").alias("max_value"), chosen.alias("_chosen")
+    )
+    found = bounds.withColumn("sample_values", F.col("_chosen.value")).drop("_chosen")
+    if patterns_from != "values":
+        return found.withColumn("detected_patterns", F.lit(None).cast("array<string>"))
+    tested = texts.filter(F.col("value").isNotNull()).select(
+        "column", "digest", *[matches(F.col("value"), name).alias(name) for name in VALUE_PATTERNS]
+    )
+    enough = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2))
+    hits = [F.when(F.count_if(F.col(name)) >= enough, F.lit(name)) for name in VALUE_PATTERNS]
+    per_value = tested.dropDuplicates(["column", "digest"]).groupBy("column")
+    return found.join(per_value.agg(F.array_compact(F.array(*hits)).alias("detected_patterns")), "column", "left")
+
+
+def _patterns_of_all(value: Column, shown: Column) -> Column:
+    enough = F.greatest(F.lit(1), F.floor(F.count(value) / 2))
+    hits = [F.when(F.count_if(matches(shown, name)) >= enough, F.lit(name)) for name in VALUE_PATTERNS]
+    return F.array_compact(F.array(*hits))
 
 
 def _family(kind: T.DataType) -> str:
@@ -206,7 +292,9 @@ def _family(kind: T.DataType) -> str:
 
 def _as_family(value: Column, family: str) -> Column:
     casts = {"whole": "bigint", "real": "double", "exact": "decimal(38,10)", "text": "string"}
-    return value.cast(casts[family]) if family in casts else F.to_json(F.struct(value.alias("v")))
+    if family in casts:
+        return value.cast(casts[family])
+    return F.sha2(value, 256) if family == "long" else F.sha2(F.to_json(F.struct(value.alias("v"))), 256)
 
 
 def _shown(value: Column, family: str) -> Column:

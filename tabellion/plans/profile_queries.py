@@ -13,6 +13,7 @@ from tabellion.plans.registry import query, register
 from tabellion.plans.schemas import FLAT_TABLES, SCHEMAS
 
 NUMBERS = ("int", "bigint", "double")
+LONG_TEXTS = {("documents", "text"), ("pages", "html"), ("benchmark", "text"), ("conversations", "text")}
 
 
 def shown(expression: str, kind: str) -> str:
@@ -42,11 +43,12 @@ def column_profile(table: str, ordinal: int, column: str, kind: str, values: str
         if kind in NUMBERS
         else "CAST(NULL AS DOUBLE)"
     )
+    order = "sha256(d)" if (table, column) in LONG_TEXTS else "d"
     neighbours = ", ".join(f"'{c}'" for c, _ in SCHEMAS[table] if c != column)
     return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, CAST({ordinal} AS INTEGER) AS ordinal, '{kind}' AS data_type,
     COUNT(*) AS total_rows, COUNT(*) - COUNT(v) AS null_count, COUNT(DISTINCT v) AS distinct_count,
     {shown('MIN(v)', kind)} AS min_value, {shown('MAX(v)', kind)} AS max_value, {mean} AS avg_value,
-    (SELECT COALESCE(list({shown('d', kind)} ORDER BY d), CAST([] AS VARCHAR[])) FROM (SELECT DISTINCT v AS d FROM ({source}) WHERE v IS NOT NULL ORDER BY d LIMIT 5)) AS sample_values,
+    (SELECT COALESCE(list({shown('d', kind)} ORDER BY {order}), CAST([] AS VARCHAR[])) FROM (SELECT DISTINCT v AS d FROM ({source}) WHERE v IS NOT NULL ORDER BY {order} LIMIT 5)) AS sample_values,
     CAST([{neighbours}] AS VARCHAR[]) AS neighbor_columns FROM ({source})"""
 
 
