@@ -36,9 +36,10 @@ class OrderedGroups:
         self.keys = list(keys)
         self.order = list(order)
         self.limit = max_group_rows
-        counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
-        self.split = not counts.filter(F.col("n") > max_group_rows).limit(1).isEmpty()
-        self.frame = self._slices(df) if self.split else df
+        sizes = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
+        largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+        self.split = largest is not None and largest > max_group_rows
+        self.frame = self._slices(df, rows) if self.split else df
 
     def over(self, frame: DataFrame) -> OrderedGroups:
         """The same groups, order and slices over a frame derived row by row from this one."""
@@ -60,6 +61,17 @@ class OrderedGroups:
             .drop("_before", *([] if keep_slices else [SLICE]))
         )
 
+    def running_sum(self, column: str, name: str) -> DataFrame:
+        """Sum of ``column`` over the rows of the group up to and including the row."""
+        upto = self._window().rowsBetween(Window.unboundedPreceding, 0)
+        running = self.frame.withColumn(name, F.sum(column).over(upto))
+        if not self.split:
+            return running
+        totals = self._summary(F.sum(column).alias("_total"))
+        before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(self._earlier()), F.lit(0))).drop("_total")
+        carried = self._with_carry(running, before)
+        return carried.withColumn(name, F.col(name) + F.col("_before")).drop("_before", SLICE)
+
     def dense_rank(self, name: str) -> DataFrame:
         """Rank of the leading order column among its distinct values in the group."""
         lead = self.order[0]
@@ -115,8 +127,8 @@ class OrderedGroups:
         )
         return merged.drop(SLICE, "_at", *[f"_in_{n}" for n in columns])
 
-    def _slices(self, df: DataFrame) -> DataFrame:
-        pieces = max(2, -(-df.count() // max(1, self.limit // 2)))
+    def _slices(self, df: DataFrame, rows: int) -> DataFrame:
+        pieces = max(2, -(-rows // max(1, self.limit // 2)))
         by = [F.col(k).asc() for k in self.keys] + [_sort(o) for o in self.order]
         ranged = df.repartitionByRange(int(pieces), *by)
         return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id()))

@@ -19,22 +19,22 @@ def micros(time: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{time}`)")
 
 
-def trailing_load(df: DataFrame, client: str, time: str, seconds: int) -> DataFrame:
+def trailing_load(df: DataFrame, client: str, time: str, seconds: int, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Adds ``load``: the client's requests in the ``seconds`` up to and including each request.
 
-    Requests are counted per client and instant first. Each count then serves its own period
-    of ``seconds`` and the next one, so the window runs inside (client, period) and a busy
-    client is spread over as many groups as it has periods.
+    Requests are counted per client and instant. Each instant adds a marker where its window
+    opens; one running count over instants and markers then gives the load as the count at the
+    instant minus the count at its marker, however many requests a client has.
     """
-    span = seconds * MICROS
-    counts = df.groupBy(client, time).agg(F.count(F.lit(1)).alias("_n")).withColumn("_at", micros(time))
-    period = F.floor(F.col("_at") / span)
-    spread = counts.withColumn("_period", period).withColumn(
-        "_serves", F.explode(F.array(F.col("_period"), F.col("_period") + 1))
-    )
-    window = Window.partitionBy(client, "_serves").orderBy("_at").rangeBetween(-span + 1, 0)
-    loaded = spread.withColumn("load", F.sum("_n").over(window)).filter(F.col("_serves") == F.col("_period"))
-    return df.join(loaded.select(client, time, "load"), [client, time])
+    at = micros(time)
+    counts = df.groupBy(client, time).agg(F.count(F.lit(1)).alias("requests")).withColumn("at", at)
+    opens = F.struct((F.col("at") - seconds * MICROS).alias("at"), F.lit(0).cast("bigint").alias("requests"), F.lit(1).alias("marker"))
+    here = F.struct("at", "requests", F.lit(0).alias("marker"))
+    points = counts.select(client, time, F.explode(F.array(here, opens)).alias("p")).select(client, time, "p.*")
+    running = OrderedGroups(points, [client], ["at", "marker", time], max_group_rows).running_sum("requests", "seen")
+    signed = F.when(F.col("marker") == 1, -F.col("seen")).otherwise(F.col("seen"))
+    loads = running.groupBy(client, time).agg(F.sum(signed).alias("load"))
+    return df.join(loads, [client, time])
 
 
 def admit(
@@ -81,8 +81,7 @@ def admit(
         accepted, _ = decisions(ordered["_at"], list(state["carried"].iloc[0]), max_requests, span)
         return pd.DataFrame({client: ordered[client].to_numpy(), order: ordered[order].to_numpy(), "accepted": accepted})
 
-    keys = [client, SLICE]
-    verdicts = rows.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(decide_slice, verdict_schema)
+    verdicts = _with_state(rows, states, client).applyInPandas(decide_slice, verdict_schema)
     return df.join(verdicts, [client, order])
 
 
@@ -100,6 +99,13 @@ def decisions(times: Iterable[int], counted: list[int], max_requests: int, span:
     return verdicts, list(recent)
 
 
+def _with_state(rows: DataFrame, states: DataFrame, client: str):
+    """The requests of each (client, slice) beside its state; fresh names keep the two sides apart."""
+    own = states.withColumnsRenamed({client: "state_client", SLICE: "state_slice"})
+    fresh = own.select(*[F.col(c).alias(c) for c in own.columns])
+    return rows.groupBy(client, SLICE).cogroup(fresh.groupBy("state_client", "state_slice"))
+
+
 def _settled_states(rows: DataFrame, client: str, order: str, kind: str, max_requests: int, span: int) -> DataFrame:
     """(client, slice, carried): the accepted times that still count when each slice starts."""
     keys = [client, SLICE]
@@ -115,18 +121,18 @@ def _settled_states(rows: DataFrame, client: str, order: str, kind: str, max_req
 
     def hand_over(requests: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if requests.empty or state.empty or pd.isna(state["_next"].iloc[0]):
-            return pd.DataFrame({client: [], SLICE: [], "carried": []})
+            return pd.DataFrame({client: [], SLICE: [], "carried": []}, dtype=object)
         ordered = requests.sort_values(["_at", order])
         _, recent = decisions(ordered["_at"], list(state["carried"].iloc[0]), max_requests, span)
         starts = int(state["_next_first"].iloc[0])
         left = [t for t in recent if starts - t < span]
-        return pd.DataFrame({client: [state[client].iloc[0]], SLICE: [int(state["_next"].iloc[0])], "carried": [left]})
+        return pd.DataFrame({client: [ordered[client].iloc[0]], SLICE: [int(state["_next"].iloc[0])], "carried": [left]})
 
     schema = f"`{client}` {kind}, `{SLICE}` int, carried array<bigint>"
     while True:
         due = pending.join(plan, keys)
         touched = rows.join(due.select(*keys), keys, "left_semi")
-        handed = touched.groupBy(*keys).cogroup(due.groupBy(*keys)).applyInPandas(hand_over, schema)
+        handed = _with_state(touched, due, client).applyInPandas(hand_over, schema)
         changed = checkpointed(
             handed.withColumnRenamed("carried", "_new").join(states, keys).filter(F.col("_new") != F.col("carried")).select(*keys, F.col("_new").alias("carried"))
         )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from tabellion.functions.ordered import MAX_GROUP_ROWS, OrderedGroups
+from tabellion.session import checkpointed
 
 SEGMENT_ROWS = 1000
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -163,7 +164,11 @@ def heads(records: DataFrame) -> DataFrame:
 def seal(records: DataFrame, segment_rows: int = SEGMENT_ROWS, fan: int = 100) -> DataFrame:
     """One root per asset over its segment heads: a tree in which every node has at most ``fan`` children."""
     segment = F.floor((F.col("record_id") - 1) / segment_rows)
-    level = records.groupBy("asset_id", segment.alias("place")).agg(F.max_by("curr_hash", "record_id").alias("digest"))
+    heads_of = records.groupBy("asset_id", segment.alias("place")).agg(
+        F.max_by("curr_hash", "record_id").alias("digest"), F.max("record_id").alias("last")
+    )
+    bottom = checkpointed(heads_of)
+    level = bottom.select("asset_id", "place", "digest")
     widest = level.agg(F.max("place")).first()[0]
     while widest is not None and widest > 0:
         children = F.array_sort(F.collect_list(F.struct("place", "digest")))
@@ -173,7 +178,7 @@ def seal(records: DataFrame, segment_rows: int = SEGMENT_ROWS, fan: int = 100) -
             .select("asset_id", F.col("parent").alias("place"), F.sha2(F.array_join("children.digest", "|"), 256).alias("digest"))
         )
         widest //= fan
-    sizes = records.groupBy("asset_id").agg(F.max("record_id").alias("chain_length"))
+    sizes = bottom.groupBy("asset_id").agg(F.max("last").alias("chain_length"))
     return level.join(sizes, "asset_id").select("asset_id", "chain_length", F.col("digest").alias("root_hash"))
 
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabellion.functions.columns import first_match, ratio, stable_id
+from tabellion.functions.ordered import MAX_GROUP_ROWS, OrderedGroups
 from tabellion.session import checkpointed
 
 # fixed values: depth limits, confidence factors, transformation types
@@ -283,20 +284,32 @@ def accuracy(found: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
     return per_target, totals
 
 
-def run_events(edges: DataFrame, namespace: str, event_time: str, producer: str) -> DataFrame:
-    """One COMPLETE run event per target table, as JSON with its column lineage.
+def run_events(
+    edges: DataFrame,
+    namespace: str,
+    event_time: str,
+    producer: str,
+    edges_per_event: int = 10_000,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """COMPLETE run events with column lineage, as JSON: one per target table.
 
-    Edges are first reduced to one row per target column, then to one per table.
+    A table with more than ``edges_per_event`` edges gives several events (``part`` 0, 1, ...),
+    so no event, and no task, has to hold an unbounded table.
     """
+    order = ["target_column", "source_table", "source_column", "position"]
+    numbered = OrderedGroups(edges, ["target_table"], order, max_group_rows).row_number("_n")
+    parted = numbered.withColumn("part", F.floor((F.col("_n") - 1) / edges_per_event))
+    table = ["target_table", "part"]
     field = F.struct(F.lit(namespace).alias("namespace"), F.col("source_table").alias("name"), F.col("source_column").alias("field"))
-    by_column = edges.groupBy("target_table", "target_column").agg(
+    by_column = parted.groupBy(*table, "target_column").agg(
         F.array_sort(F.collect_set(field)).alias("inputFields"),
         F.min("transformation_type").alias("transformationType"),
         F.coalesce(F.min("expression"), F.min("transformation_type")).alias("transformationDescription"),
         F.collect_set("source_table").alias("_sources"),
     )
     entry = F.struct("target_column", F.struct("inputFields", "transformationDescription", "transformationType").alias("facet"))
-    by_table = by_column.groupBy("target_table").agg(
+    by_table = by_column.groupBy(*table).agg(
         F.array_sort(F.collect_list(entry)).alias("_fields"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_sources")))).alias("_sources"),
     )
@@ -311,4 +324,4 @@ def run_events(edges: DataFrame, namespace: str, event_time: str, producer: str)
         F.array(F.struct(F.lit(namespace).alias("namespace"), F.col("target_table").alias("name"), facets.alias("facets"))).alias("outputs"),
         F.lit(producer).alias("producer"),
     )
-    return by_table.select("target_table", F.to_json(event).alias("event"))
+    return by_table.select(*table, F.to_json(event).alias("event"))

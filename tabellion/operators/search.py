@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabellion.functions.columns import any_of, joined
-from tabellion.functions.ordered import OrderedGroups
 from tabellion.operators.catalog import tagged_columns
 
 # fixed values: search weights
@@ -86,32 +85,36 @@ def query_tokens(query: str) -> list[str]:
 
 
 def asset_context(assets: DataFrame, tags: DataFrame, role: str = "ANALYST") -> DataFrame:
-    """Each table with its own tags and its columns as the role may see them."""
+    """Each table with its columns as the role may see them, one row per column.
+
+    A table without columns gives one row with null column fields. The rows stay flat, so a
+    very wide table is never gathered into one task.
+    """
     masked = F.col("is_pii") & F.lit(not is_privileged(role))
-    columns = tagged_columns(assets, tags).withColumns(
-        {"is_masked": masked, "masking_policy": F.when(masked, MASKING_POLICY)}
-    )
-    shown = F.struct(
-        F.col("name").alias("column_name"),
+    columns = tagged_columns(assets, tags).select(
+        F.col("parent_id").alias("_table"),
         F.col("asset_id").alias("column_asset_id"),
-        "data_type",
+        F.col("name").alias("column_name"),
+        F.col("data_type").alias("column_type"),
         "is_pii",
         "pii_type",
-        "is_masked",
-        "masking_policy",
+        masked.alias("is_masked"),
+        F.when(masked, MASKING_POLICY).alias("masking_policy"),
     )
-    per_table = columns.groupBy(F.col("parent_id").alias("asset_id")).agg(F.array_sort(F.collect_list(shown)).alias("columns"))
-    own_tags = tags.groupBy("asset_id").agg(F.array_sort(F.collect_set(F.struct("tag_name", "tag_value"))).alias("tags"))
-    tables = assets.filter(F.col("asset_type") == "TABLE")
-    return tables.join(per_table, "asset_id", "left").join(own_tags, "asset_id", "left").withColumn("caller_role", F.lit(role))
+    tables = assets.filter(F.col("asset_type") == "TABLE").drop("data_type")
+    joined_rows = tables.join(columns, F.col("asset_id") == F.col("_table"), "left").drop("_table")
+    return joined_rows.withColumn("caller_role", F.lit(role))
 
 
 def one_asset_context(assets: DataFrame, tags: DataFrame, asset_id: str, role: str = "ANALYST") -> DataFrame:
-    """Context of one table; an unknown id is an error."""
+    """Context of one table, with its own tags; an unknown id is an error."""
     wanted = assets.filter((F.col("asset_id") == asset_id) | (F.col("parent_id") == asset_id))
     if wanted.filter(F.col("asset_id") == asset_id).isEmpty():
         raise KeyError(f"asset {asset_id!r} is not in the catalog")
-    return asset_context(wanted, tags, role).filter(F.col("asset_id") == asset_id)
+    own_tags = tags.filter(F.col("asset_id") == asset_id).select("asset_id", "tag_name", "tag_value").distinct()
+    listed = own_tags.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("tag_name", "tag_value"))).alias("tags"))
+    context = asset_context(wanted, tags, role).filter(F.col("asset_id") == asset_id)
+    return context.join(listed, "asset_id", "left")
 
 
 def is_privileged(role: str) -> bool:
@@ -155,12 +158,6 @@ def gate_prompts(prompts: DataFrame, text: str, role: str = "ANALYST", triggers:
     )
 
 
-def search_columns(assets: DataFrame) -> DataFrame:
-    """Columns per table in name order, numbered; the flat form of an asset listing."""
-    columns = assets.filter(F.col("asset_type") == "COLUMN")
-    return OrderedGroups(columns, ["parent_id"], ["name", "asset_id"]).row_number("position")
-
-
 def _relevance(query: str) -> Column:
     phrase = query.lower()
     score = _if(F.col("_name").contains(phrase), PHRASE_IN_NAME) + _if(F.col("_text").contains(phrase), PHRASE_IN_TEXT)

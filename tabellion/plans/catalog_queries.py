@@ -365,19 +365,19 @@ def asset_quality(e: Estate) -> DataFrame:
     return catalog.asset_quality(names, assets(e))
 
 
-def _context_sql(masked: str, role: str) -> str:
-    return f"""SELECT asset_id, name, owner, quality_score, COALESCE(c, '') AS columns, '{role}' AS caller_role FROM (FROM assets_t WHERE asset_type = 'TABLE')
-    LEFT JOIN (SELECT parent_id AS k, string_agg(concat_ws(':', name, data_type, pii_type, {masked}), '|' ORDER BY name, asset_id) AS c FROM tagged_t GROUP BY ALL) ON asset_id = k"""
+def _context_sql(role: str, sees_all: bool) -> str:
+    masked = "FALSE" if sees_all else "c.is_pii"
+    return f"""SELECT t.asset_id, t.name, t.owner, t.certification_status, t.quality_score, c.asset_id AS column_asset_id, c.name AS column_name, c.data_type AS column_type, c.is_pii, c.pii_type,
+    CASE WHEN c.asset_id IS NOT NULL THEN {masked} END AS is_masked, CASE WHEN {masked} THEN '{search.MASKING_POLICY}' END AS masking_policy, '{role}' AS caller_role
+    FROM (FROM assets_t WHERE asset_type = 'TABLE') t LEFT JOIN tagged_t c ON c.parent_id = t.asset_id"""
 
 
 def _context(e: Estate, role: str) -> DataFrame:
-    found = search.asset_context(assets(e), tags(e), role)
-    told = F.transform("columns", lambda c: F.concat_ws(":", c["column_name"], c["data_type"], c["pii_type"], c["masking_policy"]))
-    return found.select("asset_id", "name", "owner", "quality_score", F.coalesce(joined(told), F.lit("")).alias("columns"), "caller_role")
+    return search.asset_context(assets(e), tags(e), role).drop("parent_id", "asset_type", "display_name", "description")
 
 
-register("asset_context", lambda e: _context(e, "ANALYST"), _context_sql(f"CASE WHEN is_pii THEN '{search.MASKING_POLICY}' END", "ANALYST"))
-register("asset_context_steward", lambda e: _context(e, "COMPLIANCE_STEWARD"), _context_sql("NULL", "COMPLIANCE_STEWARD"))
+register("asset_context", lambda e: _context(e, "ANALYST"), _context_sql("ANALYST", False))
+register("asset_context_steward", lambda e: _context(e, "COMPLIANCE_STEWARD"), _context_sql("COMPLIANCE_STEWARD", True))
 
 CUSTOMER_PII = {"c_name": "PERSON_NAME", "c_custkey": "CUSTOMER_ID", "c_acctbal": "FINANCIAL", "c_mktsegment": "CONFIDENTIAL_NOTES"}
 CUSTOMER_MASKS = {"c_custkey": "hash", "c_name": "partial", "c_acctbal": "null"}

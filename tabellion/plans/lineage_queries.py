@@ -237,7 +237,7 @@ def lineage_accuracy(e: Estate) -> DataFrame:
 
 @query(
     "openlineage_events",
-    """SELECT target_table, '{"eventType":"COMPLETE","eventTime":"2024-01-01T00:00:00Z","run":{"runId":"' || sha256(target_table) || '"},"job":{"namespace":"estate","name":"model.' || target_table
+    """SELECT target_table, CAST(0 AS BIGINT) AS part, '{"eventType":"COMPLETE","eventTime":"2024-01-01T00:00:00Z","run":{"runId":"' || sha256(target_table) || '"},"job":{"namespace":"estate","name":"model.' || target_table
       || '"},"inputs":[' || (SELECT string_agg(DISTINCT '{"namespace":"estate","name":"' || x || '"}', ',' ORDER BY '{"namespace":"estate","name":"' || x || '"}') FROM (SELECT unnest(all_sources) AS x))
       || '],"outputs":[{"namespace":"estate","name":"' || target_table || '","facets":{"columnLineage":{"fields":{' || fields || '}}}}],"producer":"tabellion"}' AS event
     FROM (SELECT target_table, flatten(list(sources)) AS all_sources, string_agg('"' || target_column || '":{"inputFields":[' || inputs || '],"transformationDescription":"' || why || '","transformationType":"' || kind || '"}', ',' ORDER BY target_column) AS fields

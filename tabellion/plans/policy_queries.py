@@ -14,6 +14,7 @@ from tabellion.plans.oracle import define, with_tables
 from tabellion.plans.profile_queries import pattern_hits
 from tabellion.plans.registry import query
 from tabellion.plans.schemas import SCHEMAS
+from tabellion.session import checkpointed
 
 
 def proposals(e: Estate) -> DataFrame:
@@ -311,7 +312,7 @@ def audit_chain(e: Estate) -> DataFrame:
 
 @query("audit_verify", "SELECT COUNT(*) AS records, COUNT(DISTINCT user_id) AS assets, CAST(0 AS BIGINT) AS broken, TRUE AS is_valid FROM events")
 def audit_verify(e: Estate) -> DataFrame:
-    records = trail(e)
+    records = checkpointed(trail(e))
     broken = audit.verify(records, SEGMENT)
     return (
         audit.summary(records, broken)
@@ -339,7 +340,7 @@ def audit_verify_tampered(e: Estate) -> DataFrame:
     chain_sql("SELECT asset_id, COUNT(*) AS chain_length, min_by(curr_hash, record_id) AS first_hash, max_by(curr_hash, record_id) AS last_hash, TRUE AS is_valid FROM chain_t GROUP BY asset_id"),
 )
 def audit_summary(e: Estate) -> DataFrame:
-    records = trail(e)
+    records = checkpointed(trail(e))
     return audit.summary(records, audit.verify(records, SEGMENT))
 
 
