@@ -28,6 +28,9 @@ TEXT_PATTERNS = {
     "DATE_ISO": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b",
 }
 
+# a character that every match of the pattern contains: texts without it are not searched
+REQUIRED_CHARACTER = {"EMAIL": "@", "PHONE": "+", "DATE_ISO": "-"}
+
 WHITE_SPACE = " \t\n\r\x0b\x0c"
 
 

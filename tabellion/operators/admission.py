@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -65,12 +65,8 @@ def admit(
 
     if not groups.split:
 
-        def decide(rows: pd.DataFrame) -> pd.DataFrame:
-            ordered = rows.sort_values(["_at", order])
-            accepted, _ = decisions(ordered["_at"], [], max_requests, span)
-            return pd.DataFrame({client: ordered[client].to_numpy(), order: ordered[order].to_numpy(), "accepted": accepted})
-
-        verdicts = groups.frame.select(*narrow).groupBy(client).applyInPandas(decide, verdict_schema)
+        sorted_rows = groups.frame.select(*narrow).repartition(client).sortWithinPartitions(client, "_at", order)
+        verdicts = sorted_rows.mapInPandas(_decider(client, order, max_requests, span), verdict_schema)
         return df.join(verdicts, [client, order])
 
     rows = groups.frame.select(*narrow, SLICE)
@@ -99,6 +95,24 @@ def decisions(times: Iterable[int], counted: list[int], max_requests: int, span:
     return verdicts, list(recent)
 
 
+def _decider(client: str, order: str, max_requests: int, span: int):
+    """Decides whole partitions sorted by client and time, batch by batch, holding one client's state."""
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, recent = None, []
+        for batch in batches:
+            accepted = pd.Series(False, index=batch.index)
+            for key, rows in batch.groupby(client, sort=False, dropna=False)["_at"]:
+                key = None if pd.isna(key) else key
+                if key != current:
+                    current, recent = key, []
+                verdicts, recent = decisions(rows, recent, max_requests, span)
+                accepted.loc[rows.index] = verdicts
+            yield batch[[client, order]].assign(accepted=accepted)
+
+    return decide
+
+
 def _with_state(rows: DataFrame, states: DataFrame, client: str):
     """The requests of each (client, slice) beside its state; fresh names keep the two sides apart."""
     own = states.withColumnsRenamed({client: "state_client", SLICE: "state_slice"})

@@ -87,28 +87,45 @@ def inject(tables: Mapping[str, DataFrame], defects: Sequence[Defect]) -> tuple[
     return damaged, reduce(DataFrame.unionAll, manifest)
 
 
-def catches(manifest: DataFrame, results: DataFrame) -> DataFrame:
-    """Each defect and whether a rule on its column failed."""
-    failed = results.groupBy("table_name", "column_name").agg(F.max(~F.col("passed")).alias("_failed"))
-    joined = manifest.join(failed, ["table_name", "column_name"], "left")
+def catches(manifest: DataFrame, results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each defect and whether a rule on its column failed; ``by`` names columns both sides share."""
+    keys = [*by, "table_name", "column_name"]
+    failed = results.groupBy(*keys).agg(F.max(~F.col("passed")).alias("_failed"))
+    joined = manifest.join(failed, keys, "left")
     return joined.withColumn("caught", F.coalesce("_failed", F.lit(False))).drop("_failed")
 
 
-def catch_report(found: DataFrame, clean_results: DataFrame) -> DataFrame:
+def catch_report(found: DataFrame, clean_results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Totals of ``catches`` with the rules that fail on clean data as false positives."""
-    false_alarms = clean_results.agg(F.count_if(~F.col("passed")).alias("false_positives"))
+    alarms = clean_results.groupBy(*by).agg(F.count_if(~F.col("passed")).alias("false_positives"))
     total, caught = F.count(F.lit(1)), F.count_if("caught")
-    totals = found.agg(
+    totals = found.groupBy(*by).agg(
         total.alias("total_injected_defects"),
         caught.alias("caught_defects"),
         (total - caught).alias("missed_defects"),
         ratio(caught, total, 2, scale=100).alias("catch_rate_percentage"),
     )
-    return totals.withColumn("false_positives", false_alarms.scalar())
-
-
-def benchmark(tables: Mapping[str, DataFrame], defects: Sequence[Defect], rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """(catches per defect, totals) of a rule suite against a set of defects."""
+    if not by:
+        return totals.withColumn("false_positives", alarms.scalar())
+    return totals.join(alarms, list(by))
+
+
+def benchmark(
+    tables: Mapping[str, DataFrame], defects: Sequence[Defect], suites: Mapping[str, Sequence[Rule]]
+) -> tuple[DataFrame, DataFrame]:
+    """(catches per suite and defect, totals per suite) of rule suites against a set of defects.
+
+    A rule that several suites share runs once on the clean and once on the corrupted tables.
+    """
+    rules = list(dict.fromkeys(rule for suite in suites.values() for rule in suite))
+    spark = next(iter(tables.values())).sparkSession
+    members = spark.createDataFrame(
+        [(name, r.table, r.rule_type, ",".join(r.columns) if r.columns else r.column) for name, suite in suites.items() for r in suite],
+        "suite string, table_name string, rule_type string, column_name string",
+    )
+    rule_key = ["table_name", "rule_type", "column_name"]
     damaged, manifest = inject(tables, defects)
-    found = catches(manifest, run_rules(damaged, rules))
-    return found, catch_report(found, run_rules(tables, rules))
+    every = manifest.withColumn("suite", F.explode(F.array(*[F.lit(name) for name in suites])))
+    found = catches(every, run_rules(damaged, rules).join(members, rule_key), ["suite"])
+    clean = run_rules(tables, rules).join(members, rule_key)
+    return found, catch_report(found, clean, ["suite"])

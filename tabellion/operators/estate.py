@@ -115,22 +115,39 @@ def stg_reviews(raw: DataFrame) -> DataFrame:
 
 
 def dim_customers(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per person over all of their accounts; people without orders stay."""
-    placed = orders.select("customer_id", "order_id", "purchase_timestamp")
-    per_person = (
-        customers.join(placed, "customer_id", "left")
-        .groupBy("customer_unique_id")
+    """One row per person over all of their accounts; people without orders stay.
+
+    Attributes and order activity are reduced to the person separately, so the order rows
+    carry only keys and times through their shuffles and the wide text minimum is taken over
+    accounts, not over orders.
+    """
+    people = customers.groupBy("customer_unique_id").agg(
+        F.min("customer_city").alias("primary_city"),
+        F.min("customer_state").alias("primary_state"),
+        F.min("zip_code_prefix").alias("primary_zip"),
+    )
+    accounts = customers.select("customer_id", F.col("customer_unique_id").alias("_person"))
+    activity = (
+        orders.select("customer_id", "order_id", "purchase_timestamp")
+        .join(accounts, "customer_id")
+        .groupBy("_person")
         .agg(
-            F.min("customer_city").alias("primary_city"),
-            F.min("customer_state").alias("primary_state"),
-            F.min("zip_code_prefix").alias("primary_zip"),
-            F.countDistinct("order_id").alias("total_orders_placed"),
+            F.countDistinct("order_id").alias("_orders"),
             F.min("purchase_timestamp").alias("first_order_date"),
             F.max("purchase_timestamp").alias("latest_order_date"),
         )
     )
-    repeat = F.col("total_orders_placed") > REPEAT_ORDERS
-    return per_person.withColumn("buyer_type", F.when(repeat, "repeat_buyer").otherwise("single_buyer"))
+    placed = F.coalesce("_orders", F.lit(0))
+    return people.join(activity, F.col("customer_unique_id").eqNullSafe(F.col("_person")), "left").select(
+        "customer_unique_id",
+        "primary_city",
+        "primary_state",
+        "primary_zip",
+        placed.alias("total_orders_placed"),
+        "first_order_date",
+        "latest_order_date",
+        F.when(placed > REPEAT_ORDERS, "repeat_buyer").otherwise("single_buyer").alias("buyer_type"),
+    )
 
 
 def dim_products(products: DataFrame, classes: tuple[float, float] = WEIGHT_CLASSES) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from tabellion.operators import classify, defects, quality
@@ -280,20 +278,16 @@ MANIFEST_SQL = """SELECT 'DEF-001' AS defect_id, 'NULL_VALUE' AS defect_type, 's
     UNION ALL SELECT 'DEF-008', 'ORPHAN_ROWS', 'stg_payments', 'order_id', COUNT(*) FROM stg_payments_t WHERE order_id IN (SELECT DISTINCT order_id FROM stg_payments_t ORDER BY 1 LIMIT 2)"""
 
 register("defect_inject", lambda e: defects.inject(clean_tables(e), DEFECTS)[1], MANIFEST_SQL)
+SUITES = {"basic": BASIC_SUITE, "full": FULL_SUITE}
 register(
     "defect_catches",
-    lambda e: defects.benchmark(clean_tables(e), DEFECTS, BASIC_SUITE)[0],
-    f"SELECT *, defect_id NOT IN ('DEF-006', 'DEF-007', 'DEF-008') AS caught FROM ({MANIFEST_SQL})",
+    lambda e: defects.benchmark(clean_tables(e), DEFECTS, SUITES)[0],
+    f"""SELECT *, suite = 'full' OR defect_id NOT IN ('DEF-006', 'DEF-007', 'DEF-008') AS caught
+    FROM ({MANIFEST_SQL}), (SELECT unnest(['basic', 'full']) AS suite)""",
 )
 register(
     "defect_catch_report",
-    lambda e: reduce(
-        DataFrame.unionByName,
-        [
-            defects.benchmark(clean_tables(e), DEFECTS, suite)[1].withColumn("suite", F.lit(name))
-            for name, suite in (("basic", BASIC_SUITE), ("full", FULL_SUITE))
-        ],
-    ),
+    lambda e: defects.benchmark(clean_tables(e), DEFECTS, SUITES)[1],
     f"""SELECT suite, COUNT(*) AS total_injected_defects, CAST(SUM(CAST(caught AS INTEGER)) AS BIGINT) AS caught_defects,
     CAST(SUM(CAST(NOT caught AS INTEGER)) AS BIGINT) AS missed_defects,
     {half_up('CAST(SUM(CAST(caught AS INTEGER)) AS BIGINT)', 'COUNT(*)', 2, 100)} AS catch_rate_percentage, CAST(0 AS BIGINT) AS false_positives

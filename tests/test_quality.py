@@ -52,7 +52,7 @@ def test_defects_are_counted_and_caught(spark):
         defects.Defect("D3", "DUPLICATE_KEY", "u", "id", "id", 4, defects.duplicate),
     ]
     rules = [Rule("t", "NOT_NULL", "id"), Rule("u", "UNIQUE", "id"), Rule("u", "RANGE_CHECK", "amount", low=0, high=5)]
-    found, report = defects.benchmark({"t": clean, "u": clean}, seeded, rules)
+    found, report = defects.benchmark({"t": clean, "u": clean}, seeded, {"all": rules})
     assert {(r.defect_id, r.injected_count, r.caught) for r in found.collect()} == {("D1", 3, True), ("D2", 2, False), ("D3", 4, True)}
     totals = report.first()
     assert totals.catch_rate_percentage == 66.67 and totals.false_positives == 1
