@@ -27,6 +27,31 @@ def route(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def from_enrichment(reconciled: DataFrame, proposed_by: str = "enrichment", database: str = "estate.public") -> DataFrame:
+    """Change proposals for reconciled columns: a description each, and a tag where the column is PII.
+
+    Closes the loop from enrichment to the catalog: the proposals go through ``policy.evaluate``,
+    ``route`` and ``review`` like any others.
+    """
+    asset = F.concat_ws(".", F.lit(database), "table_name", "column_name")
+    kinds = F.array_compact(F.array(F.lit("UPDATE_DESCRIPTION"), F.when(F.col("is_pii"), F.lit("ADD_TAG"))))
+    listed = reconciled.withColumns({"asset_id": asset, "change_type": F.explode(kinds)})
+    return listed.select(
+        stable_id("asset_id", "change_type").alias("proposal_id"),
+        "asset_id",
+        "change_type",
+        F.lit(proposed_by).alias("proposed_by"),
+        "description",
+        "is_pii",
+        "pii_type",
+        "sensitivity_level",
+        F.col("overall_confidence").alias("confidence"),
+        F.lit(None).cast("string").alias("certification_status"),
+        F.lit(None).cast("string").alias("tag_name"),
+        F.lit(None).cast("string").alias("tag_value"),
+    )
+
+
 def pending(routed: DataFrame) -> DataFrame:
     return routed.filter(F.col("status") == PENDING)
 
@@ -91,13 +116,19 @@ def approved_changes(reviewed: DataFrame) -> DataFrame:
     )
 
 
-def decision_records(reviewed: DataFrame) -> DataFrame:
-    """What each closed proposal must leave in the audit trail."""
+def decision_records(reviewed: DataFrame, as_of: str = "1970-01-01 00:00:00") -> DataFrame:
+    """What each closed proposal must leave in the audit trail, ready for ``audit.append``.
+
+    Proposals the engine closed itself carry the time of the run, ``as_of``.
+    """
+    run_time = F.lit(as_of).cast("timestamp_ntz")
+    decided = F.coalesce("reviewed_at", run_time) if "reviewed_at" in reviewed.columns else run_time
     policies = F.transform("violations", lambda v: v["policy_id"])
     closed = reviewed.filter(F.col("status") != PENDING)
     return closed.select(
         "proposal_id",
         "asset_id",
+        decided.alias("event_time"),
         F.col("reviewed_by").alias("actor"),
         F.concat(F.lit("PROPOSAL_"), "status").alias("action"),
         policies.alias("policy_ids_evaluated"),

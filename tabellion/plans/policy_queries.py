@@ -9,7 +9,7 @@ from tabellion.functions.ordered import OrderedGroups
 from tabellion.operators import approval, audit, classify, policy, reconcile
 from tabellion.operators.profile import profile_table
 from tabellion.plans.binding import Estate
-from tabellion.plans.enrich_queries import RULES
+from tabellion.plans.enrich_queries import RULES, leaky
 from tabellion.plans.oracle import define, with_tables
 from tabellion.plans.profile_queries import pattern_hits
 from tabellion.plans.registry import query
@@ -219,6 +219,32 @@ def policy_audit_coverage(e: Estate) -> DataFrame:
     return policy.audit_coverage(made.select("proposal_id", "asset_id", "action"), logged)
 
 
+@query(
+    "enrich_proposals",
+    """SELECT sha256(asset_id || '|' || change_type) AS proposal_id, asset_id, change_type, CASE WHEN is_pii AND pii_type = 'SENSITIVE' THEN 'REJECTED' WHEN is_pii OR overall_confidence < 0.8::DOUBLE THEN 'PENDING' ELSE 'AUTO_APPROVED' END AS status,
+    CASE WHEN change_type = 'UPDATE_DESCRIPTION' THEN description END AS description, pii_type
+    FROM (SELECT *, 'estate.public.' || table_name || '.' || column_name AS asset_id, unnest(CASE WHEN is_pii THEN ['UPDATE_DESCRIPTION', 'ADD_TAG'] ELSE ['UPDATE_DESCRIPTION'] END) AS change_type FROM reconciled_t)""",
+)
+def enrich_proposals(e: Estate) -> DataFrame:
+    """The reconciled columns of the estate as routed proposals."""
+    routed_columns = approval.route(policy.evaluate(approval.from_enrichment(reconcile.reconcile(leaky(e)))))
+    shown = F.when(F.col("change_type") == "UPDATE_DESCRIPTION", F.col("description"))
+    return routed_columns.select("proposal_id", "asset_id", "change_type", "status", shown.alias("description"), "pii_type")
+
+
+@query(
+    "proposal_audit_trail",
+    """SELECT asset_id, COUNT(*) AS chain_length, TRUE AS is_valid, CAST(COUNT(*) FILTER (WHERE status = 'REJECTED') AS BIGINT) AS rejections FROM reviewed_t WHERE status <> 'PENDING' GROUP BY asset_id""",
+)
+def proposal_audit_trail(e: Estate) -> DataFrame:
+    """Every closed proposal logged in its asset's chain; the chains verified."""
+    logged = audit.append(approval.decision_records(reviewed(e), "2024-01-01 00:00:00"), ["event_time", "proposal_id"])
+    records = checkpointed(logged)
+    rejections = records.groupBy("asset_id").agg(F.count_if(F.col("action") == "PROPOSAL_REJECTED").alias("rejections"))
+    trails = audit.summary(records, audit.verify(records)).select("asset_id", "chain_length", "is_valid")
+    return trails.join(rejections, "asset_id")
+
+
 @query(
     "policy_glossary_review",
     "SELECT proposal_id, asset_id, p_type AS term, confidence, 'POL-012' AS policy_id FROM proposals_t JOIN part ON p_partkey = proposal_id WHERE confidence < 0.85::DOUBLE",
