@@ -1,8 +1,8 @@
 """Lineage as an edge table: traversal, closure, tag propagation, roll-up, export.
 
 Edges have ``source``, ``target``, ``transformation_type`` and ``ordinal`` (their insertion
-order). Traversals advance one hop per join for all roots at once; each frontier is
-checkpointed, so a hop neither recomputes the earlier ones nor depends on a lost executor.
+order). Traversals advance one hop per join for all roots at once; the edges and each frontier
+are checkpointed, so a hop neither recomputes earlier work nor depends on a lost executor.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tabellion.session import checkpointed
 # fixed values: depth limits, confidence factors, transformation types
 MAX_DEPTH = 10
 MAX_HOPS = 6
+COMPACT_LEVELS = 8
 COPY_FACTOR, OTHER_FACTOR = 0.98, 0.90
 DIRECT_COPY = "DIRECT_COPY"
 TRANSFORMATIONS = {"column": DIRECT_COPY, "aggregate": "AGGREGATION", "expression": "DERIVED_EXPRESSION"}
@@ -60,9 +61,9 @@ def traverse(edges: DataFrame, roots: DataFrame, upstream: bool = False, max_dep
     the last edge. A node never repeats on a path, so cycles end.
     """
     near, far = ("target", "source") if upstream else ("source", "target")
-    hops = edges.select(
-        F.col(near).alias("_near"), F.col(far).alias("_far"), "transformation_type"
-    ).distinct()
+    hops = checkpointed(
+        edges.select(F.col(near).alias("_near"), F.col(far).alias("_far"), "transformation_type").distinct()
+    )
     start = roots.select("root").distinct()
     frontier = start.select("root", F.col("root").alias("node"), F.array("root").alias("path"))
     levels: list[DataFrame] = []
@@ -105,7 +106,7 @@ def both_ways(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFra
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every node reachable from each root with its shortest distance; each node is expanded once."""
-    hops = edges.select(F.col("source").alias("_near"), F.col("target").alias("_far")).distinct()
+    hops = checkpointed(edges.select(F.col("source").alias("_near"), F.col("target").alias("_far")).distinct())
     start = roots.select("root").distinct()
     frontier = checkpointed(start.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("depth")))
     levels = [frontier]
@@ -123,9 +124,17 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
         if frontier.isEmpty():
             break
         levels.append(frontier)
+        if len(levels) > COMPACT_LEVELS:
+            levels = [_compacted(levels)]
     return reduce(DataFrame.unionAll, levels).filter(F.col("depth") > 0)
 
 
+def _compacted(levels: list[DataFrame]) -> DataFrame:
+    """The levels as one checkpoint, so that long traversals do not read ever more small files."""
+    partitions = int(levels[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(reduce(DataFrame.unionAll, levels).coalesce(partitions))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Carries tags downstream from all seeds at once.
 
@@ -134,7 +143,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS) -> D
     breadth-first order. That order is the sequence of edge ordinals along the path, kept as an
     array, so the first visit is a ``min_by`` and needs no global numbering.
     """
-    hops = edges.select(F.col("source").alias("_near"), F.col("target").alias("_far"), "transformation_type", "ordinal")
+    hops = checkpointed(
+        edges.select(F.col("source").alias("_near"), F.col("target").alias("_far"), "transformation_type", "ordinal")
+    )
     keys = ["root", "tag_name", "tag_value"]
     first = F.concat("root", F.lit(" ["), "tag_name", F.lit(":"), "tag_value", F.lit("]"))
     frontier = checkpointed(
