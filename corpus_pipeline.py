@@ -1,25 +1,58 @@
-"""A corpus pipeline: each stage reads what the one before kept and writes it anew."""
+"""A corpus pipeline: quality, near copies, benchmark leaks, personal data, source mixture.
+
+Each stage reads what the one before kept, written as Parquet, and returns what it keeps;
+all but the last have the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabellion.llm import decontamination, mixing, quality, simhash, surrogates
+from tabellion.llm.common import fold, table, written
+from tabellion.llm.queries import SURROGATE_KEY
 
-from tabellion.llm import simhash
-from tabellion.llm.common import table, written
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects (score below 0.5)."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, "quality", fold("doc_id", 3) != 1)
+    return quality.score(docs, model, name="_score").where("_score >= 0.5").drop("_score")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest key, of each group of near copies."""
     groups = simhash.near_duplicates(docs.select("doc_id", "text"), size=3, max_distance=3)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by surrogates; n_chars follows the new text."""
+    replaced = surrogates.pseudonymise(docs, SURROGATE_KEY)
+    return replaced.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that all sources weigh alike, in a global random order."""
+    return mixing.mix(docs)
 
 
-STAGES = [("near copies", near_copies)]
+STAGES = [
+    ("quality", good_quality),
+    ("near copies", near_copies),
+    ("decontamination", benchmark_free),
+    ("surrogates", private_data),
+    ("mixing", source_mixture),
+]
 
-#: SQL has no SimHash, classifiers, tiling or surrogates: tests compare each stage with brute force
+#: SQL has no classifier, SimHash, tiling or surrogates: tests compare each stage with brute force
 ORACLE_SQL = None
 
 

@@ -107,21 +107,20 @@ def sigmoid(values: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(values, -50, 50)))
 
 
-def platt(margins: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve through margins, by damped Newton steps."""
-    a, b = 1.0, 0.0
+def logistic(features: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Slopes and intercept of a logistic curve through rows of features, by damped Newton steps."""
+    x = np.column_stack([features, np.ones(len(labels))])
+    at = np.zeros(x.shape[1])
     smooth = np.where(labels == 1, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((labels == 0).sum() + 2))
     for _ in range(rounds):
-        p = sigmoid(a * margins + b)
-        w = p * (1 - p)
-        gradient = np.array([((p - smooth) * margins).sum(), (p - smooth).sum()])
-        hessian = np.array([[(w * margins**2).sum(), (w * margins).sum()], [(w * margins).sum(), w.sum()]])
-        step = np.linalg.solve(hessian + 1e-6 * np.eye(2), gradient)
+        p = sigmoid(x @ at)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(at))
+        step = np.linalg.solve(hessian, x.T @ (p - smooth) + 1e-3 * at)
         step *= min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
+        at = at - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return at[:-1], float(at[-1])
 
 
 def dual_descent(

@@ -7,18 +7,137 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabellion.llm import simhash
+from tabellion.llm import (
+    decontamination,
+    embeddings,
+    html_template,
+    langid,
+    mixing,
+    quality,
+    simhash,
+    surrogates,
+    token_counts,
+    toxicity,
+)
 from tabellion.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: production key of the surrogates; a deployment passes its own
+SURROGATE_KEY = "tabellion surrogates 1"
+
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
     return build
 
 
+def _scored(docs: DataFrame, parts: int, held: int) -> DataFrame:
+    """The digest of a classifier: fold and prediction beside the score."""
+    return docs.select(
+        "doc_id",
+        F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """(document, benchmark item) pairs where tiles of five words cover 0.8 of the item."""
+    return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op2_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of vectors with a cosine of 0.95 or more."""
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = html_template.extract(table(spark, folder, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; learned outside of fold 0 of 5."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"), "toxic", fold("doc_id", 5) != 0)
+    return _scored(toxicity.score(docs, model), 5, 0)
+
+
+@query
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; learned outside of fold 2 of 4."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, fold("doc_id", 4) != 2)
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs.drop("lang"), model).select(
+        "doc_id", held, "lang_pred", "score", F.size("spans").cast("long").alias("n_spans")
+    )
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; learned outside of fold 1 of 3."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"), "quality", fold("doc_id", 3) != 1)
+    return _scored(quality.score(docs, model), 3, 1)
+
+
+@query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document under the unigram reading of a public vocabulary."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, token_counts.unigram_scores())
+    return counted.select("doc_id", "n_tokens")
+
+
+@query
+def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data replaced, and the number of replaced mentions."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, SURROGATE_KEY, keep_count="n_replaced")
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents repeated so that all sources weigh alike, in a global random order."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+# means above the operator's part size are split there; the oracle splits them alike
+ORACLES["op9_mixing"] = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (
+    SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM counts)) * (SELECT count(*) FROM documents) / n AS rate
+    FROM counts),
+parts AS (
+    SELECT d.*, r.rate, greatest(1, ceil(r.rate / 8.0))::INT AS parts
+    FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+draws AS (
+    SELECT p.*, p.rate / p.parts AS mean, i.i,
+        ('0x' || substr(md5('1|' || coalesce(p.doc_id::VARCHAR, '')
+            || CASE WHEN p.rate <= 8.0 THEN '' ELSE '|' || i.i::VARCHAR END), 1, 13))::BIGINT
+            / 4503599627370496.0::DOUBLE AS chance
+    FROM parts p, LATERAL (SELECT unnest(range(1, p.parts + 1)) AS i) i),
+terms AS (
+    SELECT d.*, k, sum(exp(-d.mean + j * ln(d.mean) - lgamma(j + 1))) AS total
+    FROM draws d, LATERAL (SELECT unnest(range(0, 48)) AS k) s, LATERAL (SELECT unnest(range(0, k + 1)) AS j) t
+    GROUP BY ALL),
+counted AS (
+    SELECT doc_id, text, lang, source, n_chars, count(*) FILTER (total <= chance) AS copies
+    FROM terms GROUP BY doc_id, text, lang, source, n_chars)
+SELECT doc_id, text, lang, source, n_chars, c::INT AS copy,
+    md5('order 1|' || coalesce(doc_id::VARCHAR, '') || '|' || c::VARCHAR) AS shuffle_key
+FROM counted, LATERAL (SELECT unnest(range(1, copies + 1)) AS c) e
+"""
+
+
 @query
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose SimHash differs in at most three bits."""
