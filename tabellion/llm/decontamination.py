@@ -204,14 +204,14 @@ def matches(
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text"))):
-        index = spark.sparkContext.broadcast(Index.build(block, least))  # bounded by BLOCK_ITEMS
+        index = Index.build(block, least)  # travels with the function; bounded by BLOCK_ITEMS
 
         def tiled(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = [
                     (doc, *match)
                     for doc, value in zip(batch["_id"].tolist(), batch["_text"], strict=True)
-                    for match in index.value.matches(value)
+                    for match in index.matches(value)
                     if match[1] >= coverage
                 ]
                 yield pd.DataFrame(rows, columns=["_id", "item_id", "coverage", "longest_tile", "tiles"]).rename(
