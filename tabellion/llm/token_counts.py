@@ -11,7 +11,6 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: a character that no piece covers costs so much more than the rarest piece
 UNKNOWN_COST = 10.0
-#: nodes a task keeps before it starts a new trie, and the length from which pre-tokens are not kept
+#: nodes a task keeps before it starts a new trie, and the characters of a pre-token that are kept
 MOST_NODES = 1_500_000
 LONG = 64
 _PRE_TOKEN = re.compile(r" ?[^ \n]+|\n+| +")
@@ -51,47 +50,74 @@ class Trie:
     """Pre-tokens seen so far; a node is [children, best score, tokens of the best segmentation]."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=0)
+        self.pieces: dict = {}  # by their characters from the last to the first; a score under ""
+        for piece, score in scores.items():
+            place = self.pieces
+            for char in reversed(piece):
+                place = place.setdefault(char, {})
+            place[""] = score
+        self.single = {piece for piece in scores if len(piece) == 1}
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_COST
+        self.reset()
+
+    def reset(self) -> None:
         self.counts: dict[str, int] = {}
         self.root: list = [{}, 0.0, 0]
         self.nodes = 0
 
-    def count(self, word: str) -> int:
-        known = self.counts.get(word)
-        if known is None:
-            if self.nodes > MOST_NODES:
-                self.counts, self.root, self.nodes = {}, [{}, 0.0, 0], 0
-            known = self._insert(word.replace(" ", "▁"), len(word) <= LONG)
-            if len(word) <= LONG:
-                self.counts[word] = known
-        return known
-
-    def _insert(self, word: str, keep: bool) -> int:
+    def text_tokens(self, text: str) -> int:
+        """Tokens of a text. Between texts the trie starts anew when it has grown to its bound."""
+        if self.nodes > MOST_NODES:
+            self.reset()
+        words, counts, long = pre_tokens(text), self.counts, []
+        for word in set(words).difference(counts):
+            counts[word] = self._insert(word.replace(" ", "▁"))
+            if len(word) > LONG:
+                long.append(word)
+        total = sum(map(counts.__getitem__, words))
+        for word in long:
+            del counts[word]
+        return total
+
+    def _insert(self, word: str) -> int:
+        """Walks the known prefix, then computes forward scores for the rest (kept up to LONG characters)."""
         node, best, tokens = self.root, [0.0], [0]
-        for end, char in enumerate(word, 1):
-            child = node[0].get(char)
-            if child is None:
-                child = [{}, *self._forward(word, end, best, tokens)]
-                if keep:
-                    node[0][char] = child
-                    self.nodes += 1
+        length, depth = len(word), 0
+        for char in word:
+            child = node[0] and node[0].get(char)
+            if not child:
+                break
             node = child
             best.append(node[1])
             tokens.append(node[2])
+            depth += 1
+        for end in range(depth + 1, length + 1):
+            char = word[end - 1]
+            if char in self.single:
+                top, many = -math.inf, 0
+            else:
+                top = best[-1] + self.unknown
+                many = tokens[-1] + len(char.encode("utf-8", "surrogatepass"))
+            place, start = self.pieces.get(char), end - 1
+            while place is not None:
+                score = place.get("")
+                if score is not None and best[start] + score > top:
+                    top, many = best[start] + score, tokens[start] + 1
+                start -= 1
+                if start < 0:
+                    break
+                place = place.get(word[start])
+            best.append(top)
+            tokens.append(many)
+            if end <= LONG:
+                child = [None, top, many]
+                if node[0] is None:
+                    node[0] = {}
+                node[0][char] = child
+                node = child
+                self.nodes += 1
         return tokens[-1]
 
-    def _forward(self, word: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
-        top, many = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            score = self.scores.get(word[start:end])
-            if score is not None and best[start] + score > top:
-                top, many = best[start] + score, tokens[start] + 1
-        if word[end - 1] not in self.scores and best[end - 1] + self.unknown > top:
-            top, many = best[end - 1] + self.unknown, tokens[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-        return top, many
-
 
 def count_tokens(docs: DataFrame, scores: dict[str, float], text: str = "text", name: str = "n_tokens") -> DataFrame:
     """``docs`` with ``name``: the tokens of each whole text (0 if null or empty; the column is replaced if there).
@@ -104,17 +130,6 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], text: str = "text",
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trie = Trie(scores)
         for texts in batches:
-            out = np.zeros(len(texts), dtype=np.int64)
-            for i, value in enumerate(texts):
-                if value:
-                    known = trie.counts
-                    words = pre_tokens(value)
-                    for word in set(words).difference(known):
-                        trie.count(word)
-                    if trie.counts is known and len(words) and max(map(len, words)) <= LONG:
-                        out[i] = sum(map(known.__getitem__, words))
-                    else:
-                        out[i] = sum(map(trie.count, words))
-            yield pd.Series(out)
+            yield pd.Series([trie.text_tokens(t) if t else 0 for t in texts], dtype="int64")
 
     return docs.withColumn(name, counted(F.col(text)))
