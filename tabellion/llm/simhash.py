@@ -68,6 +68,10 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
+def signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
+
+
 def segment_widths(bits: int, segments: int) -> list[int]:
     return [bits // segments + (i < bits % segments) for i in range(segments)]
 
@@ -91,8 +95,8 @@ def hamming_pairs(codes: DataFrame, radius: int, segments: int, bits: int, withi
     """
     widths, tables, probes = segment_widths(bits, segments), [], []
     for i, (width, value) in enumerate(zip(widths, _segments(F.col("code"), widths), strict=True)):
-        masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius)])
-        tops = F.array(*[F.lit(1 << (m.bit_length() - 1) if m else 0).cast("long") for m in ball(width, radius)])
+        masks = F.array(*[F.lit(signed(m)).cast("long") for m in ball(width, radius)])
+        tops = F.array(*[F.lit(signed(1 << m.bit_length() >> 1)).cast("long") for m in ball(width, radius)])
         tables.append(F.struct(F.lit(i).alias("segment"), value.alias("key")))
         rows = codes.select(
             *[F.col(c).alias(f"left_{c}") for c in codes.columns],

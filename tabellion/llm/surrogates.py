@@ -20,8 +20,9 @@ _SECRET_NAME = (
     r"(?i:(?<![A-Za-z])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)"
     r"[\"']? {0,2}[=:] {0,2}[\"']?)"
 )
-_MALE = r"Mr|Herr|Monsieur|Señor|Sr|Signor|Г-н|Господин"
-_FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Señorita|Signora|Г-жа|Госпожа"
+_MEN = "Mr Herr Monsieur Señor Sr Signor Г-н Господин".split()
+_WOMEN = "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Sra Señorita Signora Г-жа Госпожа".split()
+_MALE, _FEMALE = ("|".join([*titles, *map(str.upper, titles)]) for titles in (_MEN, _WOMEN))
 _TITLE = rf"(?:{_MALE}|{_FEMALE}|Dr|Prof)\.?"
 _NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 
