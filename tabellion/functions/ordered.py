@@ -82,7 +82,7 @@ class OrderedGroups:
         values = self.frame.select(*self.keys, column).distinct()
         ranked = OrderedGroups(values, self.keys, [lead], self.limit).row_number(name)
         on = [*self.keys, column]
-        return _null_safe_join(self.frame.drop(SLICE), ranked, on)
+        return null_safe_join(self.frame.drop(SLICE), ranked, on)
 
     def last_known(self, columns: Sequence[str], keep_slices: bool = False) -> DataFrame:
         """Each column replaced by its latest non-null value up to and including the row."""
@@ -151,14 +151,15 @@ class OrderedGroups:
         return self.frame.groupBy(*self.keys, SLICE).agg(*aggregates)
 
     def _with_carry(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
-        return _null_safe_join(rows, carried, [*self.keys, SLICE])
+        return null_safe_join(rows, carried, [*self.keys, SLICE])
 
 
 def _sort(name: str) -> Column:
     return F.col(name[1:]).desc_nulls_last() if name.startswith("-") else F.col(name).asc_nulls_first()
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join in which null keys match null keys; the keys of the left side stay."""
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
     condition = None
     for c in on:

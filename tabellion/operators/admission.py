@@ -8,10 +8,11 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabellion.functions.ordered import MAX_GROUP_ROWS, SLICE, OrderedGroups
+from tabellion.functions.ordered import MAX_GROUP_ROWS, SLICE, OrderedGroups, null_safe_join
 from tabellion.session import checkpointed
 
 MICROS = 1_000_000
+CLIENT = "_client"
 
 
 def micros(time: str) -> Column:
@@ -34,7 +35,7 @@ def trailing_load(df: DataFrame, client: str, time: str, seconds: int, max_group
     running = OrderedGroups(points, [client], ["at", "marker", time], max_group_rows).running_sum("requests", "seen")
     signed = F.when(F.col("marker") == 1, -F.col("seen")).otherwise(F.col("seen"))
     loads = running.groupBy(client, time).agg(F.sum(signed).alias("load"))
-    return df.join(loads, [client, time])
+    return null_safe_join(df, loads, [client, time])
 
 
 def admit(
@@ -54,11 +55,15 @@ def admit(
     requests still counted at the slice's start. Slices whose assumption turns out wrong are
     decided again, until no state changes; the first slice of a client is always right, so
     every round settles at least one more, and a gap longer than the window settles the rest.
+    Requests without a client are one client of their own.
     """
     span = window_seconds * MICROS
+    # a key that is never null, as the joins and groups below are by equality
+    own = F.coalesce(F.concat(F.lit("="), F.col(client).cast("string")), F.lit(""))
+    df, client = df.withColumn(CLIENT, own), CLIENT
     timed = df.withColumn("_at", micros(time))
     groups = OrderedGroups(timed, [client], ["_at", order], max_group_rows)
-    kind = df.schema[client].dataType.simpleString()
+    kind = "string"
     order_kind = df.schema[order].dataType.simpleString()
     verdict_schema = f"`{client}` {kind}, `{order}` {order_kind}, accepted boolean"
     narrow = [client, order, "_at"]
@@ -67,7 +72,7 @@ def admit(
 
         sorted_rows = groups.frame.select(*narrow).repartition(client).sortWithinPartitions(client, "_at", order)
         verdicts = sorted_rows.mapInPandas(_decider(client, order, max_requests, span), verdict_schema)
-        return df.join(verdicts, [client, order])
+        return null_safe_join(df, verdicts, [client, order]).drop(CLIENT)
 
     rows = groups.frame.select(*narrow, SLICE)
     states = _settled_states(rows, client, order, kind, max_requests, span)
@@ -78,7 +83,7 @@ def admit(
         return pd.DataFrame({client: ordered[client].to_numpy(), order: ordered[order].to_numpy(), "accepted": accepted})
 
     verdicts = _with_state(rows, states, client).applyInPandas(decide_slice, verdict_schema)
-    return df.join(verdicts, [client, order])
+    return null_safe_join(df, verdicts, [client, order]).drop(CLIENT)
 
 
 def decisions(times: Iterable[int], counted: list[int], max_requests: int, span: int) -> tuple[list[bool], list[int]]:

@@ -3,14 +3,13 @@
 A hash chain is sequential, so a chain over one busy asset would be the work of one task.
 Each asset's trail is therefore cut into segments of ``segment_rows`` records. Segments are
 hashed independently (in parallel, also within one asset), start from a digest of their
-position, and their last hashes are sealed by a hash tree up to one root per asset. Changing,
-dropping or moving a record breaks its segment; dropping a segment breaks the root.
+position, and their last hashes are sealed by a hash tree up to one root per asset, and these
+up to one root of the estate. Changing, dropping or moving a record breaks its segment or the
+row of record numbers; what is cut off at the end no longer leads to the seal.
 """
 
 from __future__ import annotations
 
-import hashlib
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
@@ -127,31 +126,62 @@ def _digest(record_id: Column, previous: Column, body: Column) -> Column:
     return F.sha2(F.concat_ws("|", record_id.cast("string"), previous, body), 256)
 
 
-def verify(records: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def verify(records: DataFrame, segment_rows: int = SEGMENT_ROWS, sealed: DataFrame | None = None) -> DataFrame:
     """The records that break the trail, with the reason; every segment is checked on its own.
 
     A record is broken if its hash does not follow from its contents, if it does not point at
-    the record before it, or if a record is missing before it.
+    the record before it, or if a record is missing before it. What is missing before the
+    first record of a segment shows in the segments' first and last numbers, of which there
+    is one row per segment. Against ``sealed`` (asset_id, chain_length, root_hash) records
+    missing at the end of an asset, or all of them, are found too, as the reason MISSING_TAIL
+    of the last number that should be there.
     """
     segment = F.floor((F.col("record_id") - 1) / segment_rows)
     window = Window.partitionBy("asset_id", "_segment").orderBy("record_id")
-    first = (F.col("record_id") - 1) % segment_rows == 0
-    expected = F.when(first, segment_start(F.col("asset_id"), F.col("_segment"))).otherwise(F.col("_before"))
+    opening = F.col("_before").isNull()
+    starts = (F.col("record_id") - 1) % segment_rows == 0
+    expected = F.when(starts, segment_start(F.col("asset_id"), F.col("_segment"))).otherwise(F.col("_before"))
     recomputed = _digest(F.col("record_id"), F.col("prev_hash"), record_body())
-    gap = ~first & ~F.col("_id_before").eqNullSafe(F.col("record_id") - 1)
+    gap = F.when(opening, F.col("_gap")).otherwise(F.col("_id_before") != F.col("record_id") - 1)
     reason = (
         F.when(recomputed != F.col("curr_hash"), "CONTENT")
         .when(gap, "MISSING_RECORD")
         .when(~F.col("prev_hash").eqNullSafe(expected), "LINK")
     )
+    along = Window.partitionBy("asset_id").orderBy("_segment")
+    ends = records.groupBy("asset_id", segment.alias("_segment")).agg(
+        F.min("record_id").alias("_least"), F.max("record_id").alias("_most")
+    )
+    gaps = ends.withColumn("_earlier", F.coalesce(F.lag("_most").over(along), F.lit(0))).select(
+        F.col("asset_id").alias("_asset"), F.col("_least"), (F.col("_least") != F.col("_earlier") + 1).alias("_gap")
+    )
     linked = records.withColumn("_segment", segment).withColumns(
         {"_before": F.lag("curr_hash").over(window), "_id_before": F.lag("record_id").over(window)}
     )
-    return (
-        linked.withColumn("reason", reason)
+    first = (F.col("asset_id").eqNullSafe(F.col("_asset"))) & (F.col("record_id") == F.col("_least"))
+    found = (
+        linked.join(gaps.filter("_gap"), first, "left")
+        .withColumn("_gap", F.coalesce("_gap", F.lit(False)))
+        .withColumn("reason", reason)
         .filter(F.col("reason").isNotNull())
         .select("asset_id", "record_id", "reason", "prev_hash", "curr_hash")
     )
+    if sealed is None:
+        return found
+    last = records.groupBy(F.col("asset_id").alias("_asset")).agg(F.max("record_id").alias("_most"))
+    tails = sealed.join(last, F.col("asset_id").eqNullSafe(F.col("_asset")), "left").filter(
+        F.coalesce("_most", F.lit(0)) < F.col("chain_length")
+    )
+    none = F.lit(None).cast("string")
+    return found.unionByName(
+        tails.select(
+            "asset_id",
+            F.col("chain_length").alias("record_id"),
+            F.lit("MISSING_TAIL").alias("reason"),
+            none.alias("prev_hash"),
+            none.alias("curr_hash"),
+        )
+    )
 
 
 def heads(records: DataFrame) -> DataFrame:
@@ -191,6 +221,26 @@ def verify_seal(records: DataFrame, sealed: DataFrame, segment_rows: int = SEGME
     )
 
 
+def estate_root(sealed: DataFrame, digits: int = 4) -> DataFrame:
+    """One root over the heads of all assets: assets are dealt to buckets by digest, buckets are hashed in order.
+
+    ``digits`` hexadecimal digits give 16 ** digits buckets, folded by one digit per level,
+    so that no level gathers more than a bucket of assets or 16 digests in one row.
+    """
+    leaf = F.sha2(F.concat_ws("|", F.col("asset_id").cast("string"), F.col("chain_length").cast("string"), "root_hash"), 256)
+    place = F.substring(F.sha2(F.col("asset_id").cast("string"), 256), 1, digits)
+    counts = [F.lit(1).cast("bigint").alias("assets"), F.col("chain_length").cast("bigint").alias("records")]
+    level = sealed.select(place.alias("place"), leaf.alias("digest"), *counts)
+    for depth in range(digits, -1, -1):
+        children = F.array_sort(F.collect_list(F.struct("place", "digest")))
+        level = (
+            level.groupBy(F.substring("place", 1, depth).alias("parent"))
+            .agg(children.alias("children"), F.sum("assets").alias("assets"), F.sum("records").alias("records"))
+            .select(F.col("parent").alias("place"), F.sha2(F.array_join("children.digest", "|"), 256).alias("digest"), "assets", "records")
+        )
+    return level.select("assets", "records", F.col("digest").alias("estate_root"))
+
+
 def summary(records: DataFrame, broken: DataFrame) -> DataFrame:
     """Length, validity and first and last hash per asset."""
     faults = broken.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_faults"))

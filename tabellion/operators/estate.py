@@ -211,14 +211,13 @@ def fct_order_payments(payments: DataFrame) -> DataFrame:
 def fct_orders(orders: DataFrame, customers: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
     """Order-grain fact: items and reviews are reduced to the order before they are joined.
 
-    Where the source has no delivery time, the last shipping time of the items stands in.
+    An order without a delivery time is not delivered, so it is not late either.
     """
     per_order = items.groupBy("order_id").agg(
         F.count("order_item_id").alias("n_items"),
         F.countDistinct("product_id").alias("n_products"),
         F.sum(F.col("item_price").cast("decimal(18,4)")).alias("merchandise"),
         F.sum(F.col("freight_value").cast("decimal(18,4)")).alias("freight"),
-        F.max("shipping_limit_timestamp").alias("last_shipped_at"),
     )
     rating = reviews.groupBy("order_id").agg(
         F.round(F.sum("review_score").cast("decimal(20,0)") / F.count("review_score"), 1)
@@ -229,7 +228,7 @@ def fct_orders(orders: DataFrame, customers: DataFrame, items: DataFrame, review
     none = F.lit(0).cast("decimal(18,4)")
     merchandise = F.coalesce("merchandise", none)
     freight = F.coalesce("freight", none)
-    delivered = F.coalesce("delivered_customer_at", "last_shipped_at")
+    delivered = F.col("delivered_customer_at")
     return (
         orders.join(per_order, "order_id", "left")
         .join(rating, "order_id", "left")
@@ -243,7 +242,7 @@ def fct_orders(orders: DataFrame, customers: DataFrame, items: DataFrame, review
             "order_status",
             "purchase_timestamp",
             "approved_at",
-            delivered.alias("delivered_customer_at"),
+            "delivered_customer_at",
             "estimated_delivery_at",
             F.coalesce("n_items", F.lit(0)).alias("total_order_items"),
             F.coalesce("n_products", F.lit(0)).alias("distinct_products_count"),

@@ -12,13 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabellion.functions.columns import first_match, ratio, stable_id
-from tabellion.functions.ordered import MAX_GROUP_ROWS, OrderedGroups
 from tabellion.session import checkpointed
 
-# fixed values: depth limits, confidence factors, transformation types
-MAX_DEPTH = 10
-MAX_HOPS = 6
 COMPACT_LEVELS = 8
+# fixed values: confidence factors, transformation types
 COPY_FACTOR, OTHER_FACTOR = 0.98, 0.90
 DIRECT_COPY = "DIRECT_COPY"
 TRANSFORMATIONS = {"column": DIRECT_COPY, "aggregate": "AGGREGATION", "expression": "DERIVED_EXPRESSION"}
@@ -54,11 +51,12 @@ def keyed(edges: DataFrame, ordinal: Column) -> DataFrame:
     )
 
 
-def traverse(edges: DataFrame, roots: DataFrame, upstream: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All simple paths from each root (column ``root``), up to ``max_depth`` edges.
+def traverse(edges: DataFrame, roots: DataFrame, upstream: bool = False, max_depth: int | None = None) -> DataFrame:
+    """All simple paths from each root (column ``root``), of at most ``max_depth`` edges if that is given.
 
     Gives root, node (the end of the path), depth, path (array, root first) and the type of
-    the last edge. A node never repeats on a path, so cycles end.
+    the last edge. A node never repeats on a path, so cycles end. The number of paths can be
+    far larger than that of nodes; ``closure`` tells what is reached without listing paths.
     """
     near, far = ("target", "source") if upstream else ("source", "target")
     hops = checkpointed(
@@ -67,7 +65,9 @@ def traverse(edges: DataFrame, roots: DataFrame, upstream: bool = False, max_dep
     start = roots.select("root").distinct()
     frontier = start.select("root", F.col("root").alias("node"), F.array("root").alias("path"))
     levels: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth or not levels:
+        depth += 1
         step = frontier.join(hops, F.col("node") == F.col("_near")).filter(~F.array_contains("path", F.col("_far")))
         reached = checkpointed(
             step.select(
@@ -85,17 +85,17 @@ def traverse(edges: DataFrame, roots: DataFrame, upstream: bool = False, max_dep
     return reduce(DataFrame.unionAll, levels)
 
 
-def downstream(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def downstream(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     found = traverse(edges, roots, False, max_depth)
     return found.withColumn("lineage_path", F.array_join("path", " -> ")).drop("path").distinct()
 
 
-def upstream(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def upstream(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     found = traverse(edges, roots, True, max_depth)
     return found.withColumn("lineage_path", F.array_join("path", " <- ")).drop("path").distinct()
 
 
-def both_ways(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
+def both_ways(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Number of upstream and downstream paths and nodes per root."""
     up = traverse(edges, roots, True, max_depth).select("root", "node", F.lit("UPSTREAM").alias("direction"))
     down = traverse(edges, roots, False, max_depth).select("root", "node", F.lit("DOWNSTREAM").alias("direction"))
@@ -105,10 +105,20 @@ def both_ways(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFra
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Every node reachable from each root with its shortest distance; each node is expanded once."""
+    """Every node reachable from each root with its shortest distance; each node is expanded once per root."""
+    start = roots.select("root").distinct().select("root", F.col("root").alias("node"))
+    return _spread(edges, start, max_depth)
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes that any root leads to; all roots spread as one, so each node is expanded once."""
+    start = roots.select(F.lit("").alias("root"), F.col("root").alias("node")).distinct()
+    return _spread(edges, start, None).select("node")
+
+
+def _spread(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataFrame:
     hops = checkpointed(edges.select(F.col("source").alias("_near"), F.col("target").alias("_far")).distinct())
-    start = roots.select("root").distinct()
-    frontier = checkpointed(start.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("depth")))
+    frontier = checkpointed(start.withColumn("depth", F.lit(0).cast("bigint")))
     levels = [frontier]
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -135,8 +145,8 @@ def _compacted(levels: list[DataFrame]) -> DataFrame:
     return checkpointed(reduce(DataFrame.unionAll, levels).coalesce(partitions))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """Carries tags downstream from all seeds at once.
+def propagate(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Carries tags downstream from all seeds at once, to the end or for ``max_hops`` hops.
 
     ``seeds``: root, tag_name, tag_value, confidence. Every traversed edge gives a row; a node
     is expanded only from its first visit, which is the one whose edges come first in
@@ -159,7 +169,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS) -> D
     )
     visited = [frontier.select(*keys, "node")]
     emitted: list[DataFrame] = []
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while True:
+        hop += 1
         factor = F.when(F.col("transformation_type") == DIRECT_COPY, COPY_FACTOR).otherwise(OTHER_FACTOR)
         step = frontier.join(hops, F.col("node") == F.col("_near")).select(
             *keys,
@@ -232,15 +244,14 @@ def graph_edges(edges: DataFrame, topology: DataFrame, nodes: DataFrame, parts:
     )
 
 
-def certified_pii_consumption(assets: DataFrame, tags: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def certified_pii_consumption(assets: DataFrame, tags: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Certified tables with PII columns that reach a dashboard, and by which path.
 
     The path may start at the table or at the column; the two cases are separate equality
-    joins, since one join on either would compare every pair.
+    joins, since one join on either would compare every pair. What reaches a dashboard at all
+    is found first, each node once; paths are listed only among nodes that lie between a
+    certified table or column of this kind and a dashboard.
     """
-    dashboards = edges.filter(F.col("target").contains("dashboard")).select(F.col("target").alias("root")).distinct()
-    reversed_path = F.reverse(F.slice("path", 1, F.size("path") - 1))
-    sources = traverse(edges, dashboards, True, max_depth).select("node", F.array_join(reversed_path, " -> ").alias("consumed_by_dashboard"))
     pii = (
         assets.join(tags.filter(F.col("tag_name").startswith("PII")), "asset_id")
         .select(
@@ -254,7 +265,17 @@ def certified_pii_consumption(assets: DataFrame, tags: DataFrame, edges: DataFra
     certified = assets.filter((F.col("asset_type") == "TABLE") & (F.col("certification_status") == "CERTIFIED")).select(
         F.col("asset_id").alias("table_id"), F.col("name").alias("table_name"), "certification_status", "owner"
     )
-    columns = certified.join(pii, "table_id")
+    columns = checkpointed(certified.join(pii, "table_id"))
+    dashboards = edges.filter(F.col("target").contains("dashboard")).select(F.col("target").alias("root")).distinct()
+    reversed_edges = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    above = checkpointed(reachable(reversed_edges, dashboards))
+    wanted = columns.select(F.col("table_id").alias("root")).unionAll(columns.select("column_id")).distinct()
+    starts = checkpointed(wanted.join(above, F.col("root") == F.col("node"), "left_semi"))
+    sources_kept = starts.select("root").unionAll(reachable(edges, starts).select("node")).toDF("source").distinct()
+    targets_kept = dashboards.unionAll(above).toDF("target").distinct()
+    kept = edges.join(sources_kept, "source", "left_semi").join(targets_kept, "target", "left_semi")
+    reversed_path = F.reverse(F.slice("path", 1, F.size("path") - 1))
+    sources = traverse(kept, dashboards, True, max_depth).select("node", F.array_join(reversed_path, " -> ").alias("consumed_by_dashboard"))
     shown = ["table_name", "certification_status", "owner", "column_name", "pii_type", "consumed_by_dashboard"]
     by_table = columns.join(sources, F.col("table_id") == F.col("node")).select(*shown)
     by_column = columns.join(sources, F.col("column_id") == F.col("node")).select(*shown)
@@ -300,27 +321,17 @@ def run_events(
     namespace: str,
     event_time: str,
     producer: str,
-    edges_per_event: int = 10_000,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """COMPLETE run events with column lineage, as JSON: one per target table.
-
-    A table with more than ``edges_per_event`` edges gives several events (``part`` 0, 1, ...),
-    so no event, and no task, has to hold an unbounded table.
-    """
-    order = ["target_column", "source_table", "source_column", "position"]
-    numbered = OrderedGroups(edges, ["target_table"], order, max_group_rows).row_number("_n")
-    parted = numbered.withColumn("part", F.floor((F.col("_n") - 1) / edges_per_event))
-    table = ["target_table", "part"]
+    """COMPLETE run events with column lineage, as JSON: one per target table, as the event format asks."""
     field = F.struct(F.lit(namespace).alias("namespace"), F.col("source_table").alias("name"), F.col("source_column").alias("field"))
-    by_column = parted.groupBy(*table, "target_column").agg(
+    by_column = edges.groupBy("target_table", "target_column").agg(
         F.array_sort(F.collect_set(field)).alias("inputFields"),
         F.min("transformation_type").alias("transformationType"),
         F.coalesce(F.min("expression"), F.min("transformation_type")).alias("transformationDescription"),
         F.collect_set("source_table").alias("_sources"),
     )
     entry = F.struct("target_column", F.struct("inputFields", "transformationDescription", "transformationType").alias("facet"))
-    by_table = by_column.groupBy(*table).agg(
+    by_table = by_column.groupBy("target_table").agg(
         F.array_sort(F.collect_list(entry)).alias("_fields"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_sources")))).alias("_sources"),
     )
@@ -335,4 +346,4 @@ def run_events(
         F.array(F.struct(F.lit(namespace).alias("namespace"), F.col("target_table").alias("name"), facets.alias("facets"))).alias("outputs"),
         F.lit(producer).alias("producer"),
     )
-    return by_table.select(*table, F.to_json(event).alias("event"))
+    return by_table.select("target_table", F.to_json(event).alias("event"))

@@ -5,8 +5,9 @@ into narrow (column number, value) rows, and counts the values with a map-side c
 count, nulls, distinct values, bounds, mean and samples all follow from those counts, so no
 row is widened and no column needs a scan of its own.
 
-Long texts are counted by digest, so the shuffle carries 64 characters per value and not the
-text; their bounds and samples come from a second pass that shuffles a few values per task.
+Strings are counted by digest and first characters, so the shuffle carries a bounded number of
+characters per value and never a whole text. The first characters tell which rows can hold the
+smallest values and the largest; a second pass takes only those.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from tabellion.functions.columns import ratio
 from tabellion.functions.patterns import VALUE_PATTERNS, matches
 
 SAMPLES = 5
-LONG_TEXT_BYTES = 256
+#: first characters of a string that are counted beside its digest
+PREFIX = 64
 LISTING = "column int, table_name string, ordinal int, column_name string, data_type string, neighbor_columns array<string>"
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType)
-_PLAIN = (T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_PLAIN = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def resolve_column(df: DataFrame, name: str) -> str:
@@ -55,7 +57,10 @@ def value_counts(tables: Mapping[str, DataFrame]) -> tuple[list[ColumnRef], dict
     columns = _numbered(tables)
     counted = {}
     for family in sorted({c.family for c in columns}):
-        counted[family] = _narrow(tables, columns, family).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        rows, keys = _narrow(tables, columns, family), ["column", "value"]
+        if family == "string":
+            rows, keys = rows.select("column", F.sha2("value", 256).alias("value"), F.substring("value", 1, PREFIX).alias("prefix")), [*keys, "prefix"]
+        counted[family] = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return columns, counted
 
 
@@ -70,8 +75,8 @@ def profile_tables(tables: Mapping[str, DataFrame], samples: int = SAMPLES, patt
     per_family = []
     for family, counts in counted.items():
         stats = _statistics(counts, family, samples, patterns_from)
-        if family == "long":
-            stats = stats.join(_long_values(tables, columns, counts, samples, patterns_from), "column", "left")
+        if family == "string":
+            stats = stats.join(_string_values(tables, columns, counts, samples, patterns_from), "column", "left")
         per_family.append(stats.select(*_STATISTICS))
     found = reduce(DataFrame.unionByName, per_family)
     numbers = {(c.table, c.name): c.number for c in columns}
@@ -117,7 +122,7 @@ def profile_column(df: DataFrame, table: str, column: str, **options) -> DataFra
 
 def profile_sketch(df: DataFrame, name: str) -> DataFrame:
     """Counts, nulls, approximate distinct values and bounds in one scan without a shuffle of values."""
-    fields = [f for f in df.schema.fields if isinstance(f.dataType, _WHOLE + _REAL + _PLAIN)]
+    fields = [f for f in df.schema.fields if isinstance(f.dataType, (*_WHOLE, *_REAL, *_PLAIN, T.StringType))]
     rows = F.count(F.lit(1))
     cells = [
         F.struct(
@@ -170,28 +175,8 @@ _STATISTICS = [
 
 
 def _numbered(tables: Mapping[str, DataFrame]) -> list[ColumnRef]:
-    long = _long_columns(tables)
-    columns = []
-    for table, df in tables.items():
-        for field in df.schema.fields:
-            family = "long" if (table, field.name) in long else _family(field.dataType)
-            columns.append(ColumnRef(len(columns), table, field.name, family))
-    return columns
-
-
-def _long_columns(tables: Mapping[str, DataFrame]) -> set[tuple[str, str]]:
-    """Text columns with a value longer than ``LONG_TEXT_BYTES`` (one aggregate per table, no shuffle of values)."""
-    texts = [(t, f.name) for t, df in tables.items() for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return set()
-    widest = []
-    for table, df in tables.items():
-        own = [c for t, c in texts if t == table]
-        if own:
-            cells = [F.struct(F.lit(c).alias("c"), F.max(F.octet_length(f"`{c}`")).alias("bytes")) for c in own]
-            widest.append(df.agg(F.array(*cells).alias("cells")).select(F.lit(table).alias("t"), F.inline("cells")))
-    rows = reduce(DataFrame.unionAll, widest).filter(F.col("bytes") > LONG_TEXT_BYTES).collect()
-    return {(r.t, r.c) for r in rows}
+    listed = [(table, field) for table, df in tables.items() for field in df.schema.fields]
+    return [ColumnRef(i, table, field.name, _family(field.dataType)) for i, (table, field) in enumerate(listed)]
 
 
 def _narrow(tables: Mapping[str, DataFrame], columns: list[ColumnRef], family: str) -> DataFrame:
@@ -215,7 +200,7 @@ def _statistics(counts: DataFrame, family: str, samples: int, patterns_from: str
         F.count(value).alias("distinct_count"),
         _mean(value, known, family).alias("avg_value"),
     ]
-    if family == "long":
+    if family == "string":
         return counts.groupBy("column").agg(*aggregates)
     none = F.lit(None).cast("string")
     no_list = F.lit(None).cast("array<string>")
@@ -248,23 +233,34 @@ def _smallest(counts: DataFrame, samples: int, shown: Column) -> DataFrame:
     )
 
 
-def _long_values(
+def _string_values(
     tables: Mapping[str, DataFrame], columns: list[ColumnRef], counts: DataFrame, samples: int, patterns_from: str
 ) -> DataFrame:
-    """Bounds and samples of long texts; the samples are the values with the smallest digests."""
-    long = [ColumnRef(c.number, c.table, c.name, "text") for c in columns if c.family == "long"]
-    texts = _narrow(tables, long, "text").withColumn("digest", F.sha2("value", 256))
-    picks = _smallest(counts, samples, F.col("value")).select("column", F.explode("sample_values").alias("digest"), F.lit(True).alias("_picked"))
-    marked = texts.join(F.broadcast(picks), ["column", "digest"], "left")
-    chosen = F.array_sort(F.collect_set(F.when(F.col("_picked"), F.struct("digest", "value"))))
-    bounds = marked.groupBy("column").agg(
-        F.min("value").alias("min_value"), F.max("value").alias("max_value"), chosen.alias("_chosen")
-    )
-    found = bounds.withColumn("sample_values", F.col("_chosen.value")).drop("_chosen")
+    """Bounds and smallest values of strings.
+
+    The ``samples`` smallest values begin with one of the ``samples`` smallest distinct
+    prefixes, the largest with the largest; only rows with such a prefix are read for values.
+    """
+    texts = _narrow(tables, columns, "string")
+    # the counts stay in the condition, so that this reads the same shuffle as the statistics
+    prefixes = counts.filter(F.when(F.col("n") > 0, F.col("prefix")).isNotNull()).select("column", "prefix").distinct()
+    order = Window.partitionBy("column").orderBy("prefix")
+    low = prefixes.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= samples)
+    low = low.groupBy("column").agg(F.max("prefix").alias("_low"))
+    high = prefixes.groupBy("column").agg(F.max("prefix").alias("_high"))
+    # one row of two short strings per column: bounded by the schema
+    limits = F.broadcast(low.join(high, "column"))
+    prefix = F.substring("value", 1, PREFIX)
+    near = texts.join(limits, "column")
+    top = near.filter(prefix == F.col("_high")).groupBy("column").agg(F.max("value").alias("max_value"))
+    values = near.filter(prefix <= F.col("_low")).select("column", "value").distinct()
+    least = _smallest(values.withColumn("n", F.lit(1)), samples, F.col("value"))
+    least = least.withColumn("min_value", F.get("sample_values", F.lit(0)))
+    found = top.join(least, "column")
     if patterns_from != "values":
         return found.withColumn("detected_patterns", F.lit(None).cast("array<string>"))
     tested = texts.filter(F.col("value").isNotNull()).select(
-        "column", "digest", *[matches(F.col("value"), name).alias(name) for name in VALUE_PATTERNS]
+        "column", F.sha2("value", 256).alias("digest"), *[matches(F.col("value"), name).alias(name) for name in VALUE_PATTERNS]
     )
     enough = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2))
     hits = [F.when(F.count_if(F.col(name)) >= enough, F.lit(name)) for name in VALUE_PATTERNS]
@@ -285,16 +281,18 @@ def _family(kind: T.DataType) -> str:
         return "real"
     if isinstance(kind, T.DecimalType):
         return "exact"
+    if isinstance(kind, T.StringType):
+        return "string"
     if isinstance(kind, _PLAIN):
         return "text"
     return "nested"
 
 
 def _as_family(value: Column, family: str) -> Column:
-    casts = {"whole": "bigint", "real": "double", "exact": "decimal(38,10)", "text": "string"}
+    casts = {"whole": "bigint", "real": "double", "exact": "decimal(38,10)", "text": "string", "string": "string"}
     if family in casts:
         return value.cast(casts[family])
-    return F.sha2(value, 256) if family == "long" else F.sha2(F.to_json(F.struct(value.alias("v"))), 256)
+    return F.sha2(F.to_json(F.struct(value.alias("v"))), 256)
 
 
 def _shown(value: Column, family: str) -> Column:

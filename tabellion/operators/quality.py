@@ -19,7 +19,6 @@ from tabellion.functions.patterns import VALUE_PATTERNS, stripped
 # fixed values: rule weights and the certification gate
 WEIGHTS = {"ERROR": 2, "WARNING": 1}
 CERTIFY_SCORE = 0.85
-SHORTEST_POSTAL_CODE = 4
 
 RESULT_COLUMNS = [
     "table_name",
@@ -107,8 +106,6 @@ def failing(rule: Rule) -> Column:
     if rule.rule_type == "TEMPORAL_ORDER":
         return F.coalesce(column < F.col(f"`{rule.other}`"), F.lit(False))
     text = stripped(column.cast("string"))
-    if rule.pattern and "ZIP" in rule.pattern:
-        return column.isNotNull() & (F.length(text) < SHORTEST_POSTAL_CODE)
     expression = VALUE_PATTERNS.get(rule.pattern, rule.pattern)
     return column.isNotNull() & ~text.rlike(expression)
 

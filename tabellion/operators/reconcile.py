@@ -28,8 +28,13 @@ def leaked_values(samples: Column, text: Column, shortest: int) -> Column:
 
 
 def redact_values(text: Column, values: Column, mark: str = REDACTED) -> Column:
-    """``text`` with every listed value replaced, in list order (the replacement is case-sensitive)."""
-    return F.aggregate(values, text, lambda acc, v: F.replace(acc, v, F.lit(mark)))
+    """``text`` with every listed value replaced whatever its case, in list order."""
+
+    def hidden(done: Column, value: Column) -> Column:
+        quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        return F.regexp_replace(done, quoted, F.lit(mark))
+
+    return F.aggregate(values, text, hidden)
 
 
 # fixed values: the fields that make up the context of a column, in order

@@ -61,16 +61,18 @@ class Estate:
 
     @cached_property
     def raw_orders(self) -> DataFrame:
+        """Orders; the test tables have no delivery time, the last shipping date of the items stands in."""
         placed = F.col("o_orderdate")
         never = F.lit(None).cast("timestamp_ntz")
-        return self.table("orders").select(
+        shipped = self.table("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+        return self.table("orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
             F.concat("o_orderstatus", F.lit(" ")).alias("order_status"),
             placed.alias("order_purchase_timestamp"),
             F.when(F.col("o_orderstatus") != "P", placed + F.expr("INTERVAL 1 DAY")).alias("order_approved_at"),
             never.alias("order_delivered_carrier_date"),
-            never.alias("order_delivered_customer_date"),
+            F.col("shipped").cast("timestamp_ntz").alias("order_delivered_customer_date"),
             (placed + F.expr("INTERVAL 90 DAYS")).alias("order_estimated_delivery_date"),
         )
 
@@ -125,7 +127,7 @@ class Estate:
         turn = F.col("turn").cast("int")
         start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
         created = start + F.make_dt_interval(turn)
-        return self.table("conversations").filter(F.col("role") == "user").select(
+        return self.table("conversations").select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"),
             F.col("conv_id").alias("order_id"),
             (F.length(F.trim("text")) % 5 + 1).alias("review_score"),

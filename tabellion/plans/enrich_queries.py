@@ -229,7 +229,7 @@ define(
 define(
     "reconciled_t",
     f"""SELECT table_name, column_name,
-    list_reduce(list_prepend(description, leaks), lambda acc, v: replace(acc, v, '[REDACTED_PII]')) AS description,
+    list_reduce(list_prepend(description, leaks), lambda acc, v: regexp_replace(acc, '(?i)' || regexp_escape(v), '[REDACTED_PII]', 'g')) AS description,
     is_pii OR disagree AS is_pii,
     CASE WHEN disagree THEN CASE WHEN list_contains(detected_patterns, 'ZIP_PATTERN') THEN 'POSTAL_CODE' ELSE 'SENSITIVE' END ELSE pii_type END AS pii_type,
     sensitivity_level, term_name AS glossary_term, len(rules) AS suggested_rules_count,

@@ -49,13 +49,13 @@ def recursive(tables: str, recursion: str, select: str) -> str:
     return f"{shared.replace('WITH ', 'WITH RECURSIVE ', 1)},\n{recursion}\n{select}"
 
 
-def walk_sql(roots: str, upstream: bool, depth: int, select: str, edges: str = "part_edges_t", also: str = "") -> str:
+def walk_sql(roots: str, upstream: bool, select: str, edges: str = "part_edges_t", also: str = "") -> str:
     near, far = ("target", "source") if upstream else ("source", "target")
     return recursive(
         f"{edges}{also}",
         f"""hops AS (SELECT DISTINCT {near} AS a, {far} AS b, transformation_type FROM {edges}), roots AS ({roots}),
     walks AS (SELECT root, b AS node, CAST(1 AS BIGINT) AS depth, [root, b] AS path, transformation_type FROM roots JOIN hops ON a = root WHERE a <> b
-      UNION ALL SELECT w.root, h.b, w.depth + 1, list_append(w.path, h.b), h.transformation_type FROM walks w JOIN hops h ON h.a = w.node WHERE w.depth < {depth} AND NOT list_contains(w.path, h.b))""",
+      UNION ALL SELECT w.root, h.b, w.depth + 1, list_append(w.path, h.b), h.transformation_type FROM walks w JOIN hops h ON h.a = w.node WHERE NOT list_contains(w.path, h.b))""",
         select,
     )
 
@@ -66,7 +66,7 @@ def one_root(e: Estate, name: str) -> DataFrame:
 
 @query(
     "lineage_downstream",
-    walk_sql("SELECT 'n1' AS root", False, 10, "SELECT DISTINCT root, node, depth, array_to_string(path, ' -> ') AS lineage_path, transformation_type FROM walks"),
+    walk_sql("SELECT 'n1' AS root", False, "SELECT DISTINCT root, node, depth, array_to_string(path, ' -> ') AS lineage_path, transformation_type FROM walks"),
 )
 def lineage_downstream(e: Estate) -> DataFrame:
     return lineage.downstream(part_edges(e), one_root(e, "n1"))
@@ -81,7 +81,6 @@ def large_parts(e: Estate) -> DataFrame:
     walk_sql(
         "SELECT 'n' || p_partkey AS root FROM part WHERE p_size > 40",
         True,
-        10,
         "SELECT DISTINCT root, node, depth, array_to_string(path, ' <- ') AS lineage_path, transformation_type FROM walks",
     ),
 )
@@ -92,32 +91,29 @@ def lineage_upstream(e: Estate) -> DataFrame:
 @query(
     "lineage_both",
     walk_sql(
-        "SELECT 'n' || p_partkey AS root FROM part",
+        "SELECT 'n' || p_partkey AS root FROM part WHERE p_size > 40",
         True,
-        5,
         """, down AS (SELECT root, target AS node, CAST(1 AS BIGINT) AS depth, [root, target] AS path FROM roots JOIN (SELECT DISTINCT source, target, transformation_type FROM part_edges_t) ON source = root
-      UNION ALL SELECT w.root, h.b, w.depth + 1, list_append(w.path, h.b) FROM down w JOIN (SELECT DISTINCT source AS a, target AS b, transformation_type FROM part_edges_t) h ON h.a = w.node WHERE w.depth < 5 AND NOT list_contains(w.path, h.b))
+      UNION ALL SELECT w.root, h.b, w.depth + 1, list_append(w.path, h.b) FROM down w JOIN (SELECT DISTINCT source AS a, target AS b, transformation_type FROM part_edges_t) h ON h.a = w.node WHERE NOT list_contains(w.path, h.b))
     SELECT root, 'UPSTREAM' AS direction, COUNT(*) AS paths, COUNT(DISTINCT node) AS nodes FROM walks GROUP BY root
     UNION ALL SELECT root, 'DOWNSTREAM', COUNT(*), COUNT(DISTINCT node) FROM down GROUP BY root""",
     ),
 )
 def lineage_both(e: Estate) -> DataFrame:
-    roots = e.table("part").select(node(F.col("p_partkey")).alias("root"))
-    return lineage.both_ways(part_edges(e), roots)
+    return lineage.both_ways(part_edges(e), large_parts(e))
 
 
 @query(
     "lineage_closure",
     recursive(
         "part_edges_t",
-        """walks AS (SELECT 'n' || p_partkey AS root, 'n' || p_partkey AS node, CAST(0 AS BIGINT) AS depth FROM part
+        """walks AS (SELECT 'n' || p_partkey AS root, 'n' || p_partkey AS node, CAST(0 AS BIGINT) AS depth FROM part WHERE p_size > 40
       UNION SELECT w.root, e.target, w.depth + 1 FROM walks w JOIN part_edges_t e ON e.source = w.node WHERE w.depth < 40)""",
         "SELECT root, node, MIN(depth) AS depth FROM walks WHERE node <> root GROUP BY root, node",
     ),
 )
 def lineage_closure(e: Estate) -> DataFrame:
-    roots = e.table("part").select(node(F.col("p_partkey")).alias("root"))
-    return lineage.closure(part_edges(e), roots)
+    return lineage.closure(part_edges(e), large_parts(e))
 
 
 def tagged_parts(e: Estate) -> DataFrame:
@@ -130,12 +126,12 @@ def tagged_parts(e: Estate) -> DataFrame:
 
 
 PROPAGATED = """seeds AS (SELECT 'n' || p_partkey AS root, p_type AS tag_value FROM part WHERE p_size < 5),
-    walks AS (SELECT root, tag_value, root AS node, 0 AS hop, CAST([] AS BIGINT[]) AS ord, 1.0::DOUBLE AS confidence, [root || ' [PII:' || tag_value || ']'] AS chain FROM seeds
+    walks AS (SELECT root, tag_value, root AS node, 0 AS hop, CAST([] AS BIGINT[]) AS ord, 1.0::DOUBLE AS confidence, [root || ' [PII:' || tag_value || ']'] AS chain, [root] AS path FROM seeds
       UNION ALL SELECT w.root, w.tag_value, e.target, w.hop + 1, list_append(w.ord, e.ordinal), w.confidence * CASE e.transformation_type WHEN 'DIRECT_COPY' THEN 0.98::DOUBLE ELSE 0.9::DOUBLE END,
-        list_append(w.chain, e.target || ' (' || e.transformation_type || ')') FROM walks w JOIN part_edges_t e ON e.source = w.node WHERE w.hop < 6),
+        list_append(w.chain, e.target || ' (' || e.transformation_type || ')'), list_append(w.path, e.target) FROM walks w JOIN part_edges_t e ON e.source = w.node WHERE NOT list_contains(w.path, e.target)),
     firsts AS (SELECT * FROM walks QUALIFY ROW_NUMBER() OVER (PARTITION BY root, tag_value, node ORDER BY hop, ord) = 1),
     spread AS (SELECT f.root, 'PII' AS tag_name, f.tag_value, e.target AS node, f.confidence * CASE e.transformation_type WHEN 'DIRECT_COPY' THEN 0.98::DOUBLE ELSE 0.9::DOUBLE END AS confidence,
-      CAST(f.hop + 1 AS BIGINT) AS hop_count, array_to_string(list_append(f.chain, e.target || ' (' || e.transformation_type || ')'), ' -> ') AS reason_chain FROM firsts f JOIN part_edges_t e ON e.source = f.node WHERE f.hop < 6)"""
+      CAST(f.hop + 1 AS BIGINT) AS hop_count, array_to_string(list_append(f.chain, e.target || ' (' || e.transformation_type || ')'), ' -> ') AS reason_chain FROM firsts f JOIN part_edges_t e ON e.source = f.node)"""
 
 
 @query("tag_propagation", recursive("part_edges_t", PROPAGATED, "SELECT * FROM spread"))
@@ -237,7 +233,7 @@ def lineage_accuracy(e: Estate) -> DataFrame:
 
 @query(
     "openlineage_events",
-    """SELECT target_table, CAST(0 AS BIGINT) AS part, '{"eventType":"COMPLETE","eventTime":"2024-01-01T00:00:00Z","run":{"runId":"' || sha256(target_table) || '"},"job":{"namespace":"estate","name":"model.' || target_table
+    """SELECT target_table, '{"eventType":"COMPLETE","eventTime":"2024-01-01T00:00:00Z","run":{"runId":"' || sha256(target_table) || '"},"job":{"namespace":"estate","name":"model.' || target_table
       || '"},"inputs":[' || (SELECT string_agg(DISTINCT '{"namespace":"estate","name":"' || x || '"}', ',' ORDER BY '{"namespace":"estate","name":"' || x || '"}') FROM (SELECT unnest(all_sources) AS x))
       || '],"outputs":[{"namespace":"estate","name":"' || target_table || '","facets":{"columnLineage":{"fields":{' || fields || '}}}}],"producer":"tabellion"}' AS event
     FROM (SELECT target_table, flatten(list(sources)) AS all_sources, string_agg('"' || target_column || '":{"inputFields":[' || inputs || '],"transformationDescription":"' || why || '","transformationType":"' || kind || '"}', ',' ORDER BY target_column) AS fields
@@ -348,7 +344,6 @@ def lineage_graph_edges(e: Estate) -> DataFrame:
     walk_sql(
         "SELECT DISTINCT target AS root FROM asset_edges_t WHERE contains(target, 'dashboard')",
         True,
-        10,
         """SELECT DISTINCT a.name AS table_name, a.certification_status, a.owner, c.name AS column_name, t.tag_value AS pii_type, array_to_string(list_reverse(path[1:len(path) - 1]), ' -> ') AS consumed_by_dashboard
         FROM assets_t a JOIN assets_t c ON c.parent_id = a.asset_id JOIN tags_t t ON t.asset_id = c.asset_id AND t.tag_name LIKE 'PII%' JOIN walks w ON w.node = a.asset_id OR w.node = c.asset_id
         WHERE a.asset_type = 'TABLE' AND a.certification_status = 'CERTIFIED'""",

@@ -32,7 +32,9 @@ def with_tables(query: str, recursive: bool = False) -> str:
     visit(query)
     if not needed:
         return query
-    parts = ",\n".join(f"{name} AS ({TABLES[name]})" for name in needed)
+    # computed once however often they are read
+    kept = {"estate_profile", "ruled", "reconciled_t"}
+    parts = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in kept else ''}({TABLES[name]})" for name in needed)
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{query}"
 
 
@@ -73,8 +75,9 @@ define(
     """SELECT o_orderkey AS order_id, o_custkey AS customer_id, lower(trim(o_orderstatus)) AS order_status,
     o_orderdate AS purchase_timestamp,
     CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 1 DAY END AS approved_at,
-    CAST(NULL AS TIMESTAMP) AS delivered_carrier_at, CAST(NULL AS TIMESTAMP) AS delivered_customer_at,
-    o_orderdate + INTERVAL 90 DAY AS estimated_delivery_at FROM orders""",
+    CAST(NULL AS TIMESTAMP) AS delivered_carrier_at, CAST(shipped AS TIMESTAMP) AS delivered_customer_at,
+    o_orderdate + INTERVAL 90 DAY AS estimated_delivery_at
+    FROM orders LEFT JOIN (SELECT l_orderkey, MAX(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""",
 )
 define(
     "stg_order_items_t",
@@ -113,7 +116,7 @@ define(
     CAST(length(trim(text)) % 5 + 1 AS INTEGER) AS review_score, trim(role) AS review_title, trim(text) AS review_comment,
     TIMESTAMP '2024-01-01' + to_days(CAST(turn AS INTEGER)) AS review_created_at,
     TIMESTAMP '2024-01-03' + to_days(CAST(turn AS INTEGER)) AS review_answered_at
-    FROM conversations WHERE role = 'user'""",
+    FROM conversations""",
 )
 define(
     "dim_customers_t",
@@ -151,8 +154,8 @@ define(
 define(
     "order_item_sums",
     """SELECT order_id, COUNT(order_item_id) AS n_items, COUNT(DISTINCT product_id) AS n_products,
-    SUM(CAST(item_price AS DECIMAL(18,4))) AS merchandise, SUM(CAST(freight_value AS DECIMAL(18,4))) AS freight,
-    MAX(shipping_limit_timestamp) AS last_shipped_at FROM stg_order_items_t GROUP BY order_id""",
+    SUM(CAST(item_price AS DECIMAL(18,4))) AS merchandise, SUM(CAST(freight_value AS DECIMAL(18,4))) AS freight
+    FROM stg_order_items_t GROUP BY order_id""",
 )
 define(
     "order_ratings",
@@ -162,12 +165,12 @@ define(
 define(
     "fct_orders_t",
     """SELECT o.order_id, o.customer_id, c.customer_unique_id, c.customer_state, c.customer_city, o.order_status,
-    o.purchase_timestamp, o.approved_at, i.last_shipped_at AS delivered_customer_at, o.estimated_delivery_at,
+    o.purchase_timestamp, o.approved_at, o.delivered_customer_at, o.estimated_delivery_at,
     COALESCE(i.n_items, 0) AS total_order_items, COALESCE(i.n_products, 0) AS distinct_products_count,
     CAST(ROUND(COALESCE(i.merchandise, 0.0000), 2) AS DOUBLE) AS merchandise_total_brl,
     CAST(ROUND(COALESCE(i.freight, 0.0000), 2) AS DOUBLE) AS freight_total_brl,
     CAST(ROUND(COALESCE(i.merchandise, 0.0000) + COALESCE(i.freight, 0.0000), 2) AS DOUBLE) AS grand_total_brl,
-    r.customer_review_score, COALESCE(i.last_shipped_at > o.estimated_delivery_at, FALSE) AS is_delayed_delivery
+    r.customer_review_score, COALESCE(o.delivered_customer_at > o.estimated_delivery_at, FALSE) AS is_delayed_delivery
     FROM stg_orders_t o LEFT JOIN stg_customers_t c ON o.customer_id = c.customer_id
     LEFT JOIN order_item_sums i ON o.order_id = i.order_id LEFT JOIN order_ratings r ON o.order_id = r.order_id""",
 )

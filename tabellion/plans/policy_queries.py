@@ -353,12 +353,24 @@ def audit_verify(e: Estate) -> DataFrame:
 
 @query(
     "audit_verify_tampered",
-    f"""SELECT user_id AS asset_id, record_id, CASE WHEN event_id % 500 = 7 OR event_id % 700 = 9 THEN 'CONTENT' ELSE 'MISSING_RECORD' END AS reason
+    """SELECT user_id AS asset_id, record_id, CASE WHEN event_id % 500 = 7 OR event_id % 700 = 9 THEN 'CONTENT' ELSE 'MISSING_RECORD' END AS reason
     FROM (SELECT *, LAG(event_id) OVER (PARTITION BY user_id ORDER BY record_id) AS earlier FROM state_changes_t)
-    WHERE event_id % 900 <> 11 AND ((event_id % 500 = 7 AND 'agent_' || (event_id % 7) <> 'nobody') OR event_id % 700 = 9 OR ((record_id - 1) % {SEGMENT} <> 0 AND earlier % 900 = 11))""",
+    WHERE event_id % 900 <> 11 AND (event_id % 500 = 7 OR event_id % 700 = 9 OR earlier % 900 = 11)
+    UNION ALL SELECT user_id, MAX(record_id), 'MISSING_TAIL' FROM state_changes_t GROUP BY user_id HAVING max_by(event_id, record_id) % 900 = 11""",
 )
 def audit_verify_tampered(e: Estate) -> DataFrame:
-    return audit.verify(tampered(e), SEGMENT).select("asset_id", "record_id", "reason")
+    return audit.verify(tampered(e), SEGMENT, audit.seal(trail(e), SEGMENT)).select("asset_id", "record_id", "reason")
+
+
+@query(
+    "audit_verify_seal",
+    f"""SELECT user_id AS asset_id, MAX(record_id) AS chain_length, MAX(record_id) FILTER (event_id % 900 <> 11) AS found_length
+    FROM (SELECT *, MAX(record_id) OVER (PARTITION BY user_id) AS last FROM state_changes_t) GROUP BY user_id
+    HAVING COUNT(*) FILTER (event_id % 900 = 11 AND (record_id % {SEGMENT} = 0 OR record_id = last)) > 0""",
+)
+def audit_verify_seal(e: Estate) -> DataFrame:
+    """Assets whose segment heads no longer lead to the sealed root."""
+    return audit.verify_seal(tampered(e), audit.seal(trail(e), SEGMENT), SEGMENT)
 
 
 @query(
@@ -378,18 +390,29 @@ def audit_tail(e: Estate) -> DataFrame:
     return audit.tail(trail(e)).select("asset_id", "event_id", "record_id", "curr_hash")
 
 
-@query(
-    "audit_seal",
-    chain_sql(
-        f"""SELECT asset_id, CAST(SUM(n) AS BIGINT) AS chain_length,
+SEALED = f"""SELECT asset_id, CAST(SUM(n) AS BIGINT) AS chain_length,
         CASE WHEN COUNT(*) = 1 AND MAX(widest) = 0 THEN max(digest) ELSE sha256(string_agg(digest, '|' ORDER BY place)) END AS root_hash
         FROM (SELECT *, MAX(place) OVER () AS widest FROM (SELECT asset_id, (record_id - 1) // {SEGMENT} AS place, COUNT(*) AS n, max_by(curr_hash, record_id) AS digest FROM chain_t GROUP BY ALL)) GROUP BY asset_id"""
-    ),
-)
+
+
+@query("audit_seal", chain_sql(SEALED))
 def audit_seal(e: Estate) -> DataFrame:
     return audit.seal(trail(e), SEGMENT)
 
 
+def _estate_root_sql(digits: int = 4) -> str:
+    level = f"SELECT substr(sha256(asset_id::VARCHAR), 1, {digits}) AS place, sha256(asset_id || '|' || chain_length || '|' || root_hash) AS digest, 1 AS assets, chain_length AS records FROM ({SEALED})"
+    for depth in range(digits, -1, -1):
+        level = f"SELECT substr(place, 1, {depth}) AS place, sha256(string_agg(digest, '|' ORDER BY place, digest)) AS digest, SUM(assets) AS assets, SUM(records) AS records FROM ({level}) GROUP BY substr(place, 1, {depth})"
+    return f"SELECT CAST(assets AS BIGINT) AS assets, CAST(records AS BIGINT) AS records, digest AS estate_root FROM ({level})"
+
+
+@query("audit_estate_root", chain_sql(_estate_root_sql()))
+def audit_estate_root(e: Estate) -> DataFrame:
+    """One root over the heads of all assets."""
+    return audit.estate_root(audit.seal(trail(e), SEGMENT))
+
+
 @query("state_diff", "SELECT user_id AS asset_id, event_id, diff_text, before_text, after_text FROM state_changes_t")
 def state_diff(e: Estate) -> DataFrame:
     before, after = F.col("before_state"), F.col("after_state")

@@ -13,7 +13,6 @@ from tabellion.plans.registry import query, register
 from tabellion.plans.schemas import FLAT_TABLES, SCHEMAS
 
 NUMBERS = ("int", "bigint", "double")
-LONG_TEXTS = {("documents", "text"), ("pages", "html"), ("benchmark", "text"), ("conversations", "text")}
 
 
 def shown(expression: str, kind: str) -> str:
@@ -43,12 +42,11 @@ def column_profile(table: str, ordinal: int, column: str, kind: str, values: str
         if kind in NUMBERS
         else "CAST(NULL AS DOUBLE)"
     )
-    order = "sha256(d)" if (table, column) in LONG_TEXTS else "d"
     neighbours = ", ".join(f"'{c}'" for c, _ in SCHEMAS[table] if c != column)
     return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, CAST({ordinal} AS INTEGER) AS ordinal, '{kind}' AS data_type,
     COUNT(*) AS total_rows, COUNT(*) - COUNT(v) AS null_count, COUNT(DISTINCT v) AS distinct_count,
     {shown('MIN(v)', kind)} AS min_value, {shown('MAX(v)', kind)} AS max_value, {mean} AS avg_value,
-    (SELECT COALESCE(list({shown('d', kind)} ORDER BY {order}), CAST([] AS VARCHAR[])) FROM (SELECT DISTINCT v AS d FROM ({source}) WHERE v IS NOT NULL ORDER BY {order} LIMIT 5)) AS sample_values,
+    (SELECT COALESCE(list({shown('d', kind)} ORDER BY d), CAST([] AS VARCHAR[])) FROM (SELECT DISTINCT v AS d FROM ({source}) WHERE v IS NOT NULL ORDER BY d LIMIT 5)) AS sample_values,
     CAST([{neighbours}] AS VARCHAR[]) AS neighbor_columns FROM ({source})"""
 
 
@@ -132,6 +130,21 @@ def profile_one_column(e: Estate) -> DataFrame:
     return flat(profile.profile_column(e.table("orders"), "orders", "O_Order-Date"))
 
 
-@query("profile_sketch_lineitem")
+def sketch_sql(table: str) -> str:
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{table}' AS table_name, '{c}' AS column_name, COUNT(*) AS total_rows, COUNT(*) - COUNT({c}) AS null_count,
+        {shown(f'MIN({c})', k)} AS min_value, {shown(f'MAX({c})', k)} AS max_value, TRUE AS near_exact FROM {table}"""
+        for c, k in SCHEMAS[table]
+    )
+
+
+@query("profile_sketch_lineitem", sketch_sql("lineitem"))
 def profile_sketch_lineitem(e: Estate) -> DataFrame:
-    return profile.profile_sketch(e.table("lineitem"), "lineitem")
+    """The sketch, and whether its distinct counts are within a tenth of the exact ones."""
+    sketch = profile.profile_sketch(e.table("lineitem"), "lineitem")
+    exact = profile.profile_table(e.table("lineitem"), "lineitem").select("column_name", "distinct_count")
+    off = F.abs(F.col("approx_distinct") - F.col("distinct_count"))
+    near = (off <= F.greatest(F.lit(1.0), F.col("distinct_count") * 0.1)).alias("near_exact")
+    return sketch.join(exact, "column_name").select(
+        "table_name", "column_name", "total_rows", "null_count", "min_value", "max_value", near
+    )

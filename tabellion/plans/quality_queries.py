@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabellion.functions.patterns import VALUE_PATTERNS
 from tabellion.operators import classify, defects, quality
 from tabellion.operators.profile import profile_tables
 from tabellion.operators.quality import Rule
 from tabellion.plans.binding import Estate
 from tabellion.plans.oracle import half_up
-from tabellion.plans.profile_queries import table_profile_sql
+from tabellion.plans.profile_queries import strip, table_profile_sql
 from tabellion.plans.registry import query, register
 from tabellion.plans.schemas import SCHEMAS
 
@@ -81,7 +82,7 @@ register(
         [
             result_sql("part", "PATTERN_MATCH", "p_brand", "WARNING", failing_if("NOT regexp_matches(trim(p_brand), '^Brand#[0-9]\\z')"), "part"),
             result_sql("orders", "PATTERN_MATCH", "o_orderdate", "WARNING", failing_if("NOT regexp_matches(CAST(o_orderdate AS VARCHAR), '^[0-9]{4}-[0-9]{2}-[0-9]{2}')"), "orders"),
-            result_sql("orders", "PATTERN_MATCH", "o_orderkey", "WARNING", failing_if("length(CAST(o_orderkey AS VARCHAR)) < 4"), "orders"),
+            result_sql("orders", "PATTERN_MATCH", "o_orderkey", "WARNING", failing_if("NOT regexp_matches(CAST(o_orderkey AS VARCHAR), '^[0-9]{4,5}(-[0-9]{3,4})?\\z')"), "orders"),
             result_sql("pages", "PATTERN_MATCH", "url", "ERROR", failing_if("NOT starts_with(url, 'https://')"), "pages"),
         ]
     ),
@@ -194,13 +195,24 @@ register("quality_rule_results", table_results, TABLE_RESULTS_SQL)
 register("table_quality", table_scores, TABLE_SCORES_SQL)
 
 
+def proposed_patterns_sql(table: str) -> str:
+    """A pattern rule for each pattern that the samples of a column show, with the values that break it."""
+    return "\nUNION ALL\n".join(
+        f"""SELECT column_name, 'PATTERN_MATCH', 'WARNING', (SELECT COUNT(*) FROM {table} WHERE {c} IS NOT NULL AND NOT regexp_matches({strip(f'CAST({c} AS VARCHAR)')}, '{p}'))
+        FROM prof WHERE column_name = '{c}' AND list_contains(detected_patterns, '{name}')"""
+        for c, _ in SCHEMAS[table]
+        for name, p in VALUE_PATTERNS.items()
+    )
+
+
 @query(
     "proposed_rule_results",
     f"""WITH prof AS ({table_profile_sql('customer')})
-    SELECT 'customer' AS table_name, rule_type, column_name, severity, TRUE AS passed, CAST(0 AS BIGINT) AS failing_rows_count, (SELECT COUNT(*) FROM customer) AS total_rows_count
-    FROM (SELECT column_name, 'NOT_NULL' AS rule_type, 'ERROR' AS severity FROM prof WHERE null_count = 0 AND total_rows > 0
-      UNION ALL SELECT column_name, 'UNIQUE', 'ERROR' FROM prof WHERE is_unique
-      UNION ALL SELECT column_name, 'RANGE_CHECK', 'WARNING' FROM prof WHERE avg_value IS NOT NULL)""",
+    SELECT 'customer' AS table_name, rule_type, column_name, severity, failing = 0 AS passed, CAST(failing AS BIGINT) AS failing_rows_count, (SELECT COUNT(*) FROM customer) AS total_rows_count
+    FROM (SELECT column_name, 'NOT_NULL' AS rule_type, 'ERROR' AS severity, 0 AS failing FROM prof WHERE null_count = 0 AND total_rows > 0
+      UNION ALL SELECT column_name, 'UNIQUE', 'ERROR', 0 FROM prof WHERE is_unique
+      UNION ALL SELECT column_name, 'RANGE_CHECK', 'WARNING', 0 FROM prof WHERE avg_value IS NOT NULL
+      UNION ALL {proposed_patterns_sql('customer')})""",
 )
 def proposed_rule_results(e: Estate) -> DataFrame:
     """The rules proposed for a table, run against that table."""
@@ -209,7 +221,7 @@ def proposed_rule_results(e: Estate) -> DataFrame:
     proposals = annotated.select("table_name", F.explode("rules").alias("r")).select(
         "table_name", F.col("r.column").alias("column_name"), "r.rule_type", "r.severity", "r.min_value", "r.max_value", "r.pattern_name"
     )
-    return quality.run_rules({"customer": customer}, quality.proposals_to_rules(proposals.filter("rule_type <> 'PATTERN_MATCH'")))
+    return quality.run_rules({"customer": customer}, quality.proposals_to_rules(proposals))
 
 
 register(

@@ -22,7 +22,8 @@ def test_orders_without_items_or_reviews_stay(spark):
     rows = {r.order_id: r for r in estate.fct_orders(orders, customers, items, reviews).collect()}
     assert (rows[1].total_order_items, rows[1].distinct_products_count) == (3, 2)
     assert rows[1].merchandise_total_brl == 6.01 and rows[1].grand_total_brl == 6.11
-    assert rows[1].customer_review_score == 4.5 and rows[1].is_delayed_delivery
+    # not delivered: its items were due later than the order, which says nothing about a delivery
+    assert rows[1].customer_review_score == 4.5 and not rows[1].is_delayed_delivery and rows[1].delivered_customer_at is None
     assert rows[2].grand_total_brl == 0.0 and rows[2].customer_review_score is None and rows[2].is_delayed_delivery
     assert rows[3].customer_unique_id is None and not rows[3].is_delayed_delivery
 

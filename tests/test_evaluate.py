@@ -78,3 +78,20 @@ def test_load_equals_brute_force(spark, group_rows):
     got = {r.id: r.load for r in admission.trailing_load(df, "client", "ts", 30, group_rows).collect()}
     wanted = {i: sum(1 for c, t, _ in rows if c == client and 0 <= (at - t).total_seconds() < 30) for client, at, i in rows}
     assert got == wanted
+
+
+@pytest.mark.parametrize("group_rows", [5, 10_000])
+def test_requests_without_a_client_are_one_client(spark, group_rows):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 2 else "a", start + dt.timedelta(seconds=i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, client string, ts timestamp_ntz")
+    named = df.fillna({"client": "b"})
+    for found, same in (
+        (admission.admit(df, "client", "ts", "id", 3, 10, group_rows), admission.admit(named, "client", "ts", "id", 3, 10, group_rows)),
+        (admission.trailing_load(df, "client", "ts", 10, group_rows), admission.trailing_load(named, "client", "ts", 10, group_rows)),
+    ):
+        value = found.columns[-1]
+        assert {r.id: r[value] for r in found.collect()} == {r.id: r[value] for r in same.collect()}
+        assert found.count() == 40 and sorted(found.columns) == sorted([*df.columns, value])

@@ -89,13 +89,28 @@ def test_dashboard_query_compares_no_pairs(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_large_tables_give_several_events(spark):
+def test_a_table_gives_one_event_with_all_its_edges(spark):
     edges = spark.createDataFrame(
         [("s", f"c{i}", "t", f"d{i % 4}", "COMPUTED", None, i) for i in range(10)],
         "source_table string, source_column string, target_table string, target_column string, transformation_type string, expression string, position int",
     )
-    whole = lineage.run_events(edges, "n", "2024-01-01", "p")
-    parts = lineage.run_events(edges, "n", "2024-01-01", "p", edges_per_event=4)
-    assert whole.count() == 1 and sorted(r.part for r in parts.collect()) == [0, 1, 2]
-    fields = parts.select(F.explode(F.from_json(F.get_json_object("event", "$.outputs[0].facets.columnLineage.fields"), "map<string, struct<inputFields: array<string>>>")).alias("c", "f"))
+    events = lineage.run_events(edges, "n", "2024-01-01", "p")
+    assert events.columns == ["target_table", "event"] and events.count() == 1
+    fields = events.select(F.explode(F.from_json(F.get_json_object("event", "$.outputs[0].facets.columnLineage.fields"), "map<string, struct<inputFields: array<string>>>")).alias("c", "f"))
     assert fields.select(F.explode("f.inputFields")).count() == 10
+
+
+def test_long_chains_reach_the_dashboard_and_carry_tags(spark):
+    chain = [(f"t{i}" if i else "e.p.t0", f"t{i + 1}", "DIRECT_COPY") for i in range(14)] + [("t14", "dashboard.d", "DASHBOARD_CONSUMPTION")]
+    edges = graph(spark, *chain, ("side", "t3", "X"), ("t2", "dead end", "X"))
+    assets = spark.createDataFrame(
+        [("e.p.t0", "TABLE", "t0", "CERTIFIED", "me", None), ("e.p.t0.c", "COLUMN", "c", None, None, "e.p.t0"), ("side", "TABLE", "side", "CERTIFIED", "me", None)],
+        "asset_id string, asset_type string, name string, certification_status string, owner string, parent_id string",
+    )
+    tags = spark.createDataFrame([("e.p.t0.c", "PII", "EMAIL")], "asset_id string, tag_name string, tag_value string")
+    rows = lineage.certified_pii_consumption(assets, tags, edges).collect()
+    assert [(r.table_name, r.pii_type) for r in rows] == [("t0", "EMAIL")]
+    assert rows[0].consumed_by_dashboard.split(" -> ") == [*[f"t{i}" for i in range(1, 15)], "dashboard.d"]
+    seeds = spark.createDataFrame([("e.p.t0", "PII", "X", 1.0)], "root string, tag_name string, tag_value string, confidence double")
+    assert lineage.propagate(edges, seeds).agg(F.max("hop_count")).first()[0] == 15
+    assert {r.node for r in lineage.reachable(edges, roots(spark, "t12", "t13")).collect()} == {"t14", "dashboard.d"}

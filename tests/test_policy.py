@@ -102,10 +102,29 @@ def test_seal_shows_a_dropped_segment(spark):
     sealed = audit.seal(trail, 5, fan=3).cache()
     assert audit.verify_seal(trail, sealed, 5, fan=3).isEmpty()
     cut = trail.filter("not (asset_id = 'a1' and record_id between 11 and 15)")
-    assert audit.verify(cut, 5).isEmpty()
+    assert [(r.asset_id, r.record_id, r.reason) for r in audit.verify(cut, 5).collect()] == [("a1", 16, "MISSING_RECORD")]
     assert [r.asset_id for r in audit.verify_seal(cut, sealed, 5, fan=3).collect()] == ["a1"]
 
 
+def test_deletions_at_segment_ends_are_found(spark):
+    trail = audit.append(events(spark), ORDER, segment_rows=5).cache()
+    sealed = audit.seal(trail, 5).cache()
+    sizes = {r.asset_id: r.chain_length for r in sealed.collect()}
+
+    def found(condition):
+        rows = audit.verify(trail.filter(f"not ({condition})"), 5, sealed).collect()
+        return [(r.asset_id, r.record_id, r.reason) for r in rows]
+
+    assert found("false") == []
+    assert found("asset_id = 'a1' and record_id = 10") == [("a1", 11, "MISSING_RECORD")]
+    assert found("asset_id = 'a1' and record_id = 1") == [("a1", 2, "MISSING_RECORD")]
+    assert found(f"asset_id = 'a1' and record_id = {sizes['a1']}") == [("a1", sizes["a1"], "MISSING_TAIL")]
+    assert found("asset_id = 'a0'") == [("a0", sizes["a0"], "MISSING_TAIL")]
+    root = audit.estate_root(sealed).first()
+    assert (root.assets, root.records) == (len(sizes), 90)
+    assert audit.estate_root(sealed.filter("asset_id <> 'a0'")).first().estate_root != root.estate_root
+
+
 def test_continued_chain_equals_one_chain(spark):
     whole = audit.append(events(spark), ORDER, segment_rows=10)
     first = audit.append(events(spark).filter("event_id < 33"), ORDER, segment_rows=10)

@@ -26,6 +26,12 @@ def test_rules(spark):
     assert all(v.total_rows_count == 4 and not v.passed for v in found.values())
 
 
+def test_patterns_are_run_as_given(spark):
+    zips = spark.createDataFrame([("zzzzz",), ("ZIP1",), ("12345",), ("1234-567",), (None,)], "z string")
+    rules = [Rule("z", "PATTERN_MATCH", "z", "WARNING", pattern=p) for p in (r"^ZIP[0-9]$", "ZIP_PATTERN")]
+    assert [r.failing_rows_count for r in quality.run_rules({"z": zips}, rules).collect()] == [3, 2]
+
+
 def test_score_and_gate(spark):
     rules = [Rule("t", "RANGE_CHECK", "price", "WARNING", low=0, high=100), Rule("t", "NOT_NULL", "id", "ERROR")]
     names = spark.createDataFrame([("t",), ("empty",)], "table_name string")
