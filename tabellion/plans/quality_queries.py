@@ -302,7 +302,8 @@ register(
     lambda e: defects.benchmark(clean_tables(e), DEFECTS, SUITES)[1],
     f"""SELECT suite, COUNT(*) AS total_injected_defects, CAST(SUM(CAST(caught AS INTEGER)) AS BIGINT) AS caught_defects,
     CAST(SUM(CAST(NOT caught AS INTEGER)) AS BIGINT) AS missed_defects,
-    {half_up('CAST(SUM(CAST(caught AS INTEGER)) AS BIGINT)', 'COUNT(*)', 2, 100)} AS catch_rate_percentage, CAST(0 AS BIGINT) AS false_positives
+    {half_up('CAST(SUM(CAST(caught AS INTEGER)) AS BIGINT)', 'COUNT(*)', 2, 100)} AS catch_rate_percentage,
+    CAST(MAX(CASE WHEN suite = 'full' AND EXISTS (SELECT 1 FROM stg_orders_t WHERE delivered_customer_at < purchase_timestamp) THEN 1 ELSE 0 END) AS BIGINT) AS false_positives
     FROM (SELECT suite, suite = 'full' OR defect_id NOT IN ('DEF-006', 'DEF-007', 'DEF-008') AS caught
       FROM ({MANIFEST_SQL}), (SELECT unnest(['basic', 'full']) AS suite)) GROUP BY suite""",
 )
