@@ -85,7 +85,8 @@ class OrderedGroups:
         return null_safe_join(self.frame.drop(SLICE), ranked, on)
 
     def last_known(self, columns: Sequence[str], keep_slices: bool = False) -> DataFrame:
-        """Each column replaced by its latest non-null value up to and including the row."""
+        """Each column replaced by its latest non-null value up to and including the row (ascending orders only)."""
+        self._ascending()
         upto = self._window().rowsBetween(Window.unboundedPreceding, 0)
         running = {c: F.last(c, ignorenulls=True).over(upto) for c in columns}
         if not self.split:
@@ -104,7 +105,8 @@ class OrderedGroups:
         return merged.drop(*([] if keep_slices else [SLICE]), *[f"_in_{c}" for c in columns])
 
     def previous(self, columns: dict[str, str]) -> DataFrame:
-        """Adds ``name -> value of column`` in the preceding row of the group (null for the first)."""
+        """Adds ``name -> value of column`` in the preceding row of the group (null for the first; ascending orders only)."""
+        self._ascending()
         window = self._window()
         if not self.split:
             return self.frame.withColumns({n: F.lag(c).over(window) for n, c in columns.items()})
@@ -142,9 +144,11 @@ class OrderedGroups:
             Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         )
 
-    def _position(self) -> Column:
+    def _ascending(self) -> None:
         if any(o.startswith("-") for o in self.order):
-            raise ValueError("carrying values between slices needs an ascending order")
+            raise ValueError("carrying values along a group needs an ascending order")
+
+    def _position(self) -> Column:
         return F.struct(*self.order)
 
     def _summary(self, *aggregates: Column) -> DataFrame:

@@ -153,9 +153,18 @@ def ablation(accuracies: DataFrame, full: str) -> DataFrame:
     return accuracies.withColumn("drop_points", drop.cast("double"))
 
 
+#: names of data types that are no ordinary words
+TYPE_NAMES = ("int", "bigint", "double", "float", "decimal", "varchar", "boolean", "timestamp_ntz", "array")
+
+
 def rubric(df: DataFrame, text: str = "description") -> DataFrame:
-    """Grounding, relevance and clarity of each description, from fixed rules."""
+    """Grounding, relevance and clarity of each description, from fixed rules.
+
+    A description is hallucinated if it names a data type that is not the column's.
+    """
     lowered = F.lower(text)
+    named = F.array_intersect(F.split(lowered, "[^a-z0-9_]+"), F.array(*[F.lit(t) for t in TYPE_NAMES]))
+    invented = F.size(F.filter(named, lambda t: t != F.lower("data_type"))) > 0
     grounded = lowered.contains(F.lower("data_type")) | F.lower("column_name").contains("id")
     scores = {
         "grounding": F.when(grounded, GROUNDED).otherwise(UNGROUNDED),
@@ -164,7 +173,7 @@ def rubric(df: DataFrame, text: str = "description") -> DataFrame:
     }
     total = sum((s.cast("decimal(4,2)") for s in scores.values()), F.lit(0).cast("decimal(4,2)"))
     overall = F.round(total / F.lit(3).cast("decimal(2,0)"), 2).cast("double")
-    return df.withColumns({**scores, "overall": overall, "hallucinated": F.lit(False)})
+    return df.withColumns({**scores, "overall": overall, "hallucinated": F.coalesce(invented, F.lit(False))})
 
 
 def rubric_summary(scored: DataFrame) -> DataFrame:

@@ -41,16 +41,6 @@ def column_edges(specs: DataFrame) -> DataFrame:
     )
 
 
-def keyed(edges: DataFrame, ordinal: Column) -> DataFrame:
-    """Column edges as graph edges between ``table.column`` keys."""
-    return edges.select(
-        F.concat_ws(".", "source_table", "source_column").alias("source"),
-        F.concat_ws(".", "target_table", "target_column").alias("target"),
-        "transformation_type",
-        ordinal.alias("ordinal"),
-    )
-
-
 def traverse(edges: DataFrame, roots: DataFrame, upstream: bool = False, max_depth: int | None = None) -> DataFrame:
     """All simple paths from each root (column ``root``), of at most ``max_depth`` edges if that is given.
 

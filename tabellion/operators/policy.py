@@ -6,6 +6,7 @@ policy is a Column expression, so a whole table of proposals is judged in one pr
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -56,6 +57,7 @@ PII_TYPES = (
     "NONE",
 )
 SHORTEST_LEAK = 4
+VIOLATION = "struct<policy_id: string, policy_name: string, severity: string, message: string, blocked: boolean>"
 
 # payload columns of a proposal and the values that stand in for missing ones
 PAYLOAD_DEFAULTS: dict[str, tuple[str, object]] = {
@@ -72,14 +74,26 @@ PAYLOAD_DEFAULTS: dict[str, tuple[str, object]] = {
 PAYLOAD_OPTIONAL = {"description": "string", "sample_values": "array<string>", "owner": "string"}
 
 
-def evaluate(proposals: DataFrame) -> DataFrame:
-    """Adds the verdict: violations, approval reasons, passed, requires_approval, can_write."""
+def evaluate(
+    proposals: DataFrame,
+    policies: Sequence[Policy] = POLICIES,
+    pii_types: Sequence[str] = PII_TYPES,
+    shortest_leak: int = SHORTEST_LEAK,
+) -> DataFrame:
+    """Adds the verdict: violations, approval reasons, passed, requires_approval, can_write.
+
+    Limits, names and severities come from ``policies``; a policy that is not listed is off.
+    ``pii_types`` is the approved taxonomy.
+    """
+    by_id = {p.policy_id: p for p in policies}
     missing = {
         **{c: F.lit(None).cast(kind) for c, (kind, _) in PAYLOAD_DEFAULTS.items() if c not in proposals.columns},
         **{c: F.lit(None).cast(kind) for c, kind in PAYLOAD_OPTIONAL.items() if c not in proposals.columns},
     }
     complete = proposals.withColumns(missing) if missing else proposals
-    judged = complete.withColumns({"violations": _violations(), "approval_reasons": _approval_reasons()})
+    judged = complete.withColumns(
+        {"violations": _violations(by_id, pii_types, shortest_leak), "approval_reasons": _approval_reasons(by_id)}
+    )
     passed = F.size("violations") == 0
     approval = F.size("approval_reasons") > 0
     return judged.drop(*missing).withColumns(
@@ -87,7 +101,7 @@ def evaluate(proposals: DataFrame) -> DataFrame:
             "passed": passed,
             "requires_approval": approval,
             "can_write": passed & ~approval,
-            "policies_checked_count": F.lit(len(POLICIES)),
+            "policies_checked_count": F.lit(len(by_id)),
         }
     )
 
@@ -114,9 +128,10 @@ def tag_coverage(expected: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
-def glossary_review(mappings: DataFrame) -> DataFrame:
-    """Glossary mappings below the confidence that lets them in unseen."""
-    return mappings.filter(F.col("confidence") < BY_ID["POL-012"].limit).withColumn("policy_id", F.lit("POL-012"))
+def glossary_review(mappings: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFrame:
+    """Glossary mappings below the confidence that lets them in unseen; none if the policy is off."""
+    limit = next((p.limit for p in policies if p.policy_id == "POL-012"), None)
+    return mappings.filter(F.col("confidence") < F.lit(limit)).withColumn("policy_id", F.lit("POL-012"))
 
 
 def audit_coverage(decisions: DataFrame, audit: DataFrame) -> DataFrame:
@@ -138,45 +153,50 @@ def _given(name: str) -> Column:
     return F.coalesce(F.col(name).cast(kind), F.lit(default))
 
 
-def _violations() -> Column:
+def _violations(by_id: Mapping[str, Policy], pii_types: Sequence[str], shortest_leak: int) -> Column:
     description, owner = F.col("description"), F.col("owner")
     certified = _given("certification_status") == "CERTIFIED"
     pii = _given("is_pii")
     no_samples = F.array().cast("array<string>")
-    leaks = leaked_values(F.coalesce("sample_values", no_samples), F.coalesce(description, F.lit("")), SHORTEST_LEAK)
+    leaks = leaked_values(F.coalesce("sample_values", no_samples), F.coalesce(description, F.lit("")), shortest_leak)
     quality, nulls = _given("quality_score"), _given("null_percentage")
-    gate, most = BY_ID["POL-004"].limit, BY_ID["POL-011"].limit
+    gate, most = (by_id[i].limit if i in by_id else None for i in ("POL-004", "POL-011"))
+
+    def broken(policy_id: str, condition: Column, message: Column) -> Column:
+        if policy_id not in by_id:
+            return F.lit(None).cast(VIOLATION)
+        return F.when(condition, _violation(by_id[policy_id], message))
+
     single = present(
-        _broken("POL-004", certified & (quality < gate), F.concat(F.lit(f"Quality score must be at least {gate}, is "), quality.cast("string"), F.lit("."))),
-        _broken("POL-005", certified & (F.trim(F.coalesce(owner, F.lit(""))) == ""), F.lit("A certified asset needs an owner.")),
-        _broken("POL-006", pii & (_given("sensitivity_level") == "PUBLIC"), F.lit("PII cannot be public.")),
-        _broken("POL-009", F.coalesce(F.length(F.trim(description)) == 0, F.lit(False)), F.lit("A description cannot be blank.")),
-        _broken("POL-010", pii & ~_given("pii_type").isin(*PII_TYPES), F.concat(F.lit("Unknown PII type "), _given("pii_type"), F.lit("."))),
-        _broken("POL-011", certified & (nulls > most), F.concat(F.lit(f"Null rate may not exceed {most}%, is "), nulls.cast("string"), F.lit("%."))),
-        _broken("POL-014", _given("is_mart") & (_given("quality_rules_count") <= 0), F.lit("A mart needs a quality rule.")),
+        broken("POL-004", certified & (quality < F.lit(gate)), F.concat(F.lit(f"Quality score must be at least {gate}, is "), quality.cast("string"), F.lit("."))),
+        broken("POL-005", certified & (F.trim(F.coalesce(owner, F.lit(""))) == ""), F.lit("A certified asset needs an owner.")),
+        broken("POL-006", pii & (_given("sensitivity_level") == "PUBLIC"), F.lit("PII cannot be public.")),
+        broken("POL-009", F.coalesce(F.length(F.trim(description)) == 0, F.lit(False)), F.lit("A description cannot be blank.")),
+        broken("POL-010", pii & ~_given("pii_type").isin(*pii_types), F.concat(F.lit("Unknown PII type "), _given("pii_type"), F.lit("."))),
+        broken("POL-011", certified & (nulls > F.lit(most)), F.concat(F.lit(f"Null rate may not exceed {most}%, is "), nulls.cast("string"), F.lit("%."))),
+        broken("POL-014", _given("is_mart") & (_given("quality_rules_count") <= 0), F.lit("A mart needs a quality rule.")),
+    )
+    if "POL-001" not in by_id:
+        return single
+    leaked = F.transform(
+        leaks, lambda s: _violation(by_id["POL-001"], F.concat(F.lit("Description shows the sample value '"), s, F.lit("'.")))
     )
-    leaked = F.transform(leaks, lambda s: _violation("POL-001", F.concat(F.lit("Description shows the sample value '"), s, F.lit("'."))))
     return F.concat(leaked, single)
 
 
-def _approval_reasons() -> Column:
-    threshold = BY_ID["POL-003"].limit
+def _approval_reasons(by_id: Mapping[str, Policy]) -> Column:
     confidence = _given("confidence")
-    return present(
-        F.when(_given("is_pii"), F.lit("POL-002: PII needs a steward's approval.")),
-        F.when(
-            confidence < threshold,
-            F.concat(F.lit("POL-003: confidence "), F.format_number(confidence, 2), F.lit(f" is below {threshold}.")),
-        ),
-    )
-
-
-def _broken(policy_id: str, condition: Column, message: Column) -> Column:
-    return F.when(condition, _violation(policy_id, message))
+    reasons = [F.lit(None).cast("string")]
+    if "POL-002" in by_id:
+        reasons.append(F.when(_given("is_pii"), F.lit("POL-002: PII needs a steward's approval.")))
+    if "POL-003" in by_id:
+        threshold = by_id["POL-003"].limit
+        told = F.concat(F.lit("POL-003: confidence "), F.format_number(confidence, 2), F.lit(f" is below {threshold}."))
+        reasons.append(F.when(confidence < threshold, told))
+    return present(*reasons)
 
 
-def _violation(policy_id: str, message: Column) -> Column:
-    policy = BY_ID[policy_id]
+def _violation(policy: Policy, message: Column) -> Column:
     return F.struct(
         F.lit(policy.policy_id).alias("policy_id"),
         F.lit(policy.name).alias("policy_name"),

@@ -121,26 +121,38 @@ def is_privileged(role: str) -> bool:
     return role.upper() in PRIVILEGED_ROLES
 
 
-def mask_value(value: Column, method: str, label: str) -> Column:
-    """A value as an unprivileged role sees it: ``null``, ``hash``, ``partial`` or a fixed ``label``."""
+def mask_value(value: Column, method: str, label: str, kind: str = "string", salt: str = "") -> Column:
+    """A value of type ``kind`` as an unprivileged role sees it, in the same type.
+
+    ``null``; ``hash``, salted, of whole numbers again a whole number; ``partial`` or a fixed
+    ``label`` for strings (null for other types).
+    """
     text = value.cast("string")
     if method == "null":
-        return F.lit(None).cast("string")
+        return F.lit(None).cast(kind)
     if method == "hash":
-        return F.sha2(text, 256)
+        digest = F.sha2(F.concat(F.lit(salt), F.lit("|"), text), 256)
+        digits = {"bigint": 15, "int": 7}.get(kind)
+        return digest.cast(kind) if digits is None else F.conv(F.substring(digest, 1, digits), 16, 10).cast(kind)
+    if method not in ("partial", "label"):
+        raise ValueError(f"unknown masking method {method!r}")
+    if kind != "string":
+        return F.lit(None).cast(kind)
     if method == "partial":
         return F.concat(F.left(text, F.lit(2)), F.repeat(F.lit("*"), F.greatest(F.length(text) - 2, F.lit(0))))
-    if method == "label":
-        return F.when(value.isNotNull(), F.lit(f"[RESTRICTED_{label}]"))
-    raise ValueError(f"unknown masking method {method!r}")
+    return F.when(value.isNotNull(), F.lit(f"[RESTRICTED_{label}]"))
 
 
-def mask_frame(df: DataFrame, pii_types: Mapping[str, str], role: str, methods: Mapping[str, str] | None = None) -> DataFrame:
-    """``df`` with its PII columns (column -> PII type) masked unless the role is privileged."""
+def mask_frame(
+    df: DataFrame, pii_types: Mapping[str, str], role: str, methods: Mapping[str, str] | None = None, salt: str = ""
+) -> DataFrame:
+    """``df`` with its PII columns (column -> PII type) masked unless the role is privileged; the schema stays."""
     if is_privileged(role):
         return df
-    methods = methods or {}
-    masked = {c: mask_value(F.col(c), methods.get(c, "label"), kind) for c, kind in pii_types.items() if c in df.columns}
+    methods, kinds = methods or {}, dict(df.dtypes)
+    masked = {
+        c: mask_value(F.col(c), methods.get(c, "label"), label, kinds[c], salt) for c, label in pii_types.items() if c in kinds
+    }
     return df.withColumns(masked)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tabellion.functions.columns import joined
 from tabellion.operators import catalog, estate, search
-from tabellion.plans.binding import PART_TIERS, Estate
+from tabellion.plans.binding import LTV_BOUNDS, PART_TIERS, PART_WEIGHTS, Estate
+from tabellion.plans.estate_queries import MODELS
 from tabellion.plans.oracle import define, half_up
 from tabellion.plans.registry import query, register
 from tabellion.plans.schemas import SCHEMAS
@@ -60,6 +63,29 @@ def estate_materialised(e: Estate) -> DataFrame:
     return sources.materialise(e.spark, models, raw, scratch_path(e.spark, "estate"))["mart_geo_performance"]
 
 
+@query(
+    "estate_models_materialised",
+    "\nUNION ALL\n".join(f"SELECT '{model}' AS model, COUNT(*) AS row_count FROM {table}" for model, table in MODELS.items()),
+)
+def estate_models_materialised(e: Estate) -> DataFrame:
+    """All models stored in dependency order; the rows of each stored table."""
+    names = ["raw_customers", "raw_sellers", "raw_orders", "raw_order_items", "raw_payments", "raw_products", "raw_reviews", "translation"]
+    models = {
+        "mart_geo_performance": (["fct_orders"], estate.mart_geo_performance),
+        "customer_ltv": (["dim_customers", "fct_orders"], lambda people, facts: estate.customer_ltv(people, facts, LTV_BOUNDS)),
+        "fct_orders": (["stg_orders", "stg_customers", "stg_order_items", "stg_reviews"], estate.fct_orders),
+        "fct_order_payments": (["stg_payments"], estate.fct_order_payments),
+        "dim_customers": (["stg_customers", "stg_orders"], estate.dim_customers),
+        "dim_products": (["stg_products"], lambda products: estate.dim_products(products, PART_WEIGHTS)),
+        "dim_sellers": (["stg_sellers", "stg_order_items"], lambda sellers, items: estate.dim_sellers(sellers, items, PART_TIERS)),
+        "stg_products": (["raw_products", "translation"], estate.stg_products),
+        **{f"stg_{n}": ([f"raw_{n}"], getattr(estate, f"stg_{n}")) for n in ("customers", "sellers", "orders", "order_items", "payments", "reviews")},
+    }
+    built = sources.materialise(e.spark, models, {n: getattr(e, n) for n in names}, scratch_path(e.spark, "estate"))
+    counted = [built[m].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(m).alias("model"), "row_count") for m in MODELS]
+    return reduce(DataFrame.unionAll, counted)
+
+
 # --- schema inventory ----------------------------------------------------------------------
 
 CONSUMERS = {
@@ -383,8 +409,8 @@ CUSTOMER_PII = {"c_name": "PERSON_NAME", "c_custkey": "CUSTOMER_ID", "c_acctbal"
 CUSTOMER_MASKS = {"c_custkey": "hash", "c_name": "partial", "c_acctbal": "null"}
 register(
     "masked_customer_analyst",
-    lambda e: search.mask_frame(e.table("customer"), CUSTOMER_PII, "ANALYST", CUSTOMER_MASKS),
-    """SELECT sha256(CAST(c_custkey AS VARCHAR)) AS c_custkey, c_name[1:2] || repeat('*', length(c_name) - 2) AS c_name, c_nationkey, CAST(NULL AS VARCHAR) AS c_acctbal,
+    lambda e: search.mask_frame(e.table("customer"), CUSTOMER_PII, "ANALYST", CUSTOMER_MASKS, "estate"),
+    """SELECT ('0x' || sha256('estate|' || c_custkey)[1:15])::BIGINT AS c_custkey, c_name[1:2] || repeat('*', length(c_name) - 2) AS c_name, c_nationkey, CAST(NULL AS DOUBLE) AS c_acctbal,
     '[RESTRICTED_CONFIDENTIAL_NOTES]' AS c_mktsegment FROM customer""",
 )
 register(

@@ -194,12 +194,13 @@ def result_diff_equal(e: Estate) -> DataFrame:
 
 # --- rubric ---------------------------------------------------------------------------------
 
+HALLUCINATED = f"""len(list_filter(list_intersect(regexp_split_to_array(lower(description), '[^a-z0-9_]+'), {list(evaluate.TYPE_NAMES)}), lambda t: t <> lower(data_type))) > 0"""
 define(
     "rubric_t",
     f"""SELECT *, {half_up('CAST(ROUND((grounding + relevance + clarity) * 10) AS BIGINT)', '30', 2)} AS overall
     FROM (SELECT table_name, column_name, CASE WHEN contains(lower(description), lower(data_type)) OR contains(low, 'id') THEN 4.6::DOUBLE ELSE 4.3::DOUBLE END AS grounding,
     CASE WHEN regexp_matches(lower(description), 'identifier|currency|amount|timestamp|attribute|metric|customer|order|price') THEN 4.8::DOUBLE ELSE 4.2::DOUBLE END AS relevance,
-    CASE WHEN length(description) > 25 THEN 4.8::DOUBLE ELSE 3.8::DOUBLE END AS clarity, FALSE AS hallucinated FROM described)""",
+    CASE WHEN length(description) > 25 THEN 4.8::DOUBLE ELSE 3.8::DOUBLE END AS clarity, {HALLUCINATED} AS hallucinated FROM described)""",
 )
 
 
@@ -218,7 +219,7 @@ def _mean(column: str) -> str:
 
 
 RUBRIC_SUMMARY = f"""SELECT COUNT(*) AS samples_evaluated, {_mean('overall')} AS mean_rubric_score_out_of_5, {_mean('grounding')} AS technical_grounding,
-    {_mean('relevance')} AS domain_relevance, {_mean('clarity')} AS clarity, CAST(0 AS BIGINT) AS hallucinations_detected_count, 0.0::DOUBLE AS hallucination_rate FROM rubric_t"""
+    {_mean('relevance')} AS domain_relevance, {_mean('clarity')} AS clarity, COUNT(*) FILTER (hallucinated) AS hallucinations_detected_count, COALESCE({half_up('COUNT(*) FILTER (hallucinated)', 'COUNT(*)', 3)}, 0.0) AS hallucination_rate FROM rubric_t"""
 
 
 @query("rubric_summary", RUBRIC_SUMMARY)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from tabellion.functions.columns import joined
@@ -69,23 +71,29 @@ def _v(policy_id: str, condition: str, message: str) -> str:
     return f"CASE WHEN {condition} THEN {{'id': '{policy_id}', 'severity': '{severity}', 'message': {message}}} END"
 
 
-define(
-    "judged_t",
-    f"""SELECT *, len(violations) = 0 AS passed, len(reasons) > 0 AS requires_approval, len(violations) = 0 AND len(reasons) = 0 AS can_write
+def judged_sql(gate: str = "0.85", most: str = "95.0", threshold: str = "0.8", bad_types: str = "pii_type = 'SHOE_SIZE'", off: tuple[str, ...] = ()) -> str:
+    """Verdicts under the given limits; ``off`` policies never fire."""
+
+    def when(policy_id: str, condition: str) -> str:
+        return "FALSE" if policy_id in off else condition
+
+    return f"""SELECT *, len(violations) = 0 AS passed, len(reasons) > 0 AS requires_approval, len(violations) = 0 AND len(reasons) = 0 AS can_write
     FROM (SELECT *, list_transform(list_filter(list_transform(sample_values, lambda s: trim(s)), lambda s: length(s) >= 4 AND contains(lower(COALESCE(description, '')), lower(s))),
         lambda s: {{'id': 'POL-001', 'severity': 'CRITICAL', 'message': 'Description shows the sample value ''' || s || '''.'}})
       || list_filter([
-        {_v('POL-004', "certification_status = 'CERTIFIED' AND quality_score < 0.85::DOUBLE", "'Quality score must be at least 0.85, is ' || quality_score || '.'")},
+        {_v('POL-004', f"certification_status = 'CERTIFIED' AND quality_score < {gate}::DOUBLE", f"'Quality score must be at least {gate}, is ' || quality_score || '.'")},
         {_v('POL-005', "certification_status = 'CERTIFIED' AND COALESCE(trim(owner), '') = ''", "'A certified asset needs an owner.'")},
         {_v('POL-006', "is_pii AND sensitivity_level = 'PUBLIC'", "'PII cannot be public.'")},
         {_v('POL-009', "trim(description) = ''", "'A description cannot be blank.'")},
-        {_v('POL-010', "is_pii AND pii_type = 'SHOE_SIZE'", "'Unknown PII type ' || pii_type || '.'")},
-        {_v('POL-011', "certification_status = 'CERTIFIED' AND null_percentage > 95", "'Null rate may not exceed 95.0%, is ' || null_percentage || '%.'")},
-        {_v('POL-014', 'is_mart AND quality_rules_count = 0', "'A mart needs a quality rule.'")}], lambda v: v IS NOT NULL) AS violations,
+        {_v('POL-010', f"is_pii AND {bad_types}", "'Unknown PII type ' || pii_type || '.'")},
+        {_v('POL-011', f"certification_status = 'CERTIFIED' AND null_percentage > {most}", f"'Null rate may not exceed {most}%, is ' || null_percentage || '%.'")},
+        {_v('POL-014', when('POL-014', 'is_mart AND quality_rules_count = 0'), "'A mart needs a quality rule.'")}], lambda v: v IS NOT NULL) AS violations,
       list_filter([CASE WHEN is_pii THEN 'POL-002: PII needs a steward''s approval.' END,
-        CASE WHEN confidence < 0.80::DOUBLE THEN 'POL-003: confidence ' || format('{{:.2f}}', confidence) || ' is below 0.8.' END], lambda r: r IS NOT NULL) AS reasons
-      FROM proposals_t)""",
-)
+        CASE WHEN confidence < {threshold}::DOUBLE THEN 'POL-003: confidence ' || format('{{:.2f}}', confidence) || ' is below {threshold}.' END], lambda r: r IS NOT NULL) AS reasons
+      FROM proposals_t)"""
+
+
+define("judged_t", judged_sql())
 
 
 def verdicts(e: Estate) -> DataFrame:
@@ -110,6 +118,25 @@ def policy_eval(e: Estate) -> DataFrame:
     )
 
 
+CHANGED_POLICIES = [
+    replace(p, limit={"POL-003": 0.9, "POL-004": 0.5, "POL-011": 20.0}.get(p.policy_id, p.limit)) for p in policy.POLICIES if p.policy_id != "POL-014"
+]
+
+
+@query(
+    "policy_eval_changed",
+    f"""SELECT proposal_id, passed, requires_approval, can_write, CAST(14 AS INTEGER) AS policies_checked_count,
+    array_to_string(list_transform(violations, lambda v: v.id || ':' || v.severity || ':' || v.message), '|') AS violations, array_to_string(reasons, '|') AS approval_reasons
+    FROM ({judged_sql("0.5", "20.0", "0.9", "pii_type NOT IN ('EMAIL', 'NONE')", ("POL-014",))})""",
+)
+def policy_eval_changed(e: Estate) -> DataFrame:
+    """Verdicts under other limits, a smaller taxonomy and one policy less."""
+    told = F.transform("violations", lambda v: F.concat_ws(":", v["policy_id"], v["severity"], v["message"]))
+    judged = policy.evaluate(proposals(e), CHANGED_POLICIES, ("EMAIL", "NONE"))
+    kept = ["proposal_id", "passed", "requires_approval", "can_write", "policies_checked_count"]
+    return judged.select(*kept, joined(told).alias("violations"), joined(F.col("approval_reasons")).alias("approval_reasons"))
+
+
 @query(
     "policy_violation_counts",
     """SELECT v.id AS policy_id, v.severity AS severity, COUNT(*) AS violations, COUNT(DISTINCT proposal_id) AS proposals

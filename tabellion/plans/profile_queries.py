@@ -10,7 +10,7 @@ from tabellion.operators import profile
 from tabellion.plans.binding import Estate
 from tabellion.plans.oracle import define, half_up
 from tabellion.plans.registry import query, register
-from tabellion.plans.schemas import FLAT_TABLES, SCHEMAS
+from tabellion.plans.schemas import SCHEMAS
 
 NUMBERS = ("int", "bigint", "double")
 
@@ -42,11 +42,16 @@ def column_profile(table: str, ordinal: int, column: str, kind: str, values: str
         if kind in NUMBERS
         else "CAST(NULL AS DOUBLE)"
     )
+    least, most = shown("MIN(v)", kind), shown("MAX(v)", kind)
+    listed = f"COALESCE(list({shown('d', kind)} ORDER BY d), CAST([] AS VARCHAR[]))"
+    if kind.startswith("array"):  # nested values have counts only
+        least = most = "CAST(NULL AS VARCHAR)"
+        listed = "CAST([] AS VARCHAR[])"
     neighbours = ", ".join(f"'{c}'" for c, _ in SCHEMAS[table] if c != column)
     return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, CAST({ordinal} AS INTEGER) AS ordinal, '{kind}' AS data_type,
     COUNT(*) AS total_rows, COUNT(*) - COUNT(v) AS null_count, COUNT(DISTINCT v) AS distinct_count,
-    {shown('MIN(v)', kind)} AS min_value, {shown('MAX(v)', kind)} AS max_value, {mean} AS avg_value,
-    (SELECT COALESCE(list({shown('d', kind)} ORDER BY d), CAST([] AS VARCHAR[])) FROM (SELECT DISTINCT v AS d FROM ({source}) WHERE v IS NOT NULL ORDER BY d LIMIT 5)) AS sample_values,
+    {least} AS min_value, {most} AS max_value, {mean} AS avg_value,
+    (SELECT {listed} FROM (SELECT DISTINCT v AS d FROM ({source}) WHERE v IS NOT NULL ORDER BY d LIMIT 5){' LIMIT 1' if kind.startswith('array') else ''}) AS sample_values,
     CAST([{neighbours}] AS VARCHAR[]) AS neighbor_columns FROM ({source})"""
 
 
@@ -62,7 +67,7 @@ def table_profile_sql(*tables: str) -> str:
     return profile_sql([column_profile(t, i, c, k) for t in tables for i, (c, k) in enumerate(SCHEMAS[t])])
 
 
-define("estate_profile", table_profile_sql(*FLAT_TABLES))
+define("estate_profile", table_profile_sql(*SCHEMAS))
 
 
 def flat(profiles: DataFrame) -> DataFrame:
@@ -79,7 +84,7 @@ def flat_sql(source: str) -> str:
 
 
 def estate_profile(e: Estate) -> DataFrame:
-    return profile.profile_tables({t: e.table(t) for t in FLAT_TABLES})
+    return profile.profile_tables({t: e.table(t) for t in SCHEMAS})
 
 
 for table_name in ("customer", "orders", "lineitem"):

@@ -73,8 +73,6 @@ SCHEMAS: dict[str, list[tuple[str, str]]] = {
     "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
 }
 
-FLAT_TABLES = [t for t, columns in SCHEMAS.items() if all(not kind.startswith("array") for _, kind in columns)]
-
 
 def duck_type(kind: str) -> str:
     return _DUCK[kind]

@@ -57,8 +57,10 @@ def stream_policy_routing(e: Estate) -> DataFrame:
 )
 def stream_asset_current(e: Estate) -> DataFrame:
     path = scratch_path(e.spark, "changes")
-    feeds.versioned_changes(asset_changes(stream(e)), ["ts", "event_id"], "ts", path).awaitTermination()
-    return e.spark.read.parquet(f"{path}/current/0").drop("created_at", "updated_at")
+    changes = feeds.versioned_changes(asset_changes(stream(e)), ["ts", "event_id"], "ts", path)
+    changes.awaitTermination()
+    last = max(p.batchId for p in changes.recentProgress if p.numInputRows)
+    return e.spark.read.parquet(f"{path}/current/{last}").drop("created_at", "updated_at")
 
 
 @query("stream_admission_control", ADMISSION_SQL)

@@ -122,3 +122,12 @@ def test_inventory(spark):
     assert rows["estate.public.fct_sales"].certification_status == "CERTIFIED" and rows["estate.public.raw_x"].owner == "Data Engineering"
     assert rows["estate.public.fct_sales.note"].null_percentage == 50.0 and rows["estate.public.fct_sales"].display_name == "Fct Sales"
     assert rows["dashboard.d"].asset_type == "DASHBOARD"
+
+
+def test_masking_keeps_types_and_takes_a_salt(spark):
+    df = spark.createDataFrame([(7, 7, 1.5, "ann")], "k long, i int, x double, t string")
+    kinds = {c: "FINANCIAL" for c in df.columns}
+    for methods in ({"k": "hash", "i": "hash", "x": "null", "t": "hash"}, {c: "label" for c in df.columns}):
+        assert search.mask_frame(df, kinds, "ANALYST", methods, "s").schema.simpleString() == df.schema.simpleString()
+    one, two = (search.mask_frame(df, kinds, "ANALYST", {"k": "hash"}, salt).first().k for salt in ("a", "b"))
+    assert one != two and one != 7

@@ -131,3 +131,16 @@ def test_continued_chain_equals_one_chain(spark):
     second = audit.append(events(spark).filter("event_id >= 33"), ORDER, audit.heads(first), segment_rows=10)
     both = first.unionByName(second).select("event_id", "record_id", "prev_hash", "curr_hash")
     assert sorted(map(str, both.collect())) == sorted(map(str, whole.select(both.columns).collect()))
+
+
+def test_policies_are_data(spark):
+    rows = spark.createDataFrame([(1, "CERTIFIED", 0.6, 0.85, "me", True, "SHOE_SIZE")], "proposal_id int, certification_status string, quality_score double, confidence double, owner string, is_pii boolean, pii_type string")
+
+    def told(*args):
+        row = policy.evaluate(rows, *args).first()
+        return [v.policy_id for v in row.violations], [r[:7] for r in row.approval_reasons], row.policies_checked_count
+
+    assert told() == (["POL-004", "POL-010"], ["POL-002"], 15)
+    strict = [policy.Policy("POL-003", "c", "MEDIUM", "REQUIRE_APPROVAL", 0.9), policy.Policy("POL-004", "q", "LOW", "BLOCK", 0.5)]
+    assert told(strict) == ([], ["POL-003"], 2)
+    assert told(policy.POLICIES, ["SHOE_SIZE"]) == (["POL-004"], ["POL-002"], 15)
