@@ -297,6 +297,72 @@ register(
     FROM (SELECT *, MIN(ts) OVER (PARTITION BY asset_id) AS created_at FROM asset_states_t) QUALIFY ROW_NUMBER() OVER (PARTITION BY asset_id ORDER BY version DESC) = 1""",
 )
 
+def consumer_edges(e: Estate) -> DataFrame:
+    return catalog.consumption_edges(e.spark, CONSUMERS)
+
+
+define(
+    "consumer_edges_t",
+    "\nUNION ALL\n".join(
+        f"SELECT asset_id AS source, '{asset}' AS target, 'DASHBOARD_CONSUMPTION' AS transformation_type, CAST({i} AS BIGINT) AS ordinal FROM inventory_t WHERE asset_id = 'estate.public.{table}'"
+        for i, (asset, (_, table)) in enumerate(CONSUMERS.items())
+    ),
+)
+
+
+@query("consumption_edges", "SELECT * FROM consumer_edges_t")
+def consumption_edges(e: Estate) -> DataFrame:
+    """The declared consumers of tables that are in the catalog."""
+    tables = inventory(e).select(F.col("asset_id").alias("source"))
+    return consumer_edges(e).join(tables, "source", "left_semi")
+
+
+def _stored_sql(name: str, key: str, source: str) -> str:
+    return f"SELECT '{name}' AS table_name, COUNT(*) AS row_count, COUNT(DISTINCT {key}) AS keys, MIN({key}) AS first_key, MAX({key}) AS last_key FROM {source}"
+
+
+@query(
+    "lakehouse_tables",
+    "\nUNION ALL\n".join(
+        [
+            _stored_sql("assets", "asset_id", "inventory_t"),
+            _stored_sql("tags", "tag_id", "label_tags_t"),
+            _stored_sql("glossary_terms", "term_id", "(SELECT DISTINCT 'glossary.good_text_' || (doc_id % 10) AS term_id FROM labels WHERE quality = 1)"),
+            _stored_sql(
+                "glossary_mappings",
+                "mapping_id",
+                "(SELECT sha256('estate.public.documents.doc_' || doc_id || '|glossary.good_text_' || (doc_id % 10)) AS mapping_id FROM labels WHERE quality = 1)",
+            ),
+            _stored_sql("lineage_edges", "source", "consumer_edges_t"),
+            _stored_sql("asset_history", "history_id", "(SELECT sha256(asset_id || '|' || version) AS history_id FROM asset_states_t)"),
+        ]
+    ),
+)
+def lakehouse_tables(e: Estate) -> DataFrame:
+    """All six catalog tables exported as Parquet and read back: rows and keys of each."""
+    path = scratch_path(e.spark, "lakehouse")
+    tables = {
+        "assets": (inventory(e), "asset_id"),
+        "tags": (label_tags(e), "tag_id"),
+        "glossary_terms": (catalog.label_terms(labels(e)), "term_id"),
+        "glossary_mappings": (catalog.label_mappings(labels(e)), "mapping_id"),
+        "lineage_edges": (consumer_edges(e), "source"),
+        "asset_history": (history(e), "history_id"),
+    }
+    sources.write_lakehouse({n: df for n, (df, _) in tables.items()}, path, {"assets": ["asset_type"]})
+    stored = sources.open_lakehouse(e.spark, path, list(tables))
+    counted = [
+        stored[n].agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.countDistinct(key).alias("keys"),
+            F.min(key).alias("first_key"),
+            F.max(key).alias("last_key"),
+        ).select(F.lit(n).alias("table_name"), "*")
+        for n, (_, key) in tables.items()
+    ]
+    return reduce(DataFrame.unionAll, counted)
+
+
 # --- search, context, masking --------------------------------------------------------------
 
 
