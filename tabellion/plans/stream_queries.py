@@ -63,8 +63,9 @@ def stream_asset_current(e: Estate) -> DataFrame:
     return e.spark.read.parquet(f"{path}/current/{last}").drop("created_at", "updated_at")
 
 
-@query("stream_admission_control", ADMISSION_SQL)
+@query("stream_admission_control", f"SELECT a.* FROM ({ADMISSION_SQL}) a JOIN events USING (event_id) WHERE ts < (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_admission_control(e: Estate) -> DataFrame:
+    """Verdicts on the requests that the watermark has passed."""
     path = scratch_path(e.spark, "admission")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = e.spark.conf.get(provider, None)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from tabellion.operators import approval, catalog, policy
 from tabellion.operators.admission import decisions, micros
@@ -67,39 +67,74 @@ def hourly_quality(feed: DataFrame, time: str, checks: dict[str, str], late: str
 
 
 class Admission(StatefulProcessor):
-    """Keeps, per client, the accepted times that still count; at most ``max_requests`` of them."""
+    """Holds a client's requests until the watermark has passed them, then decides them in time order.
 
-    def __init__(self, client: str, order: str, max_requests: int, span: int):
+    The state is what still waits and the accepted times that still count, of which there
+    are at most ``max_requests``.
+    """
+
+    def __init__(self, client: str, order: str, order_type: DataType, max_requests: int, span: int):
         self.client = client
         self.order = order
+        self.order_type = order_type
         self.max_requests = max_requests
         self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getListState("recent", StructType([StructField("at", LongType())]))
+        waits = StructType([StructField("at", LongType()), StructField("place", self.order_type)])
+        self.waiting = handle.getListState("waiting", waits)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_micros", self.order])
+        first = None
+        for batch in rows:
+            if len(batch):
+                self.waiting.appendList(list(zip(batch["at_micros"].tolist(), batch[self.order].tolist(), strict=True)))
+                least = int(batch["at_micros"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        requests = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in requests if r[0] < passed], [r for r in requests if r[0] >= passed]
         counted = sorted(row[0] for row in self.recent.get()) if self.recent.exists() else []
-        accepted, counted = decisions(batch["at_micros"], counted, self.max_requests, self.span)
-        self.recent.put([(t,) for t in counted])
-        yield pd.DataFrame({self.client: [key[0]] * len(batch), self.order: batch[self.order].to_numpy(), "accepted": accepted})
+        accepted, counted = decisions([at for at, _ in due], counted, self.max_requests, self.span)
+        if counted:
+            self.recent.put([(t,) for t in counted])
+        elif self.recent.exists():
+            self.recent.clear()
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] // 1000 + 1)
+        elif requests:
+            self.waiting.clear()
+        if not due:
+            return iter(())
+        places = [place for _, place in due]
+        return iter([pd.DataFrame({self.client: [key[0]] * len(due), self.order: places, "accepted": accepted})])
 
     def close(self) -> None:
         pass
 
 
 def admitted(feed: DataFrame, client: str, time: str, order: str, max_requests: int, window_seconds: int, late: str = "1 hour") -> DataFrame:
-    """(client, order, accepted) for each request; requests later than the watermark are dropped.
+    """(client, order, accepted) for each request, decided once the watermark has passed it.
 
-    Needs the RocksDB state store. The state of a client is bounded by ``max_requests`` times.
+    However requests are spread over batches, the verdicts are those of ``admission.admit``.
+    Requests that come after the watermark has passed them cannot be decided any more: they
+    are left out and counted by the query's progress (rows dropped by watermark). Requests
+    without a time are left out too. Needs the RocksDB state store.
     """
     schema = f"`{client}` {feed.schema[client].dataType.simpleString()}, `{order}` {feed.schema[order].dataType.simpleString()}, accepted boolean"
-    processor = Admission(client, order, max_requests, window_seconds * 1_000_000)
+    processor = Admission(client, order, feed.schema[order].dataType, max_requests, window_seconds * 1_000_000)
     timed = feed.select(client, order, F.col(time).cast("timestamp").alias("event_time"), micros(time).alias("at_micros"))
-    timed = timed.withWatermark("event_time", late)
+    timed = timed.where("event_time is not null").withWatermark("event_time", late)
     return timed.groupBy(client).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime"
     )
 
 

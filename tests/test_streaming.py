@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -33,8 +34,13 @@ def test_changes_in_batches_equal_one_fold(spark, tmp_path):
 
 
 def test_admission_in_batches_equals_batch(spark, tmp_path):
-    df = spark.createDataFrame(requests(300, 8), "client string, ts timestamp_ntz, id int")
-    split_into_files(spark, df, "ts", tmp_path / "in")
+    """Requests in random order over three batches, then one long after that lets the watermark pass them all."""
+    rows = requests(300, 8)
+    df = spark.createDataFrame(rows, "client string, ts timestamp_ntz, id int")
+    mixed = random.Random(4).sample(rows, len(rows))
+    last = ("end", max(r[1] for r in rows) + dt.timedelta(days=90), 10_000)
+    for part in (mixed[:100], mixed[100:200], mixed[200:], [last]):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     provider = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(provider, feeds.ROCKSDB)
     try:
