@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from tabellion.llm.common import written
 
 _SECRET_NAME = (
-    r"(?i:(?<![A-Za-z])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)"
+    r"(?i:(?<![A-Za-z])(?=[tspa])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)"
     r"[\"']? {0,2}[=:] {0,2}[\"']?)"
 )
 _MEN = "Mr Herr Monsieur Señor Sr Signor Г-н Господин".split()
 _WOMEN = "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Sra Señorita Signora Г-жа Госпожа".split()
 _MALE, _FEMALE = ("|".join([*titles, *map(str.upper, titles)]) for titles in (_MEN, _WOMEN))
-_TITLE = rf"(?:{_MALE}|{_FEMALE}|Dr|Prof)\.?"
+# the first letter is tested before the titles are tried one by one
+_INITIALS = "".join(sorted({title[0] for title in [*_MEN, *_WOMEN, "Dr", "Prof"]}))
+_TITLE = rf"(?=[{_INITIALS}])(?:{_MALE}|{_FEMALE}|Dr|Prof)\.?"
 _NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 
 #: kinds in the order in which they are tried at a place of the text
@@ -41,7 +43,7 @@ KINDS = {
 }
 PATTERN = "|".join(KINDS.values())
 #: what every entity holds; texts without it are passed on untouched
-_HINT = rf"[0-9@]|{_TITLE} \p{{Lu}}"
+_HINT = rf"[0-9@]|(?<!\p{{L}}){_TITLE} \p{{Lu}}"
 
 #: fixed values: common given names by gender and script
 GIVEN = {
