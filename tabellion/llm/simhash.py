@@ -76,7 +76,7 @@ def segment_widths(bits: int, segments: int) -> list[int]:
     return [bits // segments + (i < bits % segments) for i in range(segments)]
 
 
-def _segments(code: Column, widths: list[int]) -> list[Column]:
+def segment_values(code: Column, widths: list[int]) -> list[Column]:
     parts, low = [], 0
     for width in widths:
         parts.append(F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else code)
@@ -94,7 +94,7 @@ def hamming_pairs(codes: DataFrame, radius: int, segments: int, bits: int, withi
     kept in the first of them, so no pair appears twice and none needs to be removed.
     """
     widths, tables, probes = segment_widths(bits, segments), [], []
-    for i, (width, value) in enumerate(zip(widths, _segments(F.col("code"), widths), strict=True)):
+    for i, (width, value) in enumerate(zip(widths, segment_values(F.col("code"), widths), strict=True)):
         masks = F.array(*[F.lit(signed(m)).cast("long") for m in ball(width, radius)])
         tops = F.array(*[F.lit(signed(1 << m.bit_length() >> 1)).cast("long") for m in ball(width, radius)])
         tables.append(F.struct(F.lit(i).alias("segment"), value.alias("key")))
@@ -123,7 +123,7 @@ def hamming_pairs(codes: DataFrame, radius: int, segments: int, bits: int, withi
     if within is not None:
         pairs = pairs.where(F.bit_count(apart) <= within)
     first = F.lit(True)
-    for i, part in enumerate(_segments(apart, widths)):
+    for i, part in enumerate(segment_values(apart, widths)):
         first = first & ((F.col("segment") <= i) | (F.bit_count(part) > radius))
     return pairs.where(first).drop("segment", "key", "_same")
 

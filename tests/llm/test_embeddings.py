@@ -69,3 +69,30 @@ def test_rotation_is_orthogonal_and_lowers_the_loss():
         return np.square(np.where(values > 0, 1, -1) * np.abs(values).mean() - values).sum()
 
     assert loss(last) < loss(first)
+
+
+def test_no_size_loses_links(spark):
+    """Pairs just above the threshold, in tables laid out for so many vectors that 3 and 2 segments are left."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    across = rng.standard_normal(base.shape)
+    across -= (across * base).sum(axis=1, keepdims=True) * base
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    near = 0.951 * base + np.sqrt(1 - 0.951**2) * across
+    rows = [(i, 1, 64, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    nodes = spark.createDataFrame(rows, "least long, size long, width int, vector array<double>").cache()
+    for count, segments in ((3000, 6), (1_000_000, 3), (120_000_000, 2)):
+        assert embeddings.plan(nodes, count=count).segments == segments
+        got = [(min(r.left, r.right), max(r.left, r.right)) for r in embeddings.links(nodes, count=count).collect()]
+        assert len(got) == len(set(got))
+        assert len(set(got) & {(i, 1500 + i) for i in range(1500)}) >= 0.993 * 1500
+
+
+def test_tables_keep_the_missed_share():
+    missed = []
+    for count in (2, 10_000, 300_000, 1_000_000, 50_000_000, 117_000_000, 10**10):
+        segments, width, rotations = embeddings.tables(count, 64, 0.101)
+        caught = sum(embeddings.comb(width, k) * 0.101**k * 0.899 ** (width - k) for k in range(embeddings.RADIUS + 1))
+        missed.append((1 - caught) ** (segments * rotations))
+    assert max(missed) <= embeddings.MISSED
