@@ -22,10 +22,24 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest key, of each group of near copies."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), size=3, max_distance=3)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near copies.
+
+    That is the one with the smallest key (a null key last), then the smallest digest of its
+    text and of its other columns; keys may be null or repeat.
+    """
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    row = F.concat(F.coalesce(F.md5("text"), F.lit("")), F.md5(others)).alias("_row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("_row"))
+    prints = simhash.fingerprints(docs.select("doc_id", "text", row)).select("fingerprint", order.alias("_order"))
+    kept = simhash.classes(written(prints, "simhash"), "_order", max_distance=3)
+    kept = kept.select(F.col("component_id._row").alias("_kept")).distinct()
+    # rows with one digest are alike in all columns
+    return (
+        docs.withColumn("_row", row)
+        .join(kept, F.col("_row") == F.col("_kept"), "left_semi")
+        .dropDuplicates(["_row"])
+        .drop("_row")
+    )
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

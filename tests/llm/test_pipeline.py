@@ -86,3 +86,18 @@ def test_stages_take_empty_and_odd_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
         stage(spark, odd, FOLDER).select(F.count("*")).collect()
+
+
+def test_near_copies_with_null_and_repeated_keys(spark):
+    docs = table(spark, FOLDER, "documents")
+    story = " ".join(f"word{i}" for i in range(200))
+    texts = {"a": story, "b": " ".join(f"other{i}" for i in range(200)), "c": " ".join(f"third{i}" for i in range(200))}
+    rows = [
+        (None, texts["a"], "en", "x", 1), (None, texts["b"], "en", "x", 1), (None, texts["b"], "en", "x", 1),  # unique, and equal rows
+        (7, texts["c"], "en", "x", 1), (7, "one more text", "en", "x", 1),  # two texts of one key
+        (8, texts["c"], "en", "x", 1), (None, texts["c"], "en", "x", 1),  # copies of the first of them
+        (9, "one more text", "en", "y", 2), (9, "one more text", "de", "y", 2),
+    ]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, docs.schema), FOLDER)
+    assert got.columns == COLUMNS
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((rows[i] for i in (0, 1, 3, 4)), key=str)
