@@ -237,6 +237,10 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits
 ) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item matches; rows with a null key are matched by their text too."""
-    found = matches(docs, benchmark, doc_id, text, **limits).select(F.col(doc_id).alias("_found")).distinct()
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_found")), "left_anti")
+    """The rows of ``docs`` whose text no benchmark item matches.
+
+    Rows are told by the digest of their text, so keys may be null or repeat.
+    """
+    digest = F.md5(text).alias("_digest")
+    found = matches(docs.select(digest, text), benchmark, "_digest", text, **limits).select(F.col("_digest").alias("_found"))
+    return docs.join(found.distinct(), F.md5(text) == F.col("_found"), "left_anti")

@@ -64,6 +64,17 @@ def test_planted_passages(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7]
 
 
+def test_clean_rows_stay_beside_leaked_ones_of_their_key(spark):
+    leak = " ".join(f"b{k}" for k in range(20))
+    docs = spark.createDataFrame(
+        [(None, leak), (None, "clean one"), (None, None), (1, "so " + leak), (1, "clean two"), (2, leak), (2, "")],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(5, leak)], "item_id long, text string")
+    kept = d.decontaminate(docs, bench).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == [(0, ""), (0, "clean one"), (1, "clean two"), (2, "")]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
