@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabellion.llm import (
     decontamination,
     embeddings,
+    hard_negatives,
     html_template,
     langid,
     mixing,
@@ -144,3 +145,38 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).withColumn(
         "fingerprint", simhash.hex_digits(F.col("fingerprint"))
     )
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of the positives of every hundredth vector."""
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH usable AS (
+    SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+    SELECT vec_id, label, floor(unnest(embedding)::DOUBLE * 256)::BIGINT AS x, unnest(range(1, len(embedding) + 1)) AS i
+    FROM usable),
+scores AS (
+    SELECT a.vec_id AS anchor, a.label AS own, r.vec_id AS other, r.label AS label, sum(a.x * r.x)::BIGINT AS score
+    FROM parts a JOIN parts r ON a.i = r.i
+    WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+positives AS (
+    SELECT anchor, other AS positive, score FROM scores WHERE label = own AND other <> anchor
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+ranked AS (
+    SELECT p.anchor, p.positive, p.score AS top, s.other, s.score,
+        row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.other) AS rank
+    FROM positives p JOIN scores s ON s.anchor = p.anchor
+    WHERE s.label <> s.own AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, other AS negative_id, top AS positive_score,
+    score AS negative_score
+FROM ranked WHERE rank <= 5
+"""
