@@ -14,9 +14,11 @@ from tabellion.llm import (
     html_template,
     langid,
     mixing,
+    phrases,
     quality,
     simhash,
     surrogates,
+    syncmers,
     token_counts,
     toxicity,
 )
@@ -180,3 +182,58 @@ SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, other AS
     score AS negative_score
 FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op12_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    """Syncmer fingerprints of every document and of its edited text, and their likeness."""
+    made = syncmers.compare_edited(table(spark, folder, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.digest(F.col("anchors")).alias("fingerprint"),
+        syncmers.digest(F.col("edited_anchors")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH lowered AS (
+    SELECT coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed),
+runs AS (SELECT lang, w, i, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS k FROM starts),
+f AS (
+    SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n
+    FROM runs GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM listed GROUP BY lang),
+candidates AS (SELECT lang, words, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+lengths AS (SELECT lang, w, a, words, unnest(range(2, words)) AS k FROM candidates WHERE words > 2),
+places AS (SELECT lang, w, a, k, unnest(range(1, words - k + 2)) AS i FROM lengths),
+inside AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer FROM places GROUP BY ALL),
+kept AS (
+    SELECT c.* FROM candidates c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
+    WHERE i.longer IS NULL OR 100 * i.longer::HUGEINT < 80 * c.a::HUGEINT),
+cuts AS (SELECT lang, phrase, a, w, words, unnest(range(1, words)) AS k FROM kept),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, l.n AS l, r.n AS r, ((2000000::HUGEINT * c.a) // (l.n + r.n))::BIGINT AS score
+    FROM cuts c
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:c.words], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
