@@ -36,14 +36,13 @@ def _sliding(values: Column, size: int, join: Callable[[Column, Column], Column]
     def shifted(array: Column, by: int) -> Column:
         return F.slice(array, by + 1, F.greatest(F.size(array) - by, F.lit(0)))
 
-    def paired(array: Column, by: int) -> Column:
-        kept = F.slice(array, 1, F.greatest(F.size(array) - by, F.lit(0)))
-        return F.zip_with(kept, shifted(array, by), join)
+    def paired(by: int) -> Callable[[Column], Column]:
+        return lambda array: F.zip_with(F.slice(array, 1, F.greatest(F.size(array) - by, F.lit(0))), shifted(array, by), join)
 
     done = 1
     while done < size:
         step = min(done, size - done)
-        values = bound(values, lambda array, step=step: paired(array, step))
+        values = bound(values, paired(step))
         done += step
     return values
 
