@@ -38,6 +38,7 @@ class OrderedGroups:
         self.limit = max_group_rows
         sizes = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
         largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+        self.rows = rows or 0
         self.split = largest is not None and largest > max_group_rows
         self.frame = self._slices(df, rows) if self.split else df
 

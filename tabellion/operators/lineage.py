@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabellion.functions.columns import first_match, ratio, stable_id
+from tabellion.functions.ordered import OrderedGroups
 from tabellion.session import checkpointed
 
 COMPACT_LEVELS = 8
@@ -85,15 +86,6 @@ def upstream(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -
     return found.withColumn("lineage_path", F.array_join("path", " <- ")).drop("path").distinct()
 
 
-def both_ways(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Number of upstream and downstream paths and nodes per root."""
-    up = traverse(edges, roots, True, max_depth).select("root", "node", F.lit("UPSTREAM").alias("direction"))
-    down = traverse(edges, roots, False, max_depth).select("root", "node", F.lit("DOWNSTREAM").alias("direction"))
-    return up.unionAll(down).groupBy("root", "direction").agg(
-        F.count(F.lit(1)).alias("paths"), F.countDistinct("node").alias("nodes")
-    )
-
-
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every node reachable from each root with its shortest distance; each node is expanded once per root."""
     start = roots.select("root").distinct().select("root", F.col("root").alias("node"))
@@ -124,69 +116,91 @@ def _spread(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataFr
         if frontier.isEmpty():
             break
         levels.append(frontier)
-        if len(levels) > COMPACT_LEVELS:
-            levels = [_compacted(levels)]
+        levels = checkpoint_levels(levels)
     return reduce(DataFrame.unionAll, levels).filter(F.col("depth") > 0)
 
 
-def _compacted(levels: list[DataFrame]) -> DataFrame:
-    """The levels as one checkpoint, so that long traversals do not read ever more small files."""
+def checkpoint_levels(levels: list[DataFrame]) -> list[DataFrame]:
+    """Many levels as one checkpoint, so that long traversals do not read ever more small files."""
+    if len(levels) <= COMPACT_LEVELS:
+        return levels
     partitions = int(levels[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpointed(reduce(DataFrame.unionAll, levels).coalesce(partitions))
+    return [checkpointed(reduce(DataFrame.unionAll, levels).coalesce(partitions))]
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Carries tags downstream from all seeds at once, to the end or for ``max_hops`` hops.
 
-    ``seeds``: root, tag_name, tag_value, confidence. Every traversed edge gives a row; a node
-    is expanded only from its first visit, which is the one whose edges come first in
-    breadth-first order. That order is the sequence of edge ordinals along the path, kept as an
-    array, so the first visit is a ``min_by`` and needs no global numbering.
+    ``seeds``: root, tag_name, tag_value, confidence (of repeated seeds the highest). Every
+    traversed edge gives a row; a node is expanded only from its first visit, which is the one
+    whose edges come first in breadth-first order. Within a hop that order is the rank of the
+    visits of the hop before, then the edge's ordinal, so a visit is a row of fixed width: its
+    node, rank, confidence and the node before. The reason chains are put together at the end.
     """
-    hops = checkpointed(
-        edges.select(F.col("source").alias("_near"), F.col("target").alias("_far"), "transformation_type", "ordinal")
+    visits = _visits(edges, seeds, max_hops)
+    hops = edges.select(F.col("source").alias("_near"), F.col("target").alias("_far"), "transformation_type")
+    return _chains(visits).join(hops, F.col("node") == F.col("_near")).select(
+        "_tag.*",
+        F.col("_far").alias("node"),
+        (F.col("confidence") * _factor()).alias("confidence"),
+        (F.col("hop") + 1).alias("hop_count"),
+        F.concat("reason_chain", F.array(F.concat("_far", F.lit(" ("), "transformation_type", F.lit(")")))).alias("reason_chain"),
     )
-    keys = ["root", "tag_name", "tag_value"]
-    first = F.concat("root", F.lit(" ["), "tag_name", F.lit(":"), "tag_value", F.lit("]"))
-    frontier = checkpointed(
-        seeds.select(
-            *keys,
-            F.col("root").alias("node"),
-            F.col("confidence").cast("double").alias("confidence"),
-            F.array(first).alias("reason_chain"),
-            F.array().cast("array<bigint>").alias("_order"),
+
+
+def _factor() -> Column:
+    return F.when(F.col("transformation_type") == DIRECT_COPY, COPY_FACTOR).otherwise(OTHER_FACTOR)
+
+
+def _visits(edges: DataFrame, seeds: DataFrame, max_hops: int | None) -> DataFrame:
+    """(_tag, node, confidence, hop, previous, transformation_type) of every first visit; _tag is (root, tag_name, tag_value)."""
+    hops = checkpointed(
+        edges.select(
+            F.col("source").alias("_near"), F.col("target").alias("_far"), "transformation_type", F.col("ordinal").cast("bigint").alias("ordinal")
         )
     )
-    visited = [frontier.select(*keys, "node")]
-    emitted: list[DataFrame] = []
-    hop = 0
-    while True:
+    shown = ["_tag", "node", "confidence", "hop", "previous", "transformation_type"]
+    none = F.lit(None).cast("string")
+    frontier = checkpointed(
+        seeds.groupBy(F.struct("root", "tag_name", "tag_value").alias("_tag")).agg(F.max(F.col("confidence").cast("double")).alias("confidence"))
+        .withColumns({"node": F.col("_tag.root"), "hop": F.lit(0).cast("bigint"), "previous": none, "transformation_type": none})
+        .select(*shown, F.lit(1).cast("bigint").alias("_rank"))
+    )
+    levels, hop = [frontier.select(*shown)], 0
+    while max_hops is None or hop < max_hops - 1:
         hop += 1
-        factor = F.when(F.col("transformation_type") == DIRECT_COPY, COPY_FACTOR).otherwise(OTHER_FACTOR)
-        step = frontier.join(hops, F.col("node") == F.col("_near")).select(
-            *keys,
-            F.col("_far").alias("node"),
-            (F.col("confidence") * factor).alias("confidence"),
-            F.lit(hop).cast("bigint").alias("hop_count"),
-            F.concat("reason_chain", F.array(F.concat("_far", F.lit(" ("), "transformation_type", F.lit(")")))).alias("reason_chain"),
-            F.concat("_order", F.array(F.col("ordinal").cast("bigint"))).alias("_order"),
+        step = frontier.select("_tag", F.col("node").alias("previous"), F.col("confidence").alias("_before"), "_rank").join(
+            hops, F.col("previous") == F.col("_near")
         )
-        reached = checkpointed(step)
-        if reached.isEmpty():
-            break
-        emitted.append(reached)
-        if hop == max_hops:
-            break
-        seen = reduce(DataFrame.unionAll, visited)
-        best = F.min_by(F.struct("confidence", "reason_chain", "_order"), "_order").alias("b")
-        fresh = reached.join(seen, [*keys, "node"], "left_anti").groupBy(*keys, "node").agg(best).select(*keys, "node", "b.*")
-        frontier = checkpointed(fresh)
-        if frontier.isEmpty():
+        visited = reduce(DataFrame.unionAll, levels).select("_tag", F.col("node").alias("_far"))
+        first = F.min_by(F.struct("previous", "_before", "transformation_type", "_rank", "ordinal"), F.struct("_rank", "ordinal")).alias("b")
+        fresh = step.join(visited, ["_tag", "_far"], "left_anti").groupBy("_tag", F.col("_far").alias("node")).agg(first)
+        fresh = checkpointed(
+            fresh.select("_tag", "node", "b.*").withColumns({"confidence": F.col("_before") * _factor(), "hop": F.lit(hop).cast("bigint")})
+            .select(*shown, F.col("_rank").alias("_parent"), "ordinal")
+        )
+        ranked = OrderedGroups(fresh, ["_tag"], ["_parent", "ordinal", "node"])
+        if not ranked.rows:
             break
-        visited.append(frontier.select(*keys, "node"))
-    if not emitted:
-        return step.drop("_order")
-    return reduce(DataFrame.unionAll, emitted).drop("_order")
+        levels = checkpoint_levels([*levels, fresh.select(*shown)])
+        frontier = ranked.row_number("_rank").select(*shown, "_rank")
+    return reduce(DataFrame.unionAll, levels)
+
+
+def _chains(visits: DataFrame) -> DataFrame:
+    """``visits`` with ``reason_chain``, the visits that lead to each; built by doubling, in log2(hops) joins."""
+    seed = F.concat("_tag.root", F.lit(" ["), "_tag.tag_name", F.lit(":"), "_tag.tag_value", F.lit("]"))
+    step = F.when(F.col("previous").isNull(), seed).otherwise(F.concat("node", F.lit(" ("), "transformation_type", F.lit(")")))
+    chains = checkpointed(visits.select("_tag", "node", "confidence", "hop", "previous", F.array(step).alias("reason_chain")))
+    longest, known = visits.agg(F.max("hop")).first()[0] or 0, 1
+    while known <= longest:
+        above = chains.select("_tag", F.col("node").alias("previous"), F.col("previous").alias("_up"), F.col("reason_chain").alias("_above"))
+        joined = chains.where("previous is not null").join(above, ["_tag", "previous"]).select(
+            "_tag", "node", "confidence", "hop", F.col("_up").alias("previous"), F.concat("_above", "reason_chain").alias("reason_chain")
+        )
+        chains = checkpointed(chains.where("previous is null").unionByName(joined))
+        known *= 2
+    return chains
 
 
 def roll_up(edges: DataFrame, parts: int = 3) -> DataFrame:
@@ -238,9 +252,9 @@ def certified_pii_consumption(assets: DataFrame, tags: DataFrame, edges: DataFra
     """Certified tables with PII columns that reach a dashboard, and by which path.
 
     The path may start at the table or at the column; the two cases are separate equality
-    joins, since one join on either would compare every pair. What reaches a dashboard at all
-    is found first, each node once; paths are listed only among nodes that lie between a
-    certified table or column of this kind and a dashboard.
+    joins, since one join on either would compare every pair. What leads to a dashboard is found
+    first, each node once; paths are then walked from the wanted tables and columns along such
+    nodes only, so that every step belongs to a path that is shown.
     """
     pii = (
         assets.join(tags.filter(F.col("tag_name").startswith("PII")), "asset_id")
@@ -260,12 +274,11 @@ def certified_pii_consumption(assets: DataFrame, tags: DataFrame, edges: DataFra
     reversed_edges = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     above = checkpointed(reachable(reversed_edges, dashboards))
     wanted = columns.select(F.col("table_id").alias("root")).unionAll(columns.select("column_id")).distinct()
-    starts = checkpointed(wanted.join(above, F.col("root") == F.col("node"), "left_semi"))
-    sources_kept = starts.select("root").unionAll(reachable(edges, starts).select("node")).toDF("source").distinct()
+    starts = wanted.join(above, F.col("root") == F.col("node"), "left_semi")
     targets_kept = dashboards.unionAll(above).toDF("target").distinct()
-    kept = edges.join(sources_kept, "source", "left_semi").join(targets_kept, "target", "left_semi")
-    reversed_path = F.reverse(F.slice("path", 1, F.size("path") - 1))
-    sources = traverse(kept, dashboards, True, max_depth).select("node", F.array_join(reversed_path, " -> ").alias("consumed_by_dashboard"))
+    walked = traverse(edges.join(targets_kept, "target", "left_semi"), starts, max_depth=max_depth)
+    consumed = F.array_join(F.slice("path", 2, F.size("path") - 1), " -> ").alias("consumed_by_dashboard")
+    sources = walked.join(dashboards.toDF("node"), "node", "left_semi").select(F.col("root").alias("node"), consumed)
     shown = ["table_name", "certification_status", "owner", "column_name", "pii_type", "consumed_by_dashboard"]
     by_table = columns.join(sources, F.col("table_id") == F.col("node")).select(*shown)
     by_column = columns.join(sources, F.col("column_id") == F.col("node")).select(*shown)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabellion.operators import lineage, policy
+from tabellion.operators import lineage, paths, policy
 from tabellion.plans.binding import Estate
 from tabellion.plans.catalog_queries import assets, tags
 from tabellion.plans.oracle import define, half_up, with_tables
@@ -100,7 +100,49 @@ def lineage_upstream(e: Estate) -> DataFrame:
     ),
 )
 def lineage_both(e: Estate) -> DataFrame:
-    return lineage.both_ways(part_edges(e), large_parts(e))
+    return paths.both_ways(part_edges(e), large_parts(e)).withColumn("paths", F.col("paths").cast("bigint"))
+
+
+@query(
+    "lineage_path_counts",
+    walk_sql(
+        "SELECT 'n' || p_partkey AS root FROM part WHERE p_size > 40",
+        True,
+        "SELECT root, node, COUNT(*) AS paths, MIN(depth) AS shortest FROM walks GROUP BY root, node",
+    ),
+)
+def lineage_path_counts(e: Estate) -> DataFrame:
+    found = paths.PathIndex(part_edges(e)).paths_from(large_parts(e), upstream=True)
+    return found.counts().withColumn("paths", F.col("paths").cast("bigint"))
+
+
+@query(
+    "lineage_path_counts_near",
+    walk_sql(
+        "SELECT 'n' || p_partkey AS root FROM part WHERE p_size > 40",
+        False,
+        "SELECT root, node, COUNT(*) AS paths, MIN(depth) AS shortest FROM walks WHERE depth <= 4 GROUP BY root, node",
+    ),
+)
+def lineage_path_counts_near(e: Estate) -> DataFrame:
+    """Numbers of downstream paths of at most four edges."""
+    found = paths.PathIndex(part_edges(e)).paths_from(large_parts(e), max_depth=4)
+    return found.counts().withColumn("paths", F.col("paths").cast("bigint"))
+
+
+@query(
+    "lineage_predecessors",
+    walk_sql(
+        "SELECT 'n' || p_partkey AS root FROM part WHERE p_size > 45",
+        True,
+        "SELECT root, path[len(path) - 1] AS previous, node, transformation_type, COUNT(*) AS paths FROM walks GROUP BY ALL",
+    ),
+)
+def lineage_predecessors(e: Estate) -> DataFrame:
+    """The edges that upstream paths end in, in place of the paths."""
+    roots = e.table("part").filter("p_size > 45").select(node(F.col("p_partkey")).alias("root"))
+    found = paths.PathIndex(part_edges(e)).paths_from(roots, upstream=True)
+    return found.last_edges().withColumn("paths", F.col("paths").cast("bigint"))
 
 
 @query(
