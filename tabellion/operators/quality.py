@@ -1,8 +1,9 @@
 """Data-quality rules: running them, scoring tables, gating certification.
 
-All row-wise rules of a table become one aggregate over one scan. Rules that need a key
-(uniqueness, references, totals) first reduce their own columns by key, so a frequent key is
-combined on the map side before anything is shuffled.
+All row-wise rules of a table become one aggregate over one scan. Uniqueness and reference rules
+of all tables share one shuffle: a scan of a table emits a digest per rule that the table has a
+part in, as child or as parent, and digests are counted by rule, a frequent key being combined
+on the map side. Totals reduce their own columns by key before they are joined.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, DataType, DoubleType, FloatType
 
 from tabellion.functions.columns import ratio
 from tabellion.functions.patterns import VALUE_PATTERNS, stripped
@@ -60,6 +62,7 @@ class Rule:
 
 
 ROW_RULES = ("NOT_NULL", "RANGE_CHECK", "PATTERN_MATCH", "TEMPORAL_ORDER")
+KEY_RULES = ("UNIQUE", "REFERENTIAL_INTEGRITY")
 
 
 def run_rules(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
@@ -74,14 +77,13 @@ def run_rules(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) -> DataFra
         if simple:
             parts.append(_row_rules(df, simple))
         for rule in own:
-            if rule.rule_type == "UNIQUE":
-                parts.append(_unique(df, rule))
-            elif rule.rule_type == "REFERENTIAL_INTEGRITY":
-                parts.append(_reference(df, tables[rule.ref_table], rule))
-            elif rule.rule_type == "RECONCILE_TOTAL":
+            if rule.rule_type == "RECONCILE_TOTAL":
                 parts.append(_total(df, tables[rule.ref_table], rule))
-            elif rule.rule_type not in ROW_RULES:
+            elif rule.rule_type not in ROW_RULES + KEY_RULES:
                 raise ValueError(f"unknown rule type {rule.rule_type!r}")
+    keyed = [r for r in rules if r.rule_type in KEY_RULES]
+    if keyed:
+        parts.append(_key_rules(tables, keyed))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -145,26 +147,60 @@ def _row_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return one.select(F.explode(F.array(*cells)).alias("r")).select("r.*").select(*RESULT_COLUMNS)
 
 
-def _unique(df: DataFrame, rule: Rule) -> DataFrame:
-    keys = [f"`{c}`" for c in (rule.columns or (rule.column,))]
-    per_value = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    totals = per_value.agg(
-        F.coalesce(F.sum(F.when(known, F.col("_n") - 1)), F.lit(0)).alias("bad"),
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
-    )
-    return _result(totals, rule)
-
+def _key_rules(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
+    """Uniqueness and references of all tables: one scan per table, one shuffle of (rule, key digest) for all.
 
-def _reference(df: DataFrame, parent: DataFrame, rule: Rule) -> DataFrame:
-    child = df.groupBy(F.col(f"`{rule.column}`").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    known = parent.select(F.col(f"`{rule.ref_column}`").alias("_parent")).distinct()
-    orphan = F.col("_key").isNotNull() & F.col("_parent").isNull()
-    totals = child.join(known, F.col("_key") == F.col("_parent"), "left").agg(
-        F.coalesce(F.sum(F.when(orphan, F.col("_n"))), F.lit(0)).alias("bad"),
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
+    Null keys are counted but neither repeat nor point anywhere.
+    """
+    emitted: dict[str, list[Column]] = {}
+    for number, rule in enumerate(rules):
+        names = rule.columns or (rule.column,)
+        kinds = [None] * len(names)
+        if rule.rule_type == "REFERENTIAL_INTEGRITY":
+            own, other = tables[rule.table].schema[rule.column].dataType, tables[rule.ref_table].schema[rule.ref_column].dataType
+            kinds = [None if own == other else _common(tables[rule.table], rule.column, tables[rule.ref_table], rule.ref_column)]
+            emitted.setdefault(rule.ref_table, []).append(_entry(number, _digest(tables[rule.ref_table], (rule.ref_column,), kinds), parent=True))
+        emitted.setdefault(rule.table, []).append(_entry(number, _digest(tables[rule.table], names, kinds), parent=False))
+    scans = [tables[name].select(F.explode(F.array(*entries)).alias("e")).select("e.*") for name, entries in emitted.items()]
+    keys = reduce(DataFrame.unionAll, scans).groupBy("rule", "key").agg(F.sum("child").alias("n"), F.max("parent").alias("parent"))
+    unique = [i for i, rule in enumerate(rules) if rule.rule_type == "UNIQUE"]
+    wrong = F.when(F.col("key").isNull(), 0).when(F.col("rule").isin(unique), F.col("n") - 1).when(F.col("parent") == 0, F.col("n")).otherwise(0)
+    totals = keys.groupBy("rule").agg(F.sum(wrong).alias("bad"), F.sum("n").alias("total"))
+    shown = [(i, r.table, r.rule_type, ",".join(r.columns) if r.columns else r.column, r.severity) for i, r in enumerate(rules)]
+    # a row per rule: the list of rules is a parameter
+    listed = keys.sparkSession.createDataFrame(shown, "rule int, table_name string, rule_type string, column_name string, severity string")
+    bad, total = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("bad", "total"))  # an empty table has no groups
+    return listed.join(totals, "rule", "left").select(
+        "table_name", "rule_type", "column_name", "severity", (bad == 0).alias("passed"),
+        bad.alias("failing_rows_count"), total.alias("total_rows_count"),
+    )
+
+
+def _common(left: DataFrame, a: str, right: DataFrame, b: str) -> DataType:
+    """The type in which the engine compares two columns."""
+    either = left.select(F.col(f"`{a}`").alias("k")).limit(0).unionAll(right.select(F.col(f"`{b}`")).limit(0))
+    return either.schema["k"].dataType
+
+
+def _digest(df: DataFrame, names: Sequence[str], kinds: Sequence[DataType | None]) -> Column:
+    """128 bits of the values as text, null if one of them is null; equal values have equal texts."""
+    texts = []
+    for name, kind in zip(names, kinds, strict=True):
+        column, kind = F.col(f"`{name}`"), kind or df.schema[name].dataType
+        if isinstance(kind, DoubleType | FloatType):
+            column = column.cast(kind) + F.lit(0.0).cast(kind)  # -0.0 becomes 0.0
+        text = F.hex(column) if isinstance(kind, BinaryType) else column.cast(kind).cast("string")
+        texts.append(text)
+    if len(texts) > 1:  # lengths keep ('a', 'bc') and ('ab', 'c') apart
+        texts = [part for text in texts for part in (F.length(text).cast("string"), F.lit(":"), text)]
+    return F.unhex(F.md5(F.concat(*texts)))
+
+
+def _entry(number: int, key: Column, parent: bool) -> Column:
+    child, known = (0, 1) if parent else (1, 0)
+    return F.struct(
+        F.lit(number).alias("rule"), key.alias("key"), F.lit(child).cast("bigint").alias("child"), F.lit(known).alias("parent")
     )
-    return _result(totals, rule)
 
 
 def _total(df: DataFrame, detail: DataFrame, rule: Rule) -> DataFrame:

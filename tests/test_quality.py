@@ -62,3 +62,42 @@ def test_defects_are_counted_and_caught(spark):
     assert {(r.defect_id, r.injected_count, r.caught) for r in found.collect()} == {("D1", 3, True), ("D2", 2, False), ("D3", 4, True)}
     totals = report.first()
     assert totals.catch_rate_percentage == 66.67 and totals.false_positives == 1
+
+
+def test_key_rules_of_all_tables_share_one_shuffle(spark, tmp_path):
+    spark.createDataFrame([(i % 40, f"k{i % 7}", 0.0 if i % 2 else -0.0) for i in range(100)], "id int, name string, v double").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([(i, f"k{i}") for i in range(5)], "id long, name string").write.parquet(str(tmp_path / "p"))
+    t, p = (spark.read.parquet(str(tmp_path / n)) for n in "tp")
+    rules = [
+        Rule("t", "UNIQUE", "id"),
+        Rule("t", "UNIQUE", "name", columns=("id", "name")),
+        Rule("t", "UNIQUE", "v"),
+        Rule("t", "REFERENTIAL_INTEGRITY", "id", ref_table="p", ref_column="id"),
+        Rule("t", "REFERENTIAL_INTEGRITY", "name", ref_table="p", ref_column="name"),
+        Rule("p", "UNIQUE", "id"),
+    ]
+    found = quality.run_rules({"t": t, "p": p}, rules)
+    bad = {(r.table_name, r.rule_type, r.column_name): r.failing_rows_count for r in found.collect()}
+    names = sum(i % 7 >= 5 for i in range(100))
+    assert bad == {
+        ("t", "UNIQUE", "id"): 60, ("t", "UNIQUE", "id,name"): 0, ("t", "UNIQUE", "v"): 99, ("p", "UNIQUE", "id"): 0,
+        ("t", "REFERENTIAL_INTEGRITY", "id"): sum(i % 40 >= 5 for i in range(100)), ("t", "REFERENTIAL_INTEGRITY", "name"): names,
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 2
+    assert plan.count("hashpartitioning(rule") <= 3 and plan.count("hashpartitioning(rule#") >= 1
+
+
+def test_key_rules_with_nulls_and_empty_tables(spark):
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a:1"), (1, None)], "a int, b string")
+    pairs = spark.createDataFrame([("ab", "c"), ("a", "bc"), ("a", "bc")], "x string, y string")
+    rules = [
+        Rule("r", "UNIQUE", "a", columns=("a", "b")), Rule("r", "UNIQUE", "a"), Rule("e", "UNIQUE", "a"), Rule("s", "UNIQUE", "x", columns=("x", "y")),
+        Rule("r", "REFERENTIAL_INTEGRITY", "a", ref_table="e", ref_column="a"),
+    ]
+    found = quality.run_rules({"r": rows, "e": rows.limit(0), "s": pairs}, rules).collect()
+    got = {(r.table_name, r.rule_type, r.column_name): (r.failing_rows_count, r.total_rows_count) for r in found}
+    assert got == {
+        ("r", "UNIQUE", "a,b"): (0, 4), ("r", "UNIQUE", "a"): (1, 4), ("e", "UNIQUE", "a"): (0, 0), ("s", "UNIQUE", "x,y"): (1, 3),
+        ("r", "REFERENTIAL_INTEGRITY", "a"): (2, 4),
+    }
