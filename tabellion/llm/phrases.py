@@ -1,18 +1,20 @@
 """Phrase collocations by Toivonen mining.
 
 A sample of the documents proposes phrases with a lowered threshold. A pass over all documents
-counts, exactly, every phrase that is proposed or lies on the negative border: all its shorter
-parts are proposed. A border phrase that turns out frequent is a failure of the sample; it
-joins the proposals and a further pass counts what they border on, until nothing frequent is
-left outside. Then no frequent phrase can be uncounted, because its parts are frequent too.
-
-The proposals go to the tasks as a bitmap of fixed size. A hash collision only adds a phrase to
-what is counted; it takes none away.
+counts every phrase that is proposed or lies on the negative border: all its shorter parts are
+proposed. A border phrase that turns out frequent is a failure of the sample; it joins the
+proposals and a further pass counts what they border on, until nothing frequent is left
+outside. Then no frequent phrase can be uncounted, because its parts are frequent too.
+
+Texts are cut into words once and written as 32-bit codes of the words; these passes count
+64-bit codes of runs of them, and proposals go to the tasks as a bitmap of fixed size. Codes or
+bits that collide can only make a phrase look more frequent. A last pass over the texts counts
+the words themselves of every phrase whose code is frequent, so the counts returned are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import sqrt
 
 import numpy as np
@@ -21,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabellion.llm.common import written
 
@@ -30,11 +33,12 @@ BITS = 26
 #: share of the documents that proposes phrases
 SAMPLE = 0.125
 #: words that a task counts at once, distinct ones it remembers, bytes of text it cuts at once
-BUFFER, REMEMBERED, CHUNK = 1 << 20, 1 << 20, 1 << 22
+BUFFER, REMEMBERED, CHUNK = 1 << 19, 1 << 20, 1 << 22
 UNKNOWN = "und"
 _BUCKET = 1 << 15
 
-_COUNTS = "lang string, words int, phrase string, code long, n long"
+_CODES = "code long, words int, n long"
+_PHRASES = "lang string, words int, phrase string, n long"
 #: A-Z are lower-cased by bytes.lower(); these end a piece, a tab separates words like a space
 _END = b"\xff"
 _TABLE = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -42,7 +46,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words:
-    """Numbers for the words of each language; 0 is the end of a piece."""
+    """Numbers for the words of each language, and their 32-bit codes; 0 is the end of a piece."""
 
     def __init__(self) -> None:
         self.names: list[bytes] = [b""]
@@ -53,7 +57,7 @@ class Words:
 
     def of(self, lang: str) -> _Numbers:
         if lang not in self.tables:
-            self.tables[lang] = _Numbers(self, len(self.languages), xxhash.xxh64_intdigest(lang.encode()))
+            self.tables[lang] = _Numbers(self, len(self.languages), seed(lang))
             self.languages.append(lang)
         return self.tables[lang]
 
@@ -68,10 +72,33 @@ class _Numbers(dict):
         number = self[word] = len(words.names)
         words.names.append(word)
         words.langs.append(self.lang)
-        words.codes.append(xxhash.xxh64_intdigest(word, self.seed))
+        words.codes.append(code(word, self.seed))
         return number
 
 
+class Codes(dict):
+    """The 32-bit codes of the words of a language; some are remembered."""
+
+    def __init__(self, lang: str):
+        super().__init__({_END: 0})
+        self.seed = seed(lang)
+
+    def __missing__(self, word: bytes) -> int:
+        value = code(word, self.seed)
+        if len(self) < REMEMBERED:
+            self[word] = value
+        return value
+
+
+def seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
+def code(word: bytes, seed: int) -> int:
+    """32 bits of a word, never 0."""
+    return xxhash.xxh64_intdigest(word, seed) >> 32 or 1
+
+
 def cut(text: str) -> Iterator[list[bytes]]:
     """The words of a text in order, _END between pieces, some megabytes of text at a time."""
     data = text.encode("utf-8", "surrogatepass").lower().translate(_TABLE)
@@ -100,78 +127,152 @@ def within(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _count(
-    ids: np.ndarray, vocabulary: Words, known: np.ndarray | None, before: np.ndarray | None, first: bool
-) -> Iterator[pa.RecordBatch]:
-    """Counts of the runs that start at all but the last LONGEST - 1 places of ``ids``."""
-    starts = len(ids) - LONGEST + 1
-    codes = np.array(vocabulary.codes, dtype=np.uint64)
-    langs = np.array(vocabulary.langs, dtype=np.int32)
-    names = pa.array(vocabulary.names, pa.binary())
-    languages = pa.array(vocabulary.languages, pa.string())
-    ends = ids == 0
-
-    def batch(places: np.ndarray, n: int, code: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        parts = [names.take(pa.array(ids[places + j])) for j in range(n)]
-        phrase = pc.binary_join_element_wise(*parts, b" ") if n > 1 else parts[0]
-        lang = languages.take(pa.array(langs[ids[places]]))
-        return pa.RecordBatch.from_arrays(
-            [lang, pa.array(np.full(len(places), n, np.int32)), phrase.cast(pa.string()), pa.array(code.view(np.int64)), pa.array(counts.astype(np.int64))],
-            names=["lang", "words", "phrase", "code", "n"],
-        )
+Count = Callable[[np.ndarray], Iterator[pa.RecordBatch]]
 
-    if first:
-        place = np.flatnonzero(~ends[:starts])
-        own, at, counts = np.unique(ids[place], return_index=True, return_counts=True)
-        if len(own):
-            yield batch(place[at], 1, codes[own], counts)
-            totals = np.bincount(langs[own], counts, len(vocabulary.languages)).astype(np.int64)
-            sums = [(vocabulary.languages[i], 0, "", 0, int(t)) for i, t in enumerate(totals) if t]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*sums, strict=True), _TYPES, strict=True)], names=list(_NAMES))
-    if known is None:
-        return
-    words = codes[ids]
-    pairs = ids[:-1] * len(names) + ids[1:]
-    _, pair = np.unique(pairs, return_inverse=True)
-    run, clear = words, ~ends
+
+def _runs(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For codes of words: (n, codes of the runs of n - 1 words, codes of those of n, whether a run of n lies inside a piece)."""
+    clear = words != 0
+    words = spread(words)
+    run = words
     for n in range(2, LONGEST + 1):
-        proposed = within(known, run)
-        counted = proposed[:starts] & proposed[1 : starts + 1]
-        if before is not None:
-            done = within(before, run)
-            counted &= ~(done[:starts] & done[1 : starts + 1])
-        run = longer(run, words, n)
-        clear = clear[: len(ids) - n + 1] & ~ends[n - 1 :]
-        place = np.flatnonzero(counted & clear[:starts])
-        if not len(place):
-            continue
-        # runs are told apart by their words' numbers, so that the counts are exact
-        if n == 2:
-            key = pair[place]
-        elif n == 3:
-            key = pair[place] * len(names) + ids[place + 2]
-        else:
-            key = pair[place] * len(pair) + pair[place + 2]
-        _, at, counts = np.unique(key, return_index=True, return_counts=True)
-        yield batch(place[at], n, run[place[at]], counts)
-
-
-_NAMES = ("lang", "words", "phrase", "code", "n")
-_TYPES = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-
-
-def counts(docs: DataFrame, known: np.ndarray | None, before: np.ndarray | None, first: bool) -> DataFrame:
-    """(lang, words, phrase, code, n): exact numbers of the phrases whose parts are ``known``.
-
-    ``docs`` has the columns text and lang. Words are counted in the ``first`` pass, together
-    with a row per language for all words (words 0); phrases whose parts were all known
-    ``before`` are not counted again.
+        shorter, run = run, longer(run, words, n)
+        clear = clear[: len(words) - n + 1] & clear[-(len(words) - n + 1) :]
+        yield n, shorter, run, clear
+
+
+def spread(words: np.ndarray) -> np.ndarray:
+    """64-bit codes of runs of one word."""
+    with np.errstate(over="ignore"):
+        mixed = words.astype(np.uint64) * _STEP
+        return (mixed ^ (mixed >> np.uint64(32))) * _STEP
+
+
+def _code_batch(n: int, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    words = pa.array(np.full(len(codes), n, np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(codes.view(np.int64)), words, pa.array(counts.astype(np.int64))], names=["code", "words", "n"]
+    )
+
+
+def count_codes(known: np.ndarray | None, before: np.ndarray | None, first: bool) -> Count:
+    """Counts codes of the runs whose parts are all ``known`` and were not all known ``before``; words in the ``first`` pass."""
+
+    def count(words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = len(words) - LONGEST + 1
+        if first:
+            own, counts = np.unique(words[:starts], return_counts=True)
+            inside = own > 0
+            yield _code_batch(1, spread(own[inside]), counts[inside])
+        if known is None:
+            return
+        for n, shorter, run, clear in _runs(words):
+            proposed = within(known, shorter)
+            counted = proposed[:starts] & proposed[1 : starts + 1] & clear[:starts]
+            if before is not None:
+                done = within(before, shorter)
+                counted &= ~(done[:starts] & done[1 : starts + 1])
+            codes, counts = np.unique(run[:starts][counted], return_counts=True)
+            if len(codes):
+                yield _code_batch(n, codes, counts)
+
+    return count
+
+
+def count_phrases(chosen: np.ndarray) -> Callable[[np.ndarray, Words], Iterator[pa.RecordBatch]]:
+    """For numbers of words: counts the phrases whose code is ``chosen``, and as words 0 all words of each language."""
+
+    def count(ids: np.ndarray, vocabulary: Words) -> Iterator[pa.RecordBatch]:
+        starts = len(ids) - LONGEST + 1
+        langs = np.array(vocabulary.langs, dtype=np.int32)
+        names = pa.array(vocabulary.names, pa.binary())
+        languages = pa.array(vocabulary.languages, pa.string())
+
+        def batch(places: np.ndarray, n: int, counts: np.ndarray) -> pa.RecordBatch:
+            parts = [names.take(pa.array(ids[places + j])) for j in range(n)]
+            phrase = pc.binary_join_element_wise(*parts, b" ") if n > 1 else parts[0]
+            lang = languages.take(pa.array(langs[ids[places]]))
+            size = pa.array(np.full(len(places), n, np.int32))
+            return pa.RecordBatch.from_arrays(
+                [lang, size, phrase.cast(pa.string()), pa.array(counts.astype(np.int64))], names=["lang", "words", "phrase", "n"]
+            )
+
+        own, at, counts = np.unique(ids[:starts], return_index=True, return_counts=True)
+        own, at, counts = own[own > 0], at[own > 0], counts[own > 0]
+        if not len(own):
+            return
+        totals = np.bincount(langs[own], counts, len(vocabulary.languages)).astype(np.int64)
+        shown = totals > 0
+        yield pa.RecordBatch.from_arrays(
+            [languages.filter(pa.array(shown)), pa.array(np.zeros(shown.sum(), np.int32)), pa.array([""] * shown.sum(), pa.string()), pa.array(totals[shown])],
+            names=["lang", "words", "phrase", "n"],
+        )
+        codes = np.array(vocabulary.codes, dtype=np.uint32)
+        frequent = within(chosen, spread(codes[own]))
+        yield batch(at[frequent], 1, counts[frequent])
+        for n, _, run, clear in _runs(codes[ids]):
+            place = np.flatnonzero(within(chosen, run[:starts]) & clear[:starts])
+            if not len(place):
+                continue
+            # runs are told apart by the numbers of their words
+            key = ids[place]
+            for j in range(1, n):
+                _, key = np.unique(key, return_inverse=True)
+                key = key * len(names) + ids[place + j]
+            _, at, counts = np.unique(key, return_index=True, return_counts=True)
+            yield batch(place[at], n, counts)
+
+    return count
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """The texts of ``docs`` (text, lang, ...) as binary rows of 32-bit codes, a 0 after each piece; other columns stay."""
+    kept = [c for c in docs.columns if c not in ("text", "lang")]
+    schema = T.StructType([T.StructField("words", T.BinaryType()), *[docs.schema[c] for c in kept]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[str, Codes] = {}
+        for batch in batches:
+            rows = []
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                table = tables.get(lang) or tables.setdefault(lang, Codes(lang))
+                parts = [np.fromiter(map(table.__getitem__, words), np.uint32, len(words)) for words in cut(text)]
+                rows.append(b"".join([*(p.tobytes() for p in parts), bytes(4)]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *[batch.column(c) for c in kept]], names=["words", *kept])
+
+    return docs.mapInArrow(run, schema)
+
+
+def passed(texts: DataFrame, count: Count) -> DataFrame:
+    """(code, words, n) that ``count`` finds in all ``words`` of encoded texts, still to be added up.
+
+    ``count`` gets some codes at a time, whatever the length of a text; the last LONGEST - 1 of
+    them are only there to end the runs before them.
     """
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((known, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, before = shared.value
+        held, size = [], 0
+        for batch in batches:
+            for row in batch.column(0):
+                words = np.frombuffer(row.as_buffer(), dtype=np.uint32)
+                for at in range(0, len(words), BUFFER):
+                    held.append(words[at : at + BUFFER])
+                    size += len(held[-1])
+                    if size >= BUFFER:
+                        words_now = np.concatenate(held)
+                        yield from count(words_now)
+                        held, size = [words_now[len(words_now) - LONGEST + 1 :]], LONGEST - 1
+        if held:
+            yield from count(np.concatenate([*held, np.zeros(LONGEST - 1, np.uint32)]))
+
+    return texts.select("words").mapInArrow(run, _CODES)
+
+
+def named(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(lang, words, phrase, n) of the phrases of ``docs`` (text, lang) whose code is ``chosen``, still to be added up."""
+    count = count_phrases(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, size = Words(), [], 0
         closing = np.zeros(LONGEST - 1, dtype=np.int64)
         for batch in batches:
@@ -185,7 +286,7 @@ def counts(docs: DataFrame, known: np.ndarray | None, before: np.ndarray | None,
                     if size < BUFFER:
                         continue
                     ids = np.concatenate(held)
-                    yield from _count(ids, vocabulary, known, before, first)
+                    yield from count(ids, vocabulary)
                     rest = ids[len(ids) - LONGEST + 1 :]
                     if len(vocabulary.names) > REMEMBERED:
                         names = [vocabulary.names[i] if i else _END for i in rest]
@@ -196,36 +297,34 @@ def counts(docs: DataFrame, known: np.ndarray | None, before: np.ndarray | None,
                 held.append(closing[:1])
                 size += 1
         if held:
-            yield from _count(np.concatenate([*held, closing]), vocabulary, known, before, first)
+            yield from count(np.concatenate([*held, closing]), vocabulary)
 
-    found = docs.select("text", "lang").mapInArrow(run, _COUNTS)
-    return found.groupBy("lang", "words", "phrase").agg(F.min("code").alias("code"), F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(run, _PHRASES)
 
 
-def proposals(phrases: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of the phrases that others can contain; at most 2 ** (bits - 15) rows of 4 KB come to the driver."""
+def bitmap(codes: DataFrame, bits: int) -> np.ndarray:
+    """The bits of the codes; at most 2 ** (bits - 15) rows of 4 KB come to the driver."""
     place = F.shiftrightunsigned("code", 64 - bits)
-    bit = (place % _BUCKET).alias("bit")
-    rows = phrases.where((F.col("words") >= 1) & (F.col("words") < LONGEST)).select(F.floor(place / _BUCKET).alias("bucket"), bit)
-    bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    rows = codes.select(F.floor(place / _BUCKET).alias("bucket"), (place % _BUCKET).alias("bit"))
+    made = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for bucket, part in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("part")).collect():
-        bitmap[bucket * (_BUCKET // 8) : (bucket + 1) * (_BUCKET // 8)] |= np.frombuffer(part, dtype=np.uint8)
-    return bitmap
+        made[bucket * (_BUCKET // 8) : (bucket + 1) * (_BUCKET // 8)] |= np.frombuffer(part, dtype=np.uint8)
+    return made
 
 
-def closed(docs: DataFrame, least: int, known: np.ndarray | None = None, bits: int = BITS) -> tuple[DataFrame, np.ndarray, int]:
-    """All phrases with at least ``least`` occurrences, their bitmap, and the number of passes.
+def closed(texts: DataFrame, least: int, known: np.ndarray | None = None, bits: int = BITS) -> tuple[DataFrame, np.ndarray, int]:
+    """For encoded texts: (code, words) of all phrases with at least ``least`` occurrences, the bitmap of those that others contain, number of passes.
 
     Passes go on until every frequent phrase is known, at most LONGEST + 1 of them: the first
     counts all words, each further one completes phrases that are one word longer.
     """
     before, found, passes = None, None, 0
     while True:
-        new = counts(docs, known, before, first=not passes)
-        new = written(new.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+        new = passed(texts, count_codes(known, before, first=not passes)).groupBy("code").agg(F.max("words").alias("words"), F.sum("n").alias("n"))
+        new = written(new.where(F.col("n") >= least).select("code", "words"), "phrase-codes")
         found = new if found is None else found.unionByName(new)
         passes += 1
-        grown = proposals(new, bits)
+        grown = bitmap(new.where(F.col("words") < LONGEST), bits)
         if known is not None:
             grown |= known
             if (grown == known).all():
@@ -252,10 +351,17 @@ def frequent(
     rows = docs.select(
         F.coalesce(text, F.lit("")).alias("text"), F.coalesce(lang, F.lit(UNKNOWN)).alias("lang"), hashed.alias("hash")
     )
-    chosen = rows.where(F.pmod("hash", F.lit(1 << 20)) < int(sample * (1 << 20)))
-    expected = least * sample
-    known = closed(chosen, max(2, round(expected - sqrt(expected))), bits=bits)[1] if sample > 0 else None
-    return closed(rows, least, known, bits)[0].drop("code")
+    sampled = (F.pmod("hash", F.lit(1 << 20)) < int(sample * (1 << 20))).alias("sampled")
+    texts = written(encoded(rows.where("text <> ''").select("text", "lang", sampled)), "phrase-words")
+    known = None
+    if sample > 0:
+        chosen = written(texts.where("sampled"), "phrase-sample")
+        expected = least * sample
+        known = closed(chosen, max(2, round(expected - sqrt(expected))), bits=bits)[1]
+    codes, _, _ = closed(texts, least, known, bits)
+    counted = named(rows, bitmap(codes, bits))
+    counted = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return counted.where((F.col("n") >= least) | (F.col("words") == 0))
 
 
 def _joined(words: Column, start: Column, length: Column) -> Column:

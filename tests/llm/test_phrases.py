@@ -88,13 +88,14 @@ def test_sample_and_bitmap_do_not_change_the_result(spark):
 def test_border_failures_lead_to_further_passes(spark):
     rows = [(i, "alpha beta gamma delta epsilon", "en", "s", "w") for i in range(40)]
     frame = spark.createDataFrame(rows, SCHEMA)
+    texts = phrases.encoded(frame.select("text", "lang"))
     empty = np.zeros(1 << (phrases.BITS - 3), dtype=np.uint8)
-    found, _, passes = phrases.closed(frame, 30, empty)
-    assert passes > 2
-    counted = {(r.words, r.phrase): r.n for r in found.collect() if r.words}
-    assert counted[4, "beta gamma delta epsilon"] == 40 and len(counted) == 5 + 4 + 3 + 2
-    full = phrases.closed(frame, 30, phrases.proposals(found, phrases.BITS))
-    assert full[2] == 1 and full[0].count() == found.count()
+    found, known, passes = phrases.closed(texts, 30, empty)
+    assert passes > 2 and found.count() == 5 + 4 + 3 + 2
+    full = phrases.closed(texts, 30, known)
+    assert full[2] == 1 and {tuple(r) for r in full[0].collect()} == {tuple(r) for r in found.collect()}
+    counted = phrases.frequent(frame, sample=0.02).collect()
+    assert {(r.words, r.phrase): r.n for r in counted if r.words}[4, "beta gamma delta epsilon"] == 40
 
 
 def test_small_buffers_and_chunks_count_alike(monkeypatch):
@@ -108,11 +109,16 @@ def test_small_buffers_and_chunks_count_alike(monkeypatch):
             for part in phrases.cut(text):
                 held += [words.of(lang)[w] for w in part]
             held.append(0)
-        known = np.full(1 << 12, 255, dtype=np.uint8)
+        every = np.full(1 << 12, 255, dtype=np.uint8)
         ids = np.array(held + [0, 0, 0], dtype=np.int64)
-        for batch in phrases._count(ids, words, known, None, True):
+        for batch in phrases.count_phrases(every)(ids, words):
             for r in batch.to_pylist():
                 out[r["lang"], r["words"], r["phrase"]] += r["n"]
+        codes = Counter()
+        for batch in phrases.count_codes(every, None, True)(np.array(words.codes, dtype=np.uint32)[ids]):
+            for r in batch.to_pylist():
+                codes[r["words"]] += r["n"]
+        assert codes == Counter({k: sum(n for key, n in out.items() if key[1] == k) for k in (1, 2, 3, 4)})
         return out
 
     whole = counted()
@@ -126,13 +132,15 @@ def test_small_buffers_and_chunks_count_alike(monkeypatch):
 def test_flushes_inside_a_text(spark, monkeypatch):
     rows = texts(80, 4) + [(5000, " ".join(["no end here"] * 500), "en", "s", "w")]
     frame = spark.createDataFrame([(r[1] or "", r[2] or "und") for r in rows], "text string, lang string").repartition(2)
-    known = np.full(1 << 12, 255, dtype=np.uint8)
+    every = np.full(1 << 12, 255, dtype=np.uint8)
 
     def counted(buffer, remembered):
-        source = open(phrases.__file__).read().replace("BUFFER, REMEMBERED, CHUNK = 1 << 20, 1 << 20", f"BUFFER, REMEMBERED, CHUNK = {buffer}, {remembered}")
+        source = open(phrases.__file__).read().replace("BUFFER, REMEMBERED, CHUNK = 1 << 19, 1 << 20", f"BUFFER, REMEMBERED, CHUNK = {buffer}, {remembered}")
         scope = {"__name__": "phrases_small"}
         exec(compile(source, "phrases_small", "exec"), scope)
-        return {tuple(r) for r in scope["counts"](frame, known, None, True).drop("code").collect()}
+        found = scope["named"](frame, every).groupBy("lang", "words", "phrase").sum("n").collect()
+        codes = scope["passed"](scope["encoded"](frame), scope["count_codes"](every, None, True)).groupBy("code").sum("n").collect()
+        return {tuple(r) for r in found}, {tuple(r) for r in codes}
 
     assert counted(50, 10) == counted(1 << 20, 1 << 20)
 
