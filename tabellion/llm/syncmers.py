@@ -148,10 +148,9 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     read; an empty table gives an empty result.
     """
     place = neighbours(docs, doc_id, text)
-    # one exchange of the texts serves both joins
-    rows = _texts(docs, doc_id, text).groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.count("*").alias("copies")
-    )
+    # one exchange of the texts serves both joins: neither may read fewer columns of it than the other
+    rows = _texts(docs, doc_id, text).groupBy("key").agg(F.min(F.struct("doc_id", "text")).alias("_row"), F.count("*").alias("copies"))
+    rows = rows.where("copies > 0").select("key", "_row.doc_id", "_row.text", "copies")
     head = F.substring("text", F.lit(1), F.floor(F.col("n_before") / share).cast("int"))
     sent = rows.join(place, "key", "left").select(
         F.col("before").alias("key"), head.alias("head"), marks(anchors(F.col("text"))).alias("next")
