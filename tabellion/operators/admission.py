@@ -52,10 +52,10 @@ def admit(
     Rejected requests do not count, so a decision depends on all earlier ones. Clients of
     ordinary size are decided in one task each. If a client is too large for that, requests
     are cut into slices of time order that are decided in parallel from an assumed state, the
-    requests still counted at the slice's start. Slices whose assumption turns out wrong are
-    decided again, until no state changes; the first slice of a client is always right, so
-    every round settles at least one more, and a gap longer than the window settles the rest.
-    Requests without a client are one client of their own.
+    requests still counted at the slice's start. Where an assumption turns out wrong, the next
+    round carries the state over runs of slices that are twice as long, so that a client needs
+    at most as many rounds as its number of slices has binary digits, and one that is idle for
+    a window now and then needs few. Requests without a client are one client of their own.
     """
     span = window_seconds * MICROS
     # a key that is never null, as the joins and groups below are by equality
@@ -75,7 +75,7 @@ def admit(
         return null_safe_join(df, verdicts, [client, order]).drop(CLIENT)
 
     rows = groups.frame.select(*narrow, SLICE)
-    states = _settled_states(rows, client, order, kind, max_requests, span)
+    states, _ = _settled_states(rows, client, order, kind, max_requests, span)
 
     def decide_slice(requests: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         ordered = requests.sort_values(["_at", order])
@@ -125,37 +125,79 @@ def _with_state(rows: DataFrame, states: DataFrame, client: str):
     return rows.groupBy(client, SLICE).cogroup(fresh.groupBy("state_client", "state_slice"))
 
 
-def _settled_states(rows: DataFrame, client: str, order: str, kind: str, max_requests: int, span: int) -> DataFrame:
-    """(client, slice, carried): the accepted times that still count when each slice starts."""
+def _settled_states(rows: DataFrame, client: str, order: str, kind: str, max_requests: int, span: int) -> tuple[DataFrame, int]:
+    """((client, slice, carried): the accepted times that still count when each slice starts, number of rounds).
+
+    In every round the state is carried through runs of slices from the state assumed at their
+    beginning, in one sorted pass of constant memory; what a run hands to the next one is
+    compared with what that one assumed. Runs whose assumption held are left alone, the others
+    become part of a run of twice the length.
+    """
     keys = [client, SLICE]
-    following = Window.partitionBy(client).orderBy(SLICE)
-    plan = rows.groupBy(*keys).agg(F.min("_at").alias("_first")).select(
-        *keys,
-        F.lead(SLICE).over(following).alias("_next"),
-        F.lead("_first").over(following).alias("_next_first"),
-    )
-    plan = checkpointed(plan)
+    place = F.row_number().over(Window.partitionBy(client).orderBy(SLICE)) - 1
+    plan = checkpointed(rows.groupBy(*keys).agg(F.min("_at").alias("_first")).withColumn("_place", place))
+    most = plan.agg(F.max("_place")).first()[0] or 0
     states = plan.select(*keys, F.array().cast("array<bigint>").alias("carried"))
-    pending = states
-
-    def hand_over(requests: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if requests.empty or state.empty or pd.isna(state["_next"].iloc[0]):
-            return pd.DataFrame({client: [], SLICE: [], "carried": []}, dtype=object)
-        ordered = requests.sort_values(["_at", order])
-        _, recent = decisions(ordered["_at"], list(state["carried"].iloc[0]), max_requests, span)
-        starts = int(state["_next_first"].iloc[0])
-        left = [t for t in recent if starts - t < span]
-        return pd.DataFrame({client: [ordered[client].iloc[0]], SLICE: [int(state["_next"].iloc[0])], "carried": [left]})
-
-    schema = f"`{client}` {kind}, `{SLICE}` int, carried array<bigint>"
+    pending, width, rounds = states, 1, 0
+    schema = f"`{client}` {kind}, `{SLICE}` int, carried array<bigint>, handed boolean"
     while True:
-        due = pending.join(plan, keys)
-        touched = rows.join(due.select(*keys), keys, "left_semi")
-        handed = _with_state(touched, due, client).applyInPandas(hand_over, schema)
-        changed = checkpointed(
-            handed.withColumnRenamed("carried", "_new").join(states, keys).filter(F.col("_new") != F.col("carried")).select(*keys, F.col("_new").alias("carried"))
-        )
+        rounds += 1
+        numbered = plan.withColumn("_run", F.floor(F.col("_place") / width))
+        following = Window.partitionBy(client).orderBy("_run")
+        runs = numbered.groupBy(client, "_run").agg(F.min(SLICE).alias(SLICE), F.min("_first").alias("_first"))
+        runs = runs.withColumns({"_after": F.lead(SLICE).over(following), "_after_first": F.lead("_first").over(following)})
+        due = pending.join(numbered, keys).select(client, "_run").distinct()
+        marks = runs.join(due, [client, "_run"]).join(states, keys).select(
+            *keys, "_run", F.lit(0).alias("_mark"), F.col("_first").alias("_at"), F.lit(None).cast(rows.schema[order].dataType).alias(order),
+            "carried", "_after", "_after_first",
+        )
+        none = F.lit(None).cast("bigint")
+        work = rows.join(numbered.select(*keys, "_run"), keys).join(due, [client, "_run"], "left_semi").select(
+            *keys, "_run", F.lit(1).alias("_mark"), "_at", order, F.lit(None).cast("array<bigint>").alias("carried"),
+            none.cast("int").alias("_after"), none.alias("_after_first"),
+        )
+        # dealt anew by an expression of its own: both sides are already dealt by the run, but not alike
+        dealt = marks.unionByName(work).repartition(F.xxhash64(client, "_run"))
+        ordered = dealt.sortWithinPartitions(client, "_run", SLICE, "_mark", "_at", order)
+        carried = ordered.drop(order).mapInPandas(_carrier(client, max_requests, span), schema)
+        different = carried.withColumnRenamed("carried", "_new").join(states, keys).filter(F.col("_new") != F.col("carried"))
+        changed = checkpointed(different.select(*keys, F.col("_new").alias("carried"), "handed"))
         if changed.isEmpty():
-            return states
-        states = checkpointed(states.join(changed.select(*keys), keys, "left_anti").unionByName(changed))
-        pending = changed
+            return states, rounds
+        states = checkpointed(states.join(changed.select(*keys), keys, "left_anti").unionByName(changed.drop("handed")))
+        pending = changed.filter("handed").select(*keys)
+        if width > most or pending.isEmpty():
+            return states, rounds
+        width *= 2
+
+
+def _carrier(client: str, max_requests: int, span: int):
+    """Walks sorted runs: a mark with the state at a run's beginning, then its requests."""
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, current, recent, after = None, None, [], (None, None)
+
+        def handed() -> list[tuple]:
+            place, starts = after
+            return [] if place is None else [(run[0], place, [t for t in recent if starts - t < span], True)]
+
+        for batch in batches:
+            out: list[tuple] = []
+            for key, part in batch.groupby([client, "_run"], sort=False):
+                if key != run:
+                    out += handed()
+                    mark = part.iloc[0]
+                    run, current, recent = key, int(mark[SLICE]), [int(t) for t in mark["carried"]]
+                    after = (None, None) if pd.isna(mark["_after"]) else (int(mark["_after"]), int(mark["_after_first"]))
+                    part = part.iloc[1:]
+                for place, requests in part.groupby(SLICE, sort=False)["_at"]:
+                    if place != current:
+                        starts = int(requests.iloc[0])
+                        recent = [t for t in recent if starts - t < span]
+                        out.append((run[0], int(place), recent, False))
+                        current = place
+                    _, recent = decisions(requests, recent, max_requests, span)
+            yield pd.DataFrame(out, columns=[client, SLICE, "carried", "handed"])
+        yield pd.DataFrame(handed(), columns=[client, SLICE, "carried", "handed"])
+
+    return carry

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tabellion.functions.columns import contains_any, first_match, ratio
+from tabellion.session import checkpointed
 
 # fixed values: rubric scores and the words of business relevance
 GROUNDED, UNGROUNDED = 4.6, 4.3
@@ -39,24 +41,41 @@ def row_text(df: DataFrame) -> Column:
     return F.to_json(F.array(*normalised(df)))
 
 
-def result_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+#: groups of rows whose checksums are compared first
+DIFF_BUCKETS = 4096
+
+
+def result_diff(left: DataFrame, right: DataFrame, buckets: int = DIFF_BUCKETS) -> DataFrame:
     """Multiset comparison of two results, by position, ignoring order.
 
-    Both sides become signed counts of normalised rows, added up in one shuffle. Rows of
-    different width never match, so a width mismatch shows as all rows missing and extra.
+    Normalised rows are dealt to buckets by their hash. First only the rows of a bucket are
+    counted and their hashes added up, on the map side, so equal results shuffle no more than
+    ``buckets`` sums a task. Rows of buckets whose sums differ are then compared as signed
+    counts of whole rows. The sums hold two independent hashes of 128 bits together; a bucket
+    that differs goes unseen with a probability below 1e-30. Rows of different width never
+    match, so a width mismatch shows as all rows missing and extra.
     """
-    sides = left.select(row_text(left).alias("row"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
-        right.select(row_text(right).alias("row"), F.lit(0).alias("l"), F.lit(1).alias("r"))
+    sides = left.select(row_text(left).alias("row"), F.lit(1).alias("side")).unionAll(right.select(row_text(right).alias("row"), F.lit(-1).alias("side")))
+    hashed = sides.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    signed = [
+        F.sum(F.col("side") * F.conv(F.substring(F.md5("row"), start, 8), 16, 10).cast("bigint")).alias(f"h{start}") for start in (1, 9, 17, 25)
+    ]
+    sums = hashed.groupBy("bucket").agg(
+        F.count_if(F.col("side") > 0).alias("l"), F.count_if(F.col("side") < 0).alias("r"), *signed
     )
-    per_row = sides.groupBy("row").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    missing = F.coalesce(F.sum(F.greatest(F.col("l") - F.col("r"), F.lit(0))), F.lit(0))
-    extra = F.coalesce(F.sum(F.greatest(F.col("r") - F.col("l"), F.lit(0))), F.lit(0))
-    return per_row.agg(
-        F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"),
-        F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"),
-        missing.alias("missing_rows"),
-        extra.alias("extra_rows"),
-    ).withColumn("equal", (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0))
+    sums = checkpointed(sums)
+    differs = reduce(or_, [F.col(f"h{start}") != 0 for start in (1, 9, 17, 25)]) | (F.col("l") != F.col("r"))
+    total = sums.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"))
+    # at most ``buckets`` numbers
+    other = [r[0] for r in sums.where(differs).select("bucket").collect()]
+    kept = hashed.where(F.col("bucket").isin(other)) if len(other) < buckets else hashed
+    if not other:
+        kept = hashed.limit(0)
+    per_row = kept.groupBy("row").agg(F.sum("side").alias("n"))
+    missing, extra = (F.coalesce(F.sum(F.greatest(sign * F.col("n"), F.lit(0))), F.lit(0)) for sign in (1, -1))
+    changes = per_row.agg(missing.alias("missing_rows"), extra.alias("extra_rows"))
+    both = total.withColumn("_one", F.lit(1)).join(changes.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return both.withColumn("equal", (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0))
 
 
 def confusion(df: DataFrame, actual: Column, predicted: Column, by: Sequence[str] = ()) -> DataFrame:

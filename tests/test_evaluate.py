@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tabellion.functions.ordered import SLICE, OrderedGroups
 from tabellion.operators import admission, evaluate
 
 
@@ -95,3 +96,28 @@ def test_requests_without_a_client_are_one_client(spark, group_rows):
         value = found.columns[-1]
         assert {r.id: r[value] for r in found.collect()} == {r.id: r[value] for r in same.collect()}
         assert found.count() == 40 and sorted(found.columns) == sorted([*df.columns, value])
+
+
+def test_a_client_that_is_never_idle_needs_few_rounds(spark):
+    """Verdicts that depend on all earlier ones: the state never forgets where the client began."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [("busy", start + dt.timedelta(seconds=7 * i), i) for i in range(640)] + [("calm", start + dt.timedelta(days=i), 1000 + i) for i in range(9)]
+    df = spark.createDataFrame(rows, "client string, ts timestamp_ntz, id int")
+    got = {r.id: r.accepted for r in admission.admit(df, "client", "ts", "id", 3, 50, 20).collect()}
+    assert got == brute_force(rows, 3, 50)
+    timed = df.withColumn("_at", admission.micros("ts"))
+    groups = OrderedGroups(timed, ["client"], ["_at", "id"], 20)
+    slices = groups.frame.where("client = 'busy'").select(SLICE).distinct().count()
+    _, rounds = admission._settled_states(groups.frame.select("client", "id", "_at", SLICE), "client", "id", "string", 3, 50 * admission.MICROS)
+    assert slices > 50 and rounds <= slices.bit_length() + 1
+
+
+def test_equal_results_shuffle_checksums_only(spark):
+    rows = spark.range(20_000).selectExpr("id % 700 AS k", "concat('text ', id) AS t", "id / 3 AS v")
+    found = evaluate.result_diff(rows, rows.orderBy("t").repartition(5), buckets=64).first()
+    assert tuple(found) == (20_000, 20_000, 0, 0, True)
+    changed = rows.where("k <> 5").unionAll(rows.where("k = 6"))
+    found = evaluate.result_diff(rows, changed, buckets=8).first()
+    lost, more = rows.where("k = 5").count(), rows.where("k = 6").count()
+    assert tuple(found) == (20_000, 20_000 - lost + more, lost, more, False)
+    assert tuple(evaluate.result_diff(rows, rows.select("k", "t")).first())[2:4] == (20_000, 20_000)
