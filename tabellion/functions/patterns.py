@@ -28,6 +28,14 @@ TEXT_PATTERNS = {
     "DATE_ISO": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b",
 }
 
+# The same matches for Java's engine, which recurses once per turn of a repeated group and tries every
+# start anew: possessive groups are loops, and a run of letters is entered at its beginning or
+# where the match before ended. A text of any length is read in linear time and constant stack.
+SCAN_PATTERNS = {
+    **TEXT_PATTERNS,
+    "EMAIL": r"(?:(?<![A-Za-z0-9_.+-])|\G)[A-Za-z0-9_.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+}
+
 # a character that every match of the pattern contains: texts without it are not searched
 REQUIRED_CHARACTER = {"EMAIL": "@", "PHONE": "+", "DATE_ISO": "-"}
 

@@ -28,13 +28,17 @@ def leaked_values(samples: Column, text: Column, shortest: int) -> Column:
 
 
 def redact_values(text: Column, values: Column, mark: str = REDACTED) -> Column:
-    """``text`` with every listed value replaced whatever its case, in list order."""
+    """``text`` with every listed value replaced whatever its case.
 
-    def hidden(done: Column, value: Column) -> Column:
-        quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        return F.regexp_replace(done, quoted, F.lit(mark))
-
-    return F.aggregate(values, text, hidden)
+    All values are searched at once, the longest first: a value that is part of another leaves
+    nothing of the longer one, and none is looked for inside a mark. Null and empty values hide
+    nothing.
+    """
+    known = F.filter(values, lambda v: v.isNotNull() & (F.length(v) > 0))
+    longest = F.array_sort(known, lambda a, b: F.length(b) - F.length(a))
+    quoted = F.transform(longest, lambda v: F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    either = F.concat(F.lit("(?iu)(?:"), F.array_join(quoted, "|"), F.lit(")"))
+    return F.when(F.size(known) > 0, F.regexp_replace(text, either, F.lit(mark))).otherwise(text)
 
 
 # fixed values: the fields that make up the context of a column, in order

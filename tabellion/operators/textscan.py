@@ -6,11 +6,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabellion.functions.patterns import REQUIRED_CHARACTER, TEXT_PATTERNS
+from tabellion.functions.patterns import REQUIRED_CHARACTER, SCAN_PATTERNS
 from tabellion.operators.reconcile import REDACTED
 
 
-def scan_text(df: DataFrame, key: str, text: str, patterns: Mapping[str, str] = TEXT_PATTERNS) -> DataFrame:
+def scan_text(df: DataFrame, key: str, text: str, patterns: Mapping[str, str] = SCAN_PATTERNS) -> DataFrame:
     """(key, pattern, hits) for every pattern that occurs in the whole text of a row.
 
     All patterns are counted in one pass over the text, then unpivoted; rows are never copied
@@ -21,7 +21,7 @@ def scan_text(df: DataFrame, key: str, text: str, patterns: Mapping[str, str] =
     return counted.unpivot([key], list(patterns), "pattern", "hits").filter(F.col("hits") > 0)
 
 
-def redact_text(text: Column, patterns: Mapping[str, str] = TEXT_PATTERNS, mark: str = REDACTED) -> Column:
+def redact_text(text: Column, patterns: Mapping[str, str] = SCAN_PATTERNS, mark: str = REDACTED) -> Column:
     """``text`` with every match of every pattern replaced, pattern by pattern."""
     for name, pattern in patterns.items():
         text = _worth_searching(text, name, F.regexp_replace(text, pattern, mark), text)

@@ -1,5 +1,10 @@
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
+from tabellion.functions import patterns
 from tabellion.operators import classify, profile, reconcile, textscan
 
 HEX = "06b8999e2fba1a1fbc88172c00ba8bc7"
@@ -119,3 +124,48 @@ def test_text_scan_reads_whole_texts(spark):
     assert {(r.id, r.pattern, r.hits) for r in textscan.scan_text(df, "id", "text").collect()} == {(1, "EMAIL", 1), (1, "IP_ADDRESS", 1)}
     clean = df.select(textscan.redact_text(F.col("text")).alias("t")).first().t
     assert "jo@site" not in clean and clean.endswith("[REDACTED_PII] ")
+
+
+def test_the_longest_value_is_redacted_first(spark):
+    rows = spark.createDataFrame(
+        [("Anna Schmidt met Anna and REDACTED", ["Anna", "Anna Schmidt", "redacted", "", None]), ("none", []), ("no list", None)],
+        "text string, leaks array<string>",
+    )
+    found = [r.t for r in rows.select(reconcile.redact_values(F.col("text"), F.col("leaks")).alias("t")).collect()]
+    assert found == ["[REDACTED_PII] met [REDACTED_PII] and [REDACTED_PII]", "none", "no list"]
+
+
+ADVERSARIAL = {
+    "EMAIL": ["x@" + "a." * 500_000 + "!", "x@" + "a" * 1_000_000, "a" * 1_000_000 + " @", "a.b@" * 250_000, "x@" + "-." * 500_000],
+    "IP_ADDRESS": ["1." * 500_000, "1" * 1_000_000, "1.1.1." * 160_000],
+    "CARD_NUMBER": ["1" * 1_000_000, "1234 " * 200_000],
+    "PHONE": ["+" * 1_000_000, "+1" + " " * 1_000_000, "+1 (" * 250_000, "+" + "1" * 1_000_000],
+    "DATE_ISO": ["2024-" * 200_000, "2024-01-" * 120_000, "-" * 1_000_000],
+}
+
+
+@pytest.mark.parametrize("name", list(patterns.SCAN_PATTERNS))
+def test_patterns_read_a_megabyte_in_linear_time(spark, name):
+    texts = [(i, t) for i, t in enumerate(ADVERSARIAL[name])]
+    rows = spark.createDataFrame(texts, "i int, text string")
+    start = time.perf_counter()
+    assert len(textscan.scan_text(rows, "i", "text", {name: patterns.SCAN_PATTERNS[name]}).collect()) <= len(texts)
+    rows.select(F.length(textscan.redact_text(F.col("text"), {name: patterns.SCAN_PATTERNS[name]}))).collect()
+    assert time.perf_counter() - start < 30
+
+
+@pytest.mark.parametrize("name", list(patterns.VALUE_PATTERNS))
+def test_value_patterns_read_a_megabyte_in_linear_time(spark, name):
+    texts = [*ADVERSARIAL["EMAIL"], "1" * 1_000_000, "a\U0001d49c" * 300_000 + "@", "$" + "1" * 1_000_000 + ".", "a" * 32 * 30_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    start = time.perf_counter()
+    rows.select(patterns.matches(F.col("text"), name)).collect()
+    assert time.perf_counter() - start < 20
+
+
+def test_both_email_patterns_find_the_same(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1.-_+@@.. x") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain, quick = (F.regexp_extract_all("text", F.lit(p["EMAIL"]), 0) for p in (patterns.TEXT_PATTERNS, patterns.SCAN_PATTERNS))
+    assert rows.where(plain != quick).count() == 0 and rows.where(F.size(quick) > 0).count() > 100
