@@ -7,7 +7,8 @@ proposals and a further pass counts what they border on, until nothing frequent
 outside. Then no frequent phrase can be uncounted, because its parts are frequent too.
 
 Texts are cut into words once and written as 32-bit codes of the words; these passes count
-64-bit codes of runs of them, and proposals go to the tasks as a bitmap of fixed size. Codes or
+48-bit codes of runs of them, which tasks add up and exchange as sorted, delta-coded blocks by
+ranges of codes. Proposals go to the tasks as a bitmap of fixed size. Codes or
 bits that collide can only make a phrase look more frequent. A last pass over the texts counts
 the words themselves of every phrase whose code is frequent, so the counts returned are exact.
 """
@@ -37,6 +38,9 @@ BUFFER, REMEMBERED, CHUNK = 1 << 19, 1 << 20, 1 << 22
 UNKNOWN = "und"
 _BUCKET = 1 << 15
 
+#: the lowest bits of a 64-bit code that are not used, words whose codes make a range, codes that a task adds up before it hands them on
+_UNUSED, RANGE, HELD = 16, 1 << 19, 1 << 21
+_BLOCKS = "words int, part long, block binary"
 _CODES = "code long, words int, n long"
 _PHRASES = "lang string, words int, phrase string, n long"
 #: A-Z are lower-cased by bytes.lower(); these end a piece, a tab separates words like a space
@@ -127,7 +131,8 @@ def within(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-Count = Callable[[np.ndarray], Iterator[pa.RecordBatch]]
+Counted = tuple[int, np.ndarray, np.ndarray]
+Count = Callable[[np.ndarray], Iterator[Counted]]
 
 
 def _runs(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -148,22 +153,15 @@ def spread(words: np.ndarray) -> np.ndarray:
         return (mixed ^ (mixed >> np.uint64(32))) * _STEP
 
 
-def _code_batch(n: int, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    words = pa.array(np.full(len(codes), n, np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(codes.view(np.int64)), words, pa.array(counts.astype(np.int64))], names=["code", "words", "n"]
-    )
-
-
 def count_codes(known: np.ndarray | None, before: np.ndarray | None, first: bool) -> Count:
     """Counts codes of the runs whose parts are all ``known`` and were not all known ``before``; words in the ``first`` pass."""
 
-    def count(words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def count(words: np.ndarray) -> Iterator[Counted]:
         starts = len(words) - LONGEST + 1
         if first:
             own, counts = np.unique(words[:starts], return_counts=True)
             inside = own > 0
-            yield _code_batch(1, spread(own[inside]), counts[inside])
+            yield 1, spread(own[inside]), counts[inside]
         if known is None:
             return
         for n, shorter, run, clear in _runs(words):
@@ -174,7 +172,7 @@ def count_codes(known: np.ndarray | None, before: np.ndarray | None, first: bool
                 counted &= ~(done[:starts] & done[1 : starts + 1])
             codes, counts = np.unique(run[:starts][counted], return_counts=True)
             if len(codes):
-                yield _code_batch(n, codes, counts)
+                yield n, codes, counts
 
     return count
 
@@ -243,29 +241,91 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def passed(texts: DataFrame, count: Count) -> DataFrame:
-    """(code, words, n) that ``count`` finds in all ``words`` of encoded texts, still to be added up.
+def added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, sorted, and the sums of their counts."""
+    if not len(codes):
+        return codes, counts
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[starts], np.add.reduceat(counts, starts)
+
+
+def packed(low: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted codes of a range as differences, and their counts, in as few bytes as all of them fit."""
+    steps = np.diff(low, prepend=np.uint64(0))
+    wide, large = int(steps.max()) >> 32 > 0, int(counts.max()) > 255
+    steps = steps.astype(np.uint64 if wide else np.uint32)
+    return bytes([wide, large]) + len(low).to_bytes(8, "little") + steps.tobytes() + counts.astype(np.uint64 if large else np.uint8).tobytes()
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide, large, size = block[0], block[1], int.from_bytes(block[2:10], "little")
+    end = 10 + size * (8 if wide else 4)
+    steps = np.frombuffer(block[10:end], np.uint64 if wide else np.uint32)
+    counts = np.frombuffer(block[end:], np.uint64 if large else np.uint8)
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+
+
+def passed(texts: DataFrame, count: Count, least: int, ranges: int) -> DataFrame:
+    """(code, words, n) of the codes that ``count`` finds ``least`` times or more in all ``words`` of encoded texts.
 
     ``count`` gets some codes at a time, whatever the length of a text; the last LONGEST - 1 of
-    them are only there to end the runs before them.
+    them are only there to end the runs before them. Codes are exchanged in 2 ** ``ranges``
+    ranges, of which a task adds up one at a time.
     """
+    width = np.uint64(64 - _UNUSED - ranges)
+
+    def blocks(held: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for n, found in held.items():
+            codes = np.concatenate([c for c, _ in found]) >> np.uint64(_UNUSED)
+            codes, counts = added(codes, np.concatenate([k for _, k in found]))
+            parts = codes >> width
+            edges = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(codes)])) if len(codes) else [0]
+            low = codes & ((np.uint64(1) << width) - np.uint64(1))
+            pairs = list(zip(edges[:-1], edges[1:], strict=True))
+            rows = [packed(low[i:j], counts[i:j]) for i, j in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n] * len(rows), pa.int32()), pa.array([int(parts[i]) for i, _ in pairs], pa.int64()), pa.array(rows, pa.binary())],
+                names=["words", "part", "block"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        waiting, size = [], 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def take(words: np.ndarray) -> None:
+            for n, codes, counts in count(words):
+                held.setdefault(n, []).append((codes, counts))
+
         for batch in batches:
             for row in batch.column(0):
                 words = np.frombuffer(row.as_buffer(), dtype=np.uint32)
                 for at in range(0, len(words), BUFFER):
-                    held.append(words[at : at + BUFFER])
-                    size += len(held[-1])
-                    if size >= BUFFER:
-                        words_now = np.concatenate(held)
-                        yield from count(words_now)
-                        held, size = [words_now[len(words_now) - LONGEST + 1 :]], LONGEST - 1
-        if held:
-            yield from count(np.concatenate([*held, np.zeros(LONGEST - 1, np.uint32)]))
-
-    return texts.select("words").mapInArrow(run, _CODES)
+                    waiting.append(words[at : at + BUFFER])
+                    size += len(waiting[-1])
+                    if size < BUFFER:
+                        continue
+                    now = np.concatenate(waiting)
+                    take(now)
+                    waiting, size = [now[len(now) - LONGEST + 1 :]], LONGEST - 1
+                    if sum(len(c) for found in held.values() for c, _ in found) >= HELD:
+                        yield from blocks(held)
+                        held.clear()
+        if waiting:
+            take(np.concatenate([*waiting, np.zeros(LONGEST - 1, np.uint32)]))
+        yield from blocks(held)
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        n, part = (k.as_py() for k in key)
+        parts = [unpacked(block) for block in table.column("block").to_pylist()]
+        low, counts = added(np.concatenate([c for c, _ in parts]), np.concatenate([k for _, k in parts]))
+        low, counts = low[counts >= least], counts[counts >= least]
+        codes = ((np.uint64(part) << width) | low) << np.uint64(_UNUSED)
+        words = pa.array(np.full(len(codes), n, np.int32))
+        return pa.table([pa.array(codes.view(np.int64)), words, pa.array(counts)], names=["code", "words", "n"])
+
+    return texts.select("words").mapInArrow(run, _BLOCKS).groupBy("words", "part").applyInArrow(add, _CODES)
 
 
 def named(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
@@ -303,7 +363,7 @@ def named(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
 
 
 def bitmap(codes: DataFrame, bits: int) -> np.ndarray:
-    """The bits of the codes; at most 2 ** (bits - 15) rows of 4 KB come to the driver."""
+    """The highest bits of the codes; at most 2 ** (bits - 15) rows of 4 KB come to the driver."""
     place = F.shiftrightunsigned("code", 64 - bits)
     rows = codes.select(F.floor(place / _BUCKET).alias("bucket"), (place % _BUCKET).alias("bit"))
     made = np.zeros(1 << (bits - 3), dtype=np.uint8)
@@ -318,10 +378,12 @@ def closed(texts: DataFrame, least: int, known: np.ndarray | None = None, bits:
     Passes go on until every frequent phrase is known, at most LONGEST + 1 of them: the first
     counts all words, each further one completes phrases that are one word longer.
     """
+    total = texts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    ranges = min(20, max(4, (total // 4 // RANGE).bit_length()))
     before, found, passes = None, None, 0
     while True:
-        new = passed(texts, count_codes(known, before, first=not passes)).groupBy("code").agg(F.max("words").alias("words"), F.sum("n").alias("n"))
-        new = written(new.where(F.col("n") >= least).select("code", "words"), "phrase-codes")
+        new = passed(texts, count_codes(known, before, first=not passes), least, ranges)
+        new = written(new.select("code", "words"), "phrase-codes")
         found = new if found is None else found.unionByName(new)
         passes += 1
         grown = bitmap(new.where(F.col("words") < LONGEST), bits)

@@ -115,9 +115,8 @@ def test_small_buffers_and_chunks_count_alike(monkeypatch):
             for r in batch.to_pylist():
                 out[r["lang"], r["words"], r["phrase"]] += r["n"]
         codes = Counter()
-        for batch in phrases.count_codes(every, None, True)(np.array(words.codes, dtype=np.uint32)[ids]):
-            for r in batch.to_pylist():
-                codes[r["words"]] += r["n"]
+        for n, _, counts in phrases.count_codes(every, None, True)(np.array(words.codes, dtype=np.uint32)[ids]):
+            codes[n] += int(counts.sum())
         assert codes == Counter({k: sum(n for key, n in out.items() if key[1] == k) for k in (1, 2, 3, 4)})
         return out
 
@@ -134,18 +133,29 @@ def test_flushes_inside_a_text(spark, monkeypatch):
     frame = spark.createDataFrame([(r[1] or "", r[2] or "und") for r in rows], "text string, lang string").repartition(2)
     every = np.full(1 << 12, 255, dtype=np.uint8)
 
-    def counted(buffer, remembered):
-        source = open(phrases.__file__).read().replace("BUFFER, REMEMBERED, CHUNK = 1 << 19, 1 << 20", f"BUFFER, REMEMBERED, CHUNK = {buffer}, {remembered}")
+    def counted(buffer, remembered, ranges=4):
+        source = open(phrases.__file__).read().replace("BUFFER, REMEMBERED, CHUNK = 1 << 19, 1 << 20", f"BUFFER, REMEMBERED, CHUNK = {buffer}, {remembered}").replace("HELD = 16, 1 << 19, 1 << 21", f"HELD = 16, 1 << 19, {4 * buffer}")
         scope = {"__name__": "phrases_small"}
         exec(compile(source, "phrases_small", "exec"), scope)
         found = scope["named"](frame, every).groupBy("lang", "words", "phrase").sum("n").collect()
-        codes = scope["passed"](scope["encoded"](frame), scope["count_codes"](every, None, True)).groupBy("code").sum("n").collect()
+        codes = scope["passed"](scope["encoded"](frame), scope["count_codes"](every, None, True), 1, ranges).collect()
         return {tuple(r) for r in found}, {tuple(r) for r in codes}
 
-    assert counted(50, 10) == counted(1 << 20, 1 << 20)
+    assert counted(50, 10, 7) == counted(1 << 20, 1 << 20)
 
 
 def test_empty_tables(spark):
     assert mined(spark, [], 1, 10) == set()
     assert mined(spark, [(1, None, None, "s", "w"), (2, " \t.", "en", "s", "w")], 1, 10) == set()
     assert mined(spark, [(1, "a b", None, "s", "w")], 1, 10) == {("und", 1, "a b", 1, 1, 1, 2, 1000000)}
+
+
+def test_blocks_round_trip():
+    draw = np.random.default_rng(1)
+    for top, most in ((1 << 20, 3), (1 << 40, 3), (1 << 47, 70_000)):
+        low = np.unique(draw.integers(0, top, 500).astype(np.uint64))
+        counts = draw.integers(1, most, len(low))
+        codes, again = phrases.unpacked(phrases.packed(low, counts))
+        assert (codes == low).all() and (again == counts).all()
+    codes, counts = phrases.added(np.array([5, 1, 5, 9, 1], np.uint64), np.array([1, 2, 3, 4, 5]))
+    assert codes.tolist() == [1, 5, 9] and counts.tolist() == [7, 4, 4]
