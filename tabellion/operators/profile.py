@@ -297,10 +297,12 @@ def _as_family(value: Column, family: str) -> Column:
 
 def _shown(value: Column, family: str) -> Column:
     """Text of a value; fractions lose trailing zeros and never use an exponent."""
-    if family in ("real", "exact"):
-        plain = value.try_cast("decimal(38,6)").cast("string")
-        return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), value.cast("string"))
-    return value.cast("string")
+    return shown_number(value) if family in ("real", "exact") else value.cast("string")
+
+
+def shown_number(value: Column) -> Column:
+    plain = value.try_cast("decimal(38,6)").cast("string")
+    return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), value.cast("string"))
 
 
 def _mean(value: Column, known: Column, family: str) -> Column:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabellion.functions.columns import joined
 from tabellion.functions.patterns import VALUE_PATTERNS
-from tabellion.operators import profile
+from tabellion.operators import profile, sketches
 from tabellion.plans.binding import Estate
 from tabellion.plans.oracle import define, half_up
 from tabellion.plans.registry import query, register
 from tabellion.plans.schemas import SCHEMAS
+from tabellion.session import scratch_path
 
 NUMBERS = ("int", "bigint", "double")
 
@@ -153,3 +154,53 @@ def profile_sketch_lineitem(e: Estate) -> DataFrame:
     return sketch.join(exact, "column_name").select(
         "table_name", "column_name", "total_rows", "null_count", "min_value", "max_value", near
     )
+
+
+def merged_sql(table: str, by: str) -> str:
+    parts = []
+    for c, k in SCHEMAS[table]:
+        if c == by:
+            continue
+        mean = half_up(f"SUM(CAST({c} AS DECIMAL(38,6)))", f"COUNT({c})", 2) if k in NUMBERS else "CAST(NULL AS DOUBLE)"
+        parts.append(
+            f"""SELECT '{table}' AS table_name, '{c}' AS column_name, CAST(COUNT(*) AS BIGINT) AS total_rows, COUNT(*) - COUNT({c}) AS null_count,
+            {shown(f'MIN({c})', k)} AS min_value, {shown(f'MAX({c})', k)} AS max_value, {mean} AS avg_value, TRUE AS distinct_near, TRUE AS quantiles_near FROM {table}"""
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+def checked(df: DataFrame, found: DataFrame) -> DataFrame:
+    """Merged sketches with their errors tested: distinct values and ranks of the quartiles, against the whole table."""
+    exact = profile.profile_table(df, "exact").select("column_name", "distinct_count")
+    off = F.abs(F.col("approx_distinct") - F.col("distinct_count"))
+    near = off <= F.greatest(F.lit(1.0), F.col("distinct_count") * sketches.DISTINCT_ERROR)
+    # one row per column: three numbers for each quantile
+    quartiles = [(r.column_name, q, r[f"p{round(q * 100)}"]) for r in found.where("p50 is not null").collect() for q in sketches.QUANTILES]
+    if not quartiles:
+        return found.limit(0)
+    ranks = df.agg(*[
+        ((F.avg((F.col(c) < v).cast("int")) - sketches.RANK_ERROR <= q) & (F.avg((F.col(c) <= v).cast("int")) + sketches.RANK_ERROR >= q)).alias(f"q{i}")
+        for i, (c, q, v) in enumerate(quartiles)
+    ])
+    listed = ranks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"q{i}").alias("ok")) for i, (c, _, _) in enumerate(quartiles)])).alias("r"))
+    good = listed.groupBy("r.column_name").agg(F.bool_and("r.ok").alias("_good"))
+    return found.join(exact, "column_name").join(good, "column_name", "left").select(
+        "table_name", "column_name", "total_rows", "null_count", "min_value", "max_value", "avg_value", near.alias("distinct_near"),
+        F.coalesce("_good", F.lit(True)).alias("quantiles_near"),
+    )
+
+
+@query("profile_sketch_merged", merged_sql("lineitem", "l_returnflag"))
+def profile_sketch_merged(e: Estate) -> DataFrame:
+    """Sketches of each return flag's line items, merged into the table's, and whether they keep their error bounds."""
+    items = e.table("lineitem")
+    return checked(items, sketches.estimates(sketches.merge(sketches.sketch(items, "lineitem", ["l_returnflag"]))))
+
+
+@query("profile_sketch_refreshed", merged_sql("orders", "o_orderstatus"))
+def profile_sketch_refreshed(e: Estate) -> DataFrame:
+    """A stored profile that a new partition is added to; the old ones are not read again."""
+    orders, path = e.table("orders"), scratch_path(e.spark, "sketches")
+    sketches.refresh(orders.where("o_orderstatus <> 'P'"), "orders", ["o_orderstatus"], path)
+    stored = sketches.refresh(orders, "orders", ["o_orderstatus"], path)
+    return checked(orders, sketches.estimates(sketches.merge(stored)))
