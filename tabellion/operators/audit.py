@@ -215,9 +215,10 @@ def seal(records: DataFrame, segment_rows: int = SEGMENT_ROWS, fan: int = 100) -
 def verify_seal(records: DataFrame, sealed: DataFrame, segment_rows: int = SEGMENT_ROWS, fan: int = 100) -> DataFrame:
     """Assets whose trail no longer leads to the sealed root."""
     now = seal(records, segment_rows, fan).select("asset_id", F.col("root_hash").alias("_now"), F.col("chain_length").alias("_length"))
-    joined = sealed.join(now, "asset_id", "full_outer")
+    now = now.withColumnRenamed("asset_id", "_asset")
+    joined = sealed.join(now, F.col("asset_id").eqNullSafe(F.col("_asset")), "full_outer")
     return joined.filter(~F.col("root_hash").eqNullSafe(F.col("_now"))).select(
-        "asset_id", "chain_length", F.col("_length").alias("found_length")
+        F.coalesce("asset_id", "_asset").alias("asset_id"), "chain_length", F.col("_length").alias("found_length")
     )
 
 

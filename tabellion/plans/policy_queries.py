@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabellion.functions.columns import joined
 from tabellion.functions.ordered import OrderedGroups
-from tabellion.operators import approval, audit, classify, policy, reconcile
+from tabellion.operators import approval, audit, classify, policy, proofs, reconcile
 from tabellion.operators.profile import profile_table
 from tabellion.plans.binding import Estate
 from tabellion.plans.enrich_queries import RULES, leaky
@@ -156,7 +156,7 @@ define(
     "decisions_t",
     """SELECT event_id AS decision_id, event_id // 2 AS proposal_id, 'steward_' || user_id AS steward,
     CASE WHEN event_type IN ('purchase', 'click', 'view') THEN 'approve' ELSE 'REJECT' END AS decision, event_type AS notes, ts AS decided_at
-    FROM events WHERE event_id % 5 = 0""",
+    FROM events""",
 )
 define(
     "reviewed_t",
@@ -169,7 +169,7 @@ define(
 def decisions(e: Estate) -> DataFrame:
     """Steward decisions derived from events; some name proposals that do not exist."""
     approves = F.col("event_type").isin("purchase", "click", "view")
-    return e.table("events").filter(F.col("event_id") % 5 == 0).select(
+    return e.table("events").select(
         F.col("event_id").alias("decision_id"),
         F.expr("event_id div 2").alias("proposal_id"),
         F.concat(F.lit("steward_"), F.col("user_id").cast("string")).alias("steward"),
@@ -441,6 +441,67 @@ def audit_estate_root(e: Estate) -> DataFrame:
     return audit.estate_root(audit.seal(trail(e), SEGMENT))
 
 
+GROWTH = 4
+
+
+def grown(e: Estate) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(all records, the later ones, tree nodes, earlier seals, later seals): of every trail the last half came later."""
+    records = checkpointed(trail(e))
+    half = records.groupBy("asset_id").agg(F.ceil(F.max("record_id") / 2).alias("_half"))
+    split = records.join(half, "asset_id")
+    first, later = (split.where(c).drop("_half") for c in ("record_id <= _half", "record_id > _half"))
+    old = checkpointed(proofs.grow(first, None, SEGMENT, GROWTH))
+    nodes = checkpointed(old.unionByName(proofs.grow(later, old, SEGMENT, GROWTH)))
+    return records, later, nodes, proofs.sealed_roots(old), proofs.sealed_roots(nodes)
+
+
+HALVED = "SELECT *, CEIL(MAX(record_id) OVER (PARTITION BY user_id) / 2) AS half, MAX(record_id) OVER (PARTITION BY user_id) AS last FROM state_changes_t"
+
+
+@query(
+    "audit_growth",
+    "SELECT user_id AS asset_id, CAST(MAX(half) AS BIGINT) AS earlier_length, MAX(record_id) AS chain_length, TRUE AS is_valid FROM (" + HALVED + ") GROUP BY user_id",
+)
+def audit_growth(e: Estate) -> DataFrame:
+    """Trails that were sealed at half their length, proved to have grown into the later seals."""
+    _, later, nodes, before, after = grown(e)
+    wrong = proofs.verify_growth(later, nodes, before, after, SEGMENT, GROWTH).select(F.col("asset_id").alias("_asset")).distinct()
+    lengths = before.select("asset_id", F.col("chain_length").alias("earlier_length")).join(after.select("asset_id", "chain_length"), "asset_id")
+    return lengths.join(wrong, F.col("asset_id") == F.col("_asset"), "left").select("asset_id", "earlier_length", "chain_length", F.col("_asset").isNull().alias("is_valid"))
+
+
+@query(
+    "audit_growth_tampered",
+    f"""SELECT user_id AS asset_id, record_id, 'CONTENT' AS reason FROM ({HALVED}) WHERE record_id > half AND event_id % 500 = 7
+    UNION ALL SELECT user_id, MIN(record_id), 'NEW_ROOT' FROM (SELECT DISTINCT user_id, CAST(last AS BIGINT) AS record_id FROM ({HALVED}) WHERE record_id > half AND record_id = last AND event_id % 300 = 5) GROUP BY user_id""",
+)
+def audit_growth_tampered(e: Estate) -> DataFrame:
+    """Later records with some actors changed, and some last hashes replaced with all that depends on them."""
+    _, later, nodes, before, after = grown(e)
+    last = later.groupBy("asset_id").agg(F.max("record_id").alias("_last"))
+    actor = F.when(F.col("event_id") % 500 == 7, "nobody").otherwise(F.col("actor"))
+    replaced = (F.col("record_id") == F.col("_last")) & (F.col("event_id") % 300 == 5)
+    changed = later.join(last, "asset_id").withColumns({"actor": actor, "_cut": replaced})
+    # a replaced last record is consistent in itself: only the seal tells
+    kind = F.when(F.col("_cut"), F.lit("FORGED")).otherwise(F.col("action"))
+    forged = changed.withColumn("action", kind)
+    digest = F.sha2(F.concat_ws("|", F.col("record_id").cast("string"), F.col("prev_hash"), audit.record_body()), 256)
+    forged = forged.withColumn("curr_hash", F.when(F.col("_cut") & (F.col("event_id") % 500 != 7), digest).otherwise(F.col("curr_hash")))
+    return proofs.verify_growth(forged.drop("_cut", "_last"), nodes, before, after, SEGMENT, GROWTH)
+
+
+@query(
+    "audit_segments",
+    f"""SELECT user_id AS asset_id, record_id, 'CONTENT' AS reason FROM state_changes_t WHERE ((record_id - 1) // {SEGMENT}) % 2 = 0 AND event_id % 500 = 7""",
+)
+def audit_segments(e: Estate) -> DataFrame:
+    """Every other segment, with some actors changed, against the seals; the others are not read."""
+    records, _, nodes, _, after = grown(e)
+    every_other = records.where(F.floor((F.col("record_id") - 1) / SEGMENT) % 2 == 0)
+    actor = F.when(F.col("event_id") % 500 == 7, "nobody").otherwise(F.col("actor"))
+    return proofs.verify_segments(every_other.withColumn("actor", actor), nodes, after, SEGMENT, GROWTH)
+
+
 @query("state_diff", "SELECT user_id AS asset_id, event_id, diff_text, before_text, after_text FROM state_changes_t")
 def state_diff(e: Estate) -> DataFrame:
     before, after = F.col("before_state"), F.col("after_state")
