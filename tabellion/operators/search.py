@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabellion.functions.columns import any_of, joined
 from tabellion.operators.catalog import tagged_columns
+from tabellion.session import checkpointed
 
 # fixed values: search weights
 PHRASE_IN_NAME, PHRASE_IN_TEXT = 50, 25
@@ -180,3 +182,92 @@ def _relevance(query: str) -> Column:
 
 def _if(condition: Column, points: int) -> Column:
     return F.when(condition, points).otherwise(0)
+
+
+# --- many queries, as a table -----------------------------------------------------------------
+
+GRAM = 3
+_FIELDS = {"name": (PHRASE_IN_NAME, TOKEN_IN_NAME), "description": (PHRASE_IN_TEXT, TOKEN_IN_TEXT)}
+
+
+def query_patterns(queries: DataFrame) -> DataFrame:
+    """(query_id, pattern, phrase, times): the lower-cased query and its words, and how often each counts.
+
+    Words have two letters at least; a query without such words is a word itself, trimmed. Null
+    queries ask for nothing.
+    """
+    whole = queries.where("query is not null").select("query_id", F.lower("query").alias("q"))
+    trimmed = F.regexp_replace("q", r"^\s+|\s+$", "")
+    words = F.filter(F.split(trimmed, r"\s+"), lambda w: F.length(w) > 1)
+    tokens = F.when(F.size(words) > 0, words).otherwise(F.array(trimmed))
+    phrases = whole.select("query_id", F.col("q").alias("pattern"), F.lit(True).alias("phrase"))
+    single = whole.select("query_id", F.explode(tokens).alias("pattern"), F.lit(False).alias("phrase"))
+    return phrases.unionAll(single).groupBy("query_id", "pattern", "phrase").agg(F.count(F.lit(1)).alias("times"))
+
+
+def grams(text: Column, size: int) -> Column:
+    """The different runs of ``size`` characters; the empty run is in every text."""
+    if size == 0:
+        return F.array(F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
+
+
+def search_queries(
+    assets: DataFrame,
+    queries: DataFrame,
+    limit: int = 10,
+    asset_type: str | None = None,
+    boost_requires_hit: bool = False,
+) -> DataFrame:
+    """``search`` for a table of queries (query_id, query) of any length: the same scores and ranks.
+
+    Patterns are looked up in a table of the assets' trigrams (shorter patterns: of runs of
+    their length), each by the one of its trigrams that the fewest assets have; what is found is
+    verified by the substring test. Only trigrams that a query has are kept. Queries are rows, so
+    their number is bounded by nothing but the result.
+    """
+    if asset_type is not None:
+        assets = assets.filter(F.col("asset_type") == asset_type.upper())
+    lowered = assets.select(
+        "asset_id",
+        "name",
+        F.lower(F.coalesce("name", F.lit(""))).alias("_name"),
+        F.lower(F.coalesce("description", F.lit(""))).alias("_description"),
+        (F.coalesce("certification_status", F.lit("")) == "CERTIFIED").alias("_certified"),
+    )
+    asked = checkpointed(query_patterns(queries))
+    patterns = asked.select("pattern", F.least(F.length("pattern"), F.lit(GRAM)).alias("size")).distinct()
+    # four sizes at most
+    sizes = sorted(r[0] for r in patterns.select("size").distinct().collect())
+    parts = [patterns.where(F.col("size") == s).select("pattern", F.explode(grams(F.col("pattern"), s)).alias("gram")) for s in sizes]
+    if not parts:
+        none = F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id")
+        return lowered.limit(0).select(none, F.lit(0.0).alias("relevance_score"), "asset_id", "name", F.lit(0).alias("rank"))
+    pattern_grams = checkpointed(reduce(DataFrame.unionAll, parts))
+    wanted = pattern_grams.select("gram").distinct()
+    postings = []
+    for field in _FIELDS:
+        held = F.flatten(F.array(*[grams(F.col(f"_{field}"), s) for s in sizes]))
+        postings.append(lowered.select("asset_id", F.lit(field).alias("field"), F.explode(held).alias("gram")).join(wanted, "gram", "left_semi"))
+    posted = checkpointed(postings[0].unionAll(postings[1]))
+    frequency = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pattern_grams.join(frequency, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    candidates = rarest.select("pattern", "r.gram").join(posted, "gram").select("pattern", "asset_id", "field")
+    text = F.when(F.col("field") == "name", F.col("_name")).otherwise(F.col("_description"))
+    found = candidates.join(lowered, "asset_id").where(text.contains(F.col("pattern"))).select("pattern", "field", "asset_id", "name", "_certified")
+    points = F.lit(0)
+    for field, (phrase, token) in _FIELDS.items():
+        points = F.when(F.col("field") == field, F.when(F.col("phrase"), phrase).otherwise(token)).otherwise(points)
+    hits = found.join(asked, "pattern").groupBy("query_id", "asset_id", "name", "_certified").agg(F.sum(points * F.col("times")).alias("_hits"))
+    scored = hits.select("query_id", "asset_id", "name", (F.col("_hits") + F.when(F.col("_certified"), CERTIFIED_BOOST).otherwise(0)).alias("_score"))
+    if not boost_requires_hit:
+        # of the assets that have nothing but the boost only the first few can be shown
+        order = [F.col("name").asc_nulls_first(), F.col("asset_id")]
+        first = lowered.where("_certified").select("asset_id", "name").orderBy(*order).limit(limit)
+        listed = first.agg(F.collect_list(F.struct("asset_id", "name")).alias("_boosted"))
+        every = asked.select("query_id").distinct().withColumn("_one", F.lit(1)).join(listed.withColumn("_one", F.lit(1)), "_one")
+        boosted = every.select("query_id", F.explode("_boosted").alias("b")).select("query_id", "b.asset_id", "b.name", F.lit(CERTIFIED_BOOST).cast("bigint").alias("_score"))
+        scored = scored.unionByName(boosted).groupBy("query_id", "asset_id", "name").agg(F.max("_score").alias("_score"))
+    matched = scored.select("query_id", F.col("_score").cast("double").alias("relevance_score"), "asset_id", "name")
+    best = Window.partitionBy("query_id").orderBy(F.col("relevance_score").desc(), "name", "asset_id")
+    return matched.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

@@ -153,15 +153,17 @@ def lakehouse_adhoc_sql(e: Estate) -> DataFrame:
     )
 
 
-@query(
-    "catalog_bundle_roundtrip",
-    "SELECT asset_id, tag_id, tag_name, tag_value, confidence, source FROM label_tags_t",
-)
-def catalog_bundle_roundtrip(e: Estate) -> DataFrame:
+def bundle(e: Estate) -> dict[str, DataFrame]:
+    """All entities of the catalog written as a bundle and read back."""
     entities = {"tags": label_tags(e), "glossary_terms": catalog.label_terms(labels(e)), "assets": inventory(e)}
     path = scratch_path(e.spark, "bundle")
     sources.write_bundle(entities, path)
-    return sources.read_bundle(e.spark, path, {n: df.schema for n, df in entities.items()})["tags"]
+    return sources.read_bundle(e.spark, path, {n: df.schema for n, df in entities.items()})
+
+
+register("catalog_bundle_roundtrip", lambda e: bundle(e)["tags"], "SELECT asset_id, tag_id, tag_name, tag_value, confidence, source FROM label_tags_t")
+register("catalog_bundle_terms", lambda e: bundle(e)["glossary_terms"], "SELECT * FROM label_terms_t")
+register("catalog_bundle_assets", lambda e: bundle(e)["assets"], "SELECT * FROM inventory_t")
 
 
 def changed_parts(e: Estate) -> DataFrame:
@@ -225,11 +227,15 @@ define(
     CASE WHEN doc_id % 4 <> 0 THEN 'CONFIDENTIAL_NOTES' ELSE 'SENSITIVE' END AS tag_value, 1.0::DOUBLE AS confidence, 'GOLD_STANDARD' AS source FROM labels WHERE toxic = 1""",
 )
 register("labels_to_tags", label_tags, "SELECT * FROM label_tags_t")
+define(
+    "label_terms_t",
+    """SELECT DISTINCT 'glossary.good_text_' || (doc_id % 10) AS term_id, 'Good Text ' || (doc_id % 10) AS term_name,
+    'Standard enterprise definition for Good Text ' || (doc_id % 10) AS definition, 'Enterprise E-Commerce' AS domain FROM labels WHERE quality = 1""",
+)
 register(
     "labels_to_terms",
     lambda e: catalog.label_terms(labels(e)),
-    """SELECT DISTINCT 'glossary.good_text_' || (doc_id % 10) AS term_id, 'Good Text ' || (doc_id % 10) AS term_name,
-    'Standard enterprise definition for Good Text ' || (doc_id % 10) AS definition, 'Enterprise E-Commerce' AS domain FROM labels WHERE quality = 1""",
+    "SELECT * FROM label_terms_t",
 )
 register(
     "labels_to_mappings",
@@ -515,6 +521,33 @@ def _search_sql(queries: dict[str, str], where: str = "TRUE", limit: int = 10) -
 register("asset_search", lambda e: search.search(document_assets(e), {"s1": "the on"}, asset_type="en"), _search_sql({"s1": "the on"}, "lang = 'en'"))
 register("asset_search_batch", lambda e: search.search(document_assets(e), SEARCHES, limit=25), _search_sql(SEARCHES, limit=25))
 
+
+
+def document_queries(e: Estate) -> DataFrame:
+    """The third to fifth word of every document, as a query."""
+    words = F.slice(F.split(F.trim("text"), r"\s+"), 3, 3)
+    return e.table("documents").select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("query")).where("query <> ''")
+
+
+@query(
+    "asset_search_many",
+    r"""WITH docs AS (SELECT doc_id AS asset_id, source || '_' || lang AS name, lower(source || '_' || lang) AS n, lower(text) AS t FROM documents),
+    queries AS (SELECT doc_id AS query_id, lower(array_to_string(regexp_split_to_array(trim(text), '\s+')[3:5], ' ')) AS q FROM documents),
+    asked AS (SELECT query_id, q, CASE WHEN len(w) > 0 THEN w ELSE [trim(q)] END AS w FROM (SELECT *, list_filter(string_split(q, ' '), lambda x: length(x) > 1) AS w FROM queries WHERE q <> '')),
+    patterns AS (SELECT query_id, q AS pattern, 50 AS inname, 25 AS intext FROM asked UNION ALL SELECT query_id, unnest(w), 20, 10 FROM asked),
+    found AS (SELECT p.pattern, asset_id, contains(n, p.pattern) AS inn, contains(t, p.pattern) AS int FROM (SELECT DISTINCT pattern FROM patterns) p, docs WHERE contains(n, p.pattern) OR contains(t, p.pattern)),
+    hits AS (SELECT query_id, asset_id, SUM(inname * CAST(inn AS INTEGER) + intext * CAST(int AS INTEGER)) AS hits FROM patterns JOIN found USING (pattern) GROUP BY ALL),
+    boosted AS (SELECT DISTINCT query_id, asset_id, 0 AS hits FROM (SELECT DISTINCT query_id FROM asked), (SELECT asset_id FROM docs WHERE asset_id % 50 = 0)),
+    scored AS (SELECT query_id, asset_id, MAX(hits) AS hits FROM (SELECT * FROM hits UNION ALL SELECT * FROM boosted) GROUP BY ALL)
+    SELECT query_id, asset_id, name, CAST(hits + CASE WHEN asset_id % 50 = 0 THEN 15 ELSE 0 END AS DOUBLE) AS relevance_score,
+      CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY hits + CASE WHEN asset_id % 50 = 0 THEN 15 ELSE 0 END DESC, name, asset_id) AS INTEGER) AS rank
+    FROM scored JOIN docs USING (asset_id) QUALIFY rank <= 10""",
+)
+def asset_search_many(e: Estate) -> DataFrame:
+    """A search for every document, the queries being a table."""
+    return search.search_queries(document_assets(e), document_queries(e))
+
+
 GATE_WORDS = ("tion", "eau", "@", "ungen", "que la")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabellion.plans.binding import Estate
 from tabellion.plans.catalog_queries import asset_changes
@@ -33,14 +35,11 @@ def quality_hourly(e: Estate) -> DataFrame:
     return feeds.hourly_quality(e.table("events"), "ts", CHECKS)
 
 
-@query(
-    "stream_quality_hourly",
-    f"SELECT * FROM ({HOURLY}) WHERE hour + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)",
-)
+@query("stream_quality_hourly", HOURLY)
 def stream_quality_hourly(e: Estate) -> DataFrame:
-    """The hours that the watermark has closed."""
+    """All hours of the feed; the open ones come out when the feed is closed."""
     path = scratch_path(e.spark, "hourly")
-    feeds.run_available(feeds.hourly_quality(stream(e).table("events"), "ts", CHECKS), path)
+    feeds.run_to_end(stream(e).table("events"), "ts", lambda feed: feeds.hourly_quality(feed, "ts", CHECKS), path)
     return feeds.stored(e.spark, path)
 
 
@@ -51,30 +50,60 @@ def stream_policy_routing(e: Estate) -> DataFrame:
     return feeds.stored(e.spark, path)
 
 
-@query(
-    "stream_asset_current",
-    """SELECT asset_id, description, owner, certification_status, quality_score, version FROM asset_states_t QUALIFY ROW_NUMBER() OVER (PARTITION BY asset_id ORDER BY version DESC) = 1""",
-)
+STREAM_CURRENT = """SELECT asset_id, description, owner, certification_status, quality_score, version FROM asset_states_t QUALIFY ROW_NUMBER() OVER (PARTITION BY asset_id ORDER BY version DESC) = 1"""
+
+
+@query("stream_asset_current", STREAM_CURRENT)
 def stream_asset_current(e: Estate) -> DataFrame:
     path = scratch_path(e.spark, "changes")
-    changes = feeds.versioned_changes(asset_changes(stream(e)), ["ts", "event_id"], "ts", path)
-    changes.awaitTermination()
-    last = max(p.batchId for p in changes.recentProgress if p.numInputRows)
-    return e.spark.read.parquet(f"{path}/current/{last}").drop("created_at", "updated_at")
+    feed = asset_changes(stream(e))
+    feeds.versioned_changes(feed, ["ts", "event_id"], "ts", path).awaitTermination()
+    return feeds.current_catalog(e.spark, path, feed.schema, "ts").drop("created_at", "updated_at")
+
+
+def asset_feed(e: Estate, files: int) -> tuple[str, DataFrame]:
+    """The asset changes as files in time order, and a stream that reads one file a batch."""
+    folder = scratch_path(e.spark, "change-files")
+    changes = asset_changes(e)
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = changes.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.least(F.floor((seconds - first) * files / (last - first + 1)), F.lit(files - 1))
+    for i in range(files):
+        changes.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return folder, feeds.read_feed(e.spark, folder, "*.parquet", files_per_batch=1)
+
+
+@query("stream_asset_current_batches", STREAM_CURRENT)
+def stream_asset_current_batches(e: Estate) -> DataFrame:
+    """The same catalog from five batches, folded into its change log one after another."""
+    _, feed = asset_feed(e, 5)
+    path = scratch_path(e.spark, "changes")
+    feeds.versioned_changes(feed, ["ts", "event_id"], "ts", path, buckets=16).awaitTermination()
+    return feeds.current_catalog(e.spark, path, feed.schema, "ts").drop("created_at", "updated_at")
 
 
-@query("stream_admission_control", f"SELECT a.* FROM ({ADMISSION_SQL}) a JOIN events USING (event_id) WHERE ts < (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)")
-def stream_admission_control(e: Estate) -> DataFrame:
-    """Verdicts on the requests that the watermark has passed."""
-    path = scratch_path(e.spark, "admission")
+def with_rocksdb(spark: SparkSession, run: Callable[[], None]) -> None:
+    """Runs with the state store that list states and timers need."""
     provider = "spark.sql.streaming.stateStore.providerClass"
-    before = e.spark.conf.get(provider, None)
-    e.spark.conf.set(provider, feeds.ROCKSDB)
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, feeds.ROCKSDB)
     try:
-        feeds.run_available(feeds.admitted(stream(e).table("events"), "user_id", "ts", "event_id", 3, 86_400), path)
+        run()
     finally:
         if before is None:
-            e.spark.conf.unset(provider)
+            spark.conf.unset(provider)
         else:
-            e.spark.conf.set(provider, before)
-    return feeds.stored(e.spark, path).select("user_id", "event_id", F.col("accepted"))
+            spark.conf.set(provider, before)
+
+
+@query("stream_admission_control", ADMISSION_SQL)
+def stream_admission_control(e: Estate) -> DataFrame:
+    """A verdict on every request; the last ones are decided when the feed is closed."""
+    path = scratch_path(e.spark, "admission")
+    with_rocksdb(
+        e.spark,
+        lambda: feeds.run_to_end(
+            stream(e).table("events"), "ts", lambda feed: feeds.admitted(feed, "user_id", "ts", "event_id", 3, 86_400), path
+        ),
+    )
+    return feeds.stored(e.spark, path).select("user_id", "event_id", "accepted")

@@ -6,6 +6,7 @@ and stops; with another trigger the same queries run continuously.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -16,7 +17,10 @@ from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from tabellion.operators import approval, catalog, policy
 from tabellion.operators.admission import decisions, micros
+from tabellion.sources.changelog import ChangeLog
 
+CLOSING_TIME = "9999-01-01 00:00:00"
+CLOSING_MICROS = (dt.datetime(9999, 1, 1) - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,6 +46,27 @@ def run_available(feed: DataFrame, path: str, mode: str = "append") -> None:
     query.awaitTermination()
 
 
+def run_to_end(feed: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], path: str) -> None:
+    """Runs ``build(feed)`` over everything the source holds and then closes the feed.
+
+    Rows that wait for the watermark would otherwise wait for good. After the first run a
+    closing row with a time beyond all others is written to a control folder that ``build``
+    reads together with the feed; the second run lets the watermark pass all real rows, so that
+    what waits comes out. The closing row's other columns are null; it is behind the watermark
+    itself and never comes out. What is fed after the end is late.
+    """
+    spark = feed.sparkSession
+    control, name = f"{path}/control", feed.schema[time].dataType.simpleString()
+    closing = spark.sql(f"SELECT CAST('{CLOSING_TIME}' AS {name}) AS `{time}`")
+    if not ChangeLog(spark, path, "", "").exists(control):
+        closing.limit(0).write.parquet(control)
+    ends = spark.readStream.schema(closing.schema).parquet(control)
+    both = feed.unionByName(ends, allowMissingColumns=True)
+    run_available(build(both), path)
+    closing.coalesce(1).write.mode("append").parquet(control)
+    run_available(build(both), path)
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/table")
 
@@ -70,7 +95,7 @@ class Admission(StatefulProcessor):
     """Holds a client's requests until the watermark has passed them, then decides them in time order.
 
     The state is what still waits and the accepted times that still count, of which there
-    are at most ``max_requests``.
+    are at most ``max_requests``. Requests behind the watermark come out at once, as late.
     """
 
     def __init__(self, client: str, order: str, order_type: DataType, max_requests: int, span: int):
@@ -87,15 +112,23 @@ class Admission(StatefulProcessor):
         self.waiting = handle.getListState("waiting", waits)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        watermark = timerValues.getCurrentWatermarkInMs()
+        first, out = None, []
         for batch in rows:
+            batch = batch[batch["at_micros"] < CLOSING_MICROS]
+            # before any batch there is no watermark
+            behind = (batch["at_micros"] < watermark * 1000) & (watermark > 0)
+            if behind.any():
+                places = batch.loc[behind, self.order]
+                out.append(self._rows(key, places.tolist(), [None] * len(places), True))
+                batch = batch[~behind]
             if len(batch):
                 self.waiting.appendList(list(zip(batch["at_micros"].tolist(), batch[self.order].tolist(), strict=True)))
                 least = int(batch["at_micros"].min())
                 first = least if first is None else min(first, least)
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
-        return iter(())
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -114,51 +147,75 @@ class Admission(StatefulProcessor):
             self.waiting.clear()
         if not due:
             return iter(())
-        places = [place for _, place in due]
-        return iter([pd.DataFrame({self.client: [key[0]] * len(due), self.order: places, "accepted": accepted})])
+        return iter([self._rows(key, [place for _, place in due], accepted, False)])
+
+    def _rows(self, key, places: list, accepted: list, late: bool) -> pd.DataFrame:
+        verdicts = pd.array(accepted, dtype="boolean")
+        return pd.DataFrame({self.client: [key[0]] * len(places), self.order: places, "accepted": verdicts, "late": late})
 
     def close(self) -> None:
         pass
 
 
 def admitted(feed: DataFrame, client: str, time: str, order: str, max_requests: int, window_seconds: int, late: str = "1 hour") -> DataFrame:
-    """(client, order, accepted) for each request, decided once the watermark has passed it.
+    """(client, order, accepted, late) for each request, decided once the watermark has passed it.
 
-    However requests are spread over batches, the verdicts are those of ``admission.admit``.
-    Requests that come after the watermark has passed them cannot be decided any more: they
-    are left out and counted by the query's progress (rows dropped by watermark). Requests
-    without a time are left out too. Needs the RocksDB state store.
+    However requests are spread over batches, the verdicts are those of ``admission.admit``
+    over all requests in time. A request that comes after the watermark has passed it cannot be
+    decided any more; it is a row with ``late`` set and no verdict. Requests without a time are
+    left out. Needs the RocksDB state store; ``run_to_end`` also decides the last requests.
     """
-    schema = f"`{client}` {feed.schema[client].dataType.simpleString()}, `{order}` {feed.schema[order].dataType.simpleString()}, accepted boolean"
+    schema = f"`{client}` {feed.schema[client].dataType.simpleString()}, `{order}` {feed.schema[order].dataType.simpleString()}, accepted boolean, late boolean"
     processor = Admission(client, order, feed.schema[order].dataType, max_requests, window_seconds * 1_000_000)
     timed = feed.select(client, order, F.col(time).cast("timestamp").alias("event_time"), micros(time).alias("at_micros"))
-    timed = timed.where("event_time is not null").withWatermark("event_time", late)
+    # without the time column the engine drops no late rows, so that the processor sees them
+    timed = timed.where("event_time is not null").withWatermark("event_time", late).select(client, order, "at_micros")
     return timed.groupBy(client).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime"
     )
 
 
-def versioned_changes(feed: DataFrame, order: Sequence[str], time: str, path: str, fields: Sequence[str] = catalog.ASSET_FIELDS) -> StreamingQuery:
+def asset_log(spark: SparkSession, path: str, **options: int) -> ChangeLog:
+    """The change log of the catalog that ``versioned_changes`` keeps under ``path``."""
+    return ChangeLog(spark, f"{path}/current", "asset_id", "version", **options)
+
+
+def asset_schema(changes: StructType, time: str, fields: Sequence[str] = catalog.ASSET_FIELDS) -> StructType:
+    """The columns of a current asset: asset_id, the fields that changes carry, version and both times."""
+    known = [f for f in fields if f in changes.names]
+    times = [StructField(name, changes[time].dataType) for name in ("created_at", "updated_at")]
+    return StructType([changes["asset_id"], *[changes[f] for f in known], StructField("version", LongType()), *times])
+
+
+def current_catalog(spark: SparkSession, path: str, changes: StructType, time: str, fields: Sequence[str] = catalog.ASSET_FIELDS) -> DataFrame:
+    """The catalog after all finished batches; ``changes`` is the schema of the feed."""
+    return asset_log(spark, path).read(asset_schema(changes, time, fields))
+
+
+def versioned_changes(
+    feed: DataFrame, order: Sequence[str], time: str, path: str, fields: Sequence[str] = catalog.ASSET_FIELDS, **options: int
+) -> StreamingQuery:
     """Folds a feed of asset changes into versioned history, batch by batch.
 
-    Each batch writes its own history folder and a new snapshot of the catalog, both under its
-    batch number, so a repeated batch overwrites its own output and nothing else. Versions are
-    numbered by (time, id) inside a batch; published versions are never rewritten.
+    Each batch writes its own history folder and, into the change log of the catalog, the rows
+    of the assets it changed; it reads only the buckets of those. A repeated batch overwrites
+    its own output and nothing else. Versions are numbered by (time, id) inside a batch;
+    published versions are never rewritten. ``options`` go to the change log.
     """
+    schema = asset_schema(feed.schema, time, fields)
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        base = spark.read.parquet(f"{path}/current/{number - 1}") if number else None
-        history = catalog.asset_history(batch, list(order), fields, base)
+        log = asset_log(spark, path, **options)
+        parts = log.parts(before=number)
+        base = log.read(schema, parts, log.touched(batch.select("asset_id"))).join(batch.select("asset_id").distinct(), "asset_id", "left_semi")
+        history = catalog.asset_history(batch, list(order), fields, base if parts else None)
         history.write.mode("overwrite").parquet(f"{path}/history/batch={number}")
-        written = spark.read.parquet(f"{path}/history/batch={number}")
+        written = spark.read.schema(history.schema).parquet(f"{path}/history/batch={number}")
         latest = catalog.current_assets(written, time, fields)
-        if base is not None:
-            kept = base.join(latest.select("asset_id"), "asset_id", "left_anti")
-            born = base.select("asset_id", F.col("created_at").alias("_born"))
-            latest = latest.join(born, "asset_id", "left").withColumn("created_at", F.coalesce("_born", "created_at")).drop("_born")
-            latest = latest.unionByName(kept)
-        latest.write.mode("overwrite").parquet(f"{path}/current/{number}")
+        born = base.select("asset_id", F.col("created_at").alias("_born"))
+        latest = latest.join(born, "asset_id", "left").withColumn("created_at", F.coalesce("_born", "created_at"))
+        log.append(latest.select(*[F.col(f.name).cast(f.dataType) for f in schema]), number)
 
     return _each_batch(feed, fold, f"{path}/progress")
 

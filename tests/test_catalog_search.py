@@ -1,3 +1,5 @@
+import random
+
 import datetime as dt
 
 import pytest
@@ -131,3 +133,24 @@ def test_masking_keeps_types_and_takes_a_salt(spark):
         assert search.mask_frame(df, kinds, "ANALYST", methods, "s").schema.simpleString() == df.schema.simpleString()
     one, two = (search.mask_frame(df, kinds, "ANALYST", {"k": "hash"}, salt).first().k for salt in ("a", "b"))
     assert one != two and one != 7
+
+
+def test_queries_as_a_table_score_like_queries_in_the_plan(spark):
+    rng = random.Random(2)
+    words = ["order", "Facts", "customer", "a", "of", "né", "ée", "x%y", "tier_1", "id", "AN"]
+    rows = [
+        (f"t{i}", rng.choice([None, "_".join(rng.choices(words, k=2))]), rng.choice([None, "", " ".join(rng.choices(words, k=rng.randrange(6)))]),
+         rng.choice(["CERTIFIED", "DRAFT", None]), rng.choice(["TABLE", "COLUMN"]))
+        for i in range(120)
+    ]
+    frame = spark.createDataFrame(rows, "asset_id string, name string, description string, certification_status string, asset_type string")
+    queries = {f"q{i}": q for i, q in enumerate(
+        ["order facts", "a", "", "  ", "né ée", "customer customer id", "x%y tier_1", "zzz", " Facts of", "ORDER", "of", "order of a customer"]
+    )}
+    table = spark.createDataFrame([*queries.items(), ("none", None)], "query_id string, query string")
+    for options in ({}, {"boost_requires_hit": True}, {"asset_type": "table", "limit": 3}, {"limit": 500}):
+        one = {tuple(r) for r in search.search(frame, queries, **options).collect()}
+        many = {tuple(r) for r in search.search_queries(frame, table, **options).collect()}
+        assert many == one
+    assert search.search_queries(frame, table.limit(0)).count() == 0
+    assert search.search_queries(frame.limit(0), table).count() == 0
