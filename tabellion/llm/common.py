@@ -34,7 +34,8 @@ def labelled_sample(
     """Columns ``text`` and ``label`` of at most ``rows`` labelled documents, chosen by the hash of the key.
 
     ``learn`` is a condition on ``doc_id`` of ``labels``. Repeated labels of a document are
-    averaged (half counts as 1); null labels, null keys and null texts teach nothing.
+    averaged (half counts as 1); null labels, null keys and null texts teach nothing. Of rows that share
+    a key the text with the smallest digest is taken, so that ``rows`` bounds what is returned.
     """
     chosen = (
         labels.where(learn & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
@@ -45,7 +46,8 @@ def labelled_sample(
     )
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     # at most ``rows`` rows of two numbers: the size is bounded by the parameter
-    return texts.join(F.broadcast(chosen), "_id").select("text", "label")
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "label").agg(F.min_by("text", F.md5("text")).alias("text"))
+    return found.select("text", "label")
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:

@@ -30,7 +30,9 @@ PENALTY = 10.0
 #: a language is a candidate for a script if it has at least this share of its learned letters in it
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: numerals such as ½, ² and Ⅷ count as word characters, but are no letters
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 #: fixed values: first code points of script ranges (public Unicode blocks, merged); letters
 #: of a range share a script number, 0 stands for any other

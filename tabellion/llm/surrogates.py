@@ -30,8 +30,10 @@ _NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 
 #: kinds in the order in which they are tried at a place of the text
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": _SECRET_NAME + r"(?=[^\s\"'<>,;]*[0-9])[^\s\"'<>,;]{6,}",
+    # a domain has 127 labels at most; the engine recurses once per turn of the group
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}",
+    # one of the first 512 characters is a digit: with no bound a run of names would be read anew from each of them
+    "secret": _SECRET_NAME + r"(?=[^\s\"'<>,;]{0,511}[0-9])[^\s\"'<>,;]{6,}",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",

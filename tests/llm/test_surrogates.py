@@ -92,3 +92,29 @@ def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert s.pseudonymise(frame, "k").count() == 0
     assert s.mentions(spark.createDataFrame([(1, "x")], "doc_id long, text string")).agg(F.count("*")).first()[0] == 0
+
+
+ADVERSARIAL = {
+    "email": ["x@" + "a." * 500_000 + "1", "x@" + "a" * 1_000_000, "a" * 1_000_000, "x@" * 500_000, "x@" + "a.bc" * 250_000],
+    "secret": ["password=" * 110_000, "password=" + "a" * 1_000_000, "token: '" + "x" * 1_000_000],
+    "hex": ["a" * 1_000_000, "aA" * 500_000],
+    "iban": ["DE89" + " 3704" * 10_000, "DE89" * 250_000],
+    "ip": ["1." * 500_000, "1.1.1." * 160_000],
+    "card": ["1 " * 20_000, "4111-" * 10_000, "1" * 1_000_000],
+    "ssn": ["123-45-" * 5_000, "123-" * 250_000],
+    "phone": ["+1 (" * 250_000, "123 " * 10_000, "+" * 1_000_000],
+    "person": ["Mr " * 10_000, "Mr " + "A" * 1_000_000, "Mrs Anna " * 2_000],
+}
+
+
+def test_adversarial_texts_of_any_kind_end_no_task(spark):
+    """Neither the stack nor the time of the search grows beyond the text."""
+    texts = [t for kind in s.KINDS for t in ADVERSARIAL[kind]]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    assert len(frame.select(F.regexp_count("text", F.lit(s.PATTERN))).collect()) == len(texts)
+
+
+def test_domains_of_many_labels(spark):
+    many = "x@" + "ab." * 100 + "com"
+    out = replaced(spark, [f"mail {many} now", "mail a.b-c@d-e.co.uk. and x@y..z and p@q.r1com"])
+    assert many not in out[0].text and out[0].n == 1 and out[1].n == 1

@@ -70,7 +70,9 @@ def test_labels_with_nulls_repeats_and_ties(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c"), (4, "d"), (None, "e")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None), (4, 0), (None, 1)], "doc_id long, quality int")
     rows = labelled_sample(docs, labels, "quality", F.lit(True), 10).collect()
-    assert sorted((r.text, r.label) for r in rows) == [("a", 1), ("a", 1), ("d", 0)]
+    assert sorted((r.text, r.label) for r in rows) == [("a", 1), ("d", 0)]
+    hot = docs.union(spark.range(500).selectExpr("1L AS doc_id", "concat('text ', id) AS text"))
+    assert labelled_sample(hot, labels, "quality", F.lit(True), 10).count() == 2
     empty = labels.where("doc_id > 99")
     assert quality.train(docs, empty, "quality", F.lit(True)).score(quality.ngrams("x")) > 0.5
 
@@ -83,13 +85,13 @@ def test_language_of_odd_texts(spark):
     model = langid.train(docs, F.lit(True))
     assert model.langs == ["en", "es", "ru"]
     rows = spark.createDataFrame(
-        [(1, "the cat and the dog are in the house " * 3 + "el perro y la casa en los montes " * 2, "z"), (2, None, "z"), (3, "12 !", "z"), (4, "", "z"), (5, "дом", "z"), (6, "the house " * 30_000, "z")],
+        [(1, "the cat and the dog are in the house " * 3 + "el perro y la casa en los montes " * 2, "z"), (2, None, "z"), (3, "12 !", "z"), (4, "", "z"), (5, "дом", "z"), (6, "the house " * 30_000, "z"), (7, "½ ² Ⅷ ① 12 ৩", "z")],
         "doc_id long, text string, lang_pred string",
     )
     got = {r.doc_id: r for r in langid.identify(rows, model).collect()}
     assert [s.lang for s in got[1].spans] == ["en", "es"] and got[1].lang_pred == "en" and 0.5 < got[1].score < 1
     assert got[1].spans[1].end == len(rows.first().text.rstrip())
-    assert [(got[i].lang_pred, got[i].score, got[i].spans) for i in (2, 3, 4)] == [("und", 0.0, [])] * 3
+    assert [(got[i].lang_pred, got[i].score, got[i].spans) for i in (2, 3, 4, 7)] == [("und", 0.0, [])] * 4
     assert got[5].lang_pred == "ru" and got[6].lang_pred == "en"
     nothing = langid.train(docs.where("false"), F.lit(True))
     assert {r.lang_pred for r in langid.identify(rows, nothing).collect()} == {"und"}
