@@ -192,7 +192,8 @@ class Paths:
                 break
             keys = ["root", "node"] if by_layer else ["root", "node", "depth"]
             sums = [F.sum("ways").cast(WAYS).alias("ways")] + ([F.min("depth").alias("depth")] if by_layer else [])
-            now = checkpointed(waiting.where(F.col("step") == step).groupBy(*keys).agg(*sums).select("root", "node", "ways", "depth"))
+            # not kept by itself: ``waiting`` is, and adding a layer of it up again is cheap
+            now = waiting.where(F.col("step") == step).groupBy(*keys).agg(*sums).select("root", "node", "ways", "depth")
             arrived = checkpoint_levels([*arrived, now])
             depth = F.col("depth") + F.col("length")
             moved = now.withColumnRenamed("ways", "_before").join(jumps, F.col("node") == F.col("at")).select(
