@@ -13,6 +13,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,28 @@ PENALTY = 10.0
 #: a language is a candidate for a script if it has at least this share of its learned letters in it
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
-#: numerals such as ½, ² and Ⅷ count as word characters, but are no letters
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where the runs of letters of a text are. Numerals such as ½, ² and Ⅷ match as word characters, but are no letters."""
+    spans = []
+    for match in _WORD.finditer(text):
+        start, end = match.span()
+        if text[start:end].isalpha():
+            spans.append((start, end))
+            continue
+        for letters, run in groupby(range(start, end), key=lambda i: text[i].isalpha()):
+            if letters:
+                places = list(run)
+                spans.append((places[0], places[-1] + 1))
+    return spans
+
+
+def words_of(text: str) -> list[str]:
+    found = _WORD.findall(text)
+    return found if all(map(str.isalpha, found)) else [text[i:j] for i, j in word_spans(text)]
+
 
 #: fixed values: first code points of script ranges (public Unicode blocks, merged); letters
 #: of a range share a script number, 0 stands for any other
@@ -120,7 +140,7 @@ class Model:
 
         A span is (first, end, language) in characters of the text.
         """
-        found = [_WORD.findall(t) if t else [] for t in texts]
+        found = [words_of(t) if t else [] for t in texts]
         known.learn(found, self)
         out = []
         for text, words in zip(texts, found, strict=True):
@@ -132,7 +152,7 @@ class Model:
                 end = text.rindex(words[-1]) + len(words[-1])
                 out.append((self.langs[path], 1.0, [(text.index(words[0]), end, self.langs[path])]))
                 continue
-            at = [m.span() for m in _WORD.finditer(text)]
+            at = word_spans(text)
             letters = np.bincount(path, list(map(len, words)), len(self.langs))
             best = int(letters.argmax())
             turns = (np.flatnonzero(np.diff(path)) + 1).tolist()
@@ -169,7 +189,7 @@ def counted(texts: Iterable[str]) -> np.ndarray:
     """How often each hashed n-gram occurs in the texts, then the letters of each script."""
     seen: Counter[str] = Counter()
     for text in texts:
-        seen.update(_WORD.findall(text.lower()))
+        seen.update(words_of(text.lower()))
     out = np.zeros((1 << BITS) + SCRIPTS, dtype=np.int64)
     if seen:
         words, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
