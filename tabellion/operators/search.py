@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabellion.functions.columns import any_of, joined
@@ -187,7 +189,14 @@ def _if(condition: Column, points: int) -> Column:
 # --- many queries, as a table -----------------------------------------------------------------
 
 GRAM = 3
+#: assets and different queries that are scored together
+BLOCK, UNITS = 1 << 15, 1 << 16
 _FIELDS = {"name": (PHRASE_IN_NAME, TOKEN_IN_NAME), "description": (PHRASE_IN_TEXT, TOKEN_IN_TEXT)}
+_SPACE = r"\s+"
+
+
+def _trimmed(text: Column | str) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def query_patterns(queries: DataFrame) -> DataFrame:
@@ -197,8 +206,8 @@ def query_patterns(queries: DataFrame) -> DataFrame:
     queries ask for nothing.
     """
     whole = queries.where("query is not null").select("query_id", F.lower("query").alias("q"))
-    trimmed = F.regexp_replace("q", r"^\s+|\s+$", "")
-    words = F.filter(F.split(trimmed, r"\s+"), lambda w: F.length(w) > 1)
+    trimmed = _trimmed("q")
+    words = F.filter(F.split(trimmed, _SPACE), lambda w: F.length(w) > 1)
     tokens = F.when(F.size(words) > 0, words).otherwise(F.array(trimmed))
     phrases = whole.select("query_id", F.col("q").alias("pattern"), F.lit(True).alias("phrase"))
     single = whole.select("query_id", F.explode(tokens).alias("pattern"), F.lit(False).alias("phrase"))
@@ -212,6 +221,133 @@ def grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
+def _words_with(vocabulary: DataFrame, cores: DataFrame) -> DataFrame:
+    """(word, core): the words that contain a core. Cores are looked up by the trigram that the fewest words have, and verified."""
+    sized = cores.withColumn("size", F.least(F.length("core"), F.lit(GRAM)))
+    sizes = range(1, GRAM + 1)
+    core_grams = reduce(
+        DataFrame.unionAll, [sized.where(F.col("size") == s).select("core", F.explode(grams(F.col("core"), s)).alias("gram")) for s in sizes]
+    )
+    core_grams = checkpointed(core_grams)
+    held = F.flatten(F.array(*[grams(F.col("word"), s) for s in sizes]))
+    wanted = core_grams.select("gram").distinct()
+    posted = checkpointed(vocabulary.select("word", F.explode(held).alias("gram")).join(wanted, "gram", "left_semi"))
+    frequency = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = core_grams.join(frequency, "gram", "left").groupBy("core").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    candidates = rarest.select("core", "r.gram").join(posted, "gram")
+    return candidates.where(F.col("word").contains(F.col("core"))).select("word", "core")
+
+
+def _window_key(words: str, at: Column, three: bool, before: int, after: int) -> Column:
+    """The first word's last letters, the last one's first letters, and whole the one between them if there are ``three``."""
+    outer = F.right(F.get(words, at), F.lit(before)), F.left(F.get(words, at + (2 if three else 1)), F.lit(after))
+    return F.xxhash64(F.lit(before), F.lit(after), *outer, *([F.get(words, at + 1)] if three else []))
+
+
+def _windows(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(_row, field, pattern): texts that have the first two or three words of a phrase in a row, the outer ones by their ends."""
+    split = phrases.select("pattern", F.split("core", _SPACE).alias("w")).withColumn("three", F.size("w") > 2)
+    last = F.when(F.col("three"), F.get("w", F.lit(2))).otherwise(F.get("w", F.lit(1)))
+    ends = [F.when(F.length(word) < GRAM, 1).otherwise(GRAM) for word in (F.get("w", F.lit(0)), last)]
+    split = checkpointed(split.withColumns({"before": ends[0], "after": ends[1]}))
+    listed = texts.select("_row", "field", F.filter(F.split("text", _SPACE), lambda w: w != "").alias("w"))
+    none = F.array().cast("array<int>")
+    parts = []
+    # eight kinds at most
+    for three, before, after in sorted(tuple(r) for r in split.select("three", "before", "after").distinct().collect()):
+        own = split.where((F.col("three") == three) & (F.col("before") == before) & (F.col("after") == after))
+        keys = own.select("pattern", _window_key("w", F.lit(0), three, before, after).alias("key"))
+        starts = F.when(F.size("w") > 1 + three, F.sequence(F.lit(0), F.size("w") - (2 + three))).otherwise(none)
+        seen = F.array_distinct(F.transform(starts, _starting(three, before, after)))
+        parts.append(listed.select("_row", "field", F.explode(seen).alias("key")).join(keys, "key").select("_row", "field", "pattern"))
+    return reduce(DataFrame.unionAll, parts) if parts else texts.limit(0).select("_row", "field", F.lit("").alias("pattern"))
+
+
+def _starting(three: bool, before: int, after: int) -> Callable[[Column], Column]:
+    return lambda at: _window_key("w", at, three, before, after)
+
+
+def _found(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(_row, field, pattern): the patterns that each text contains, once each.
+
+    A pattern without white space lies inside a word, so it is looked up in the vocabulary; one
+    with white space is looked up by runs of words and verified, each text being read once.
+    """
+    cores = checkpointed(patterns.withColumn("core", _trimmed("pattern")))
+    spaced = F.col("core").rlike(r"\s")
+    words = checkpointed(texts.select("_row", "field", F.explode(F.array_distinct(F.split("text", _SPACE))).alias("word")).where("word <> ''"))
+    single = cores.where(~spaced & (F.col("core") != ""))
+    within = _words_with(words.select("word").distinct(), single.select("core").distinct())
+    by_word = words.join(within, "word").select("_row", "field", "core").distinct().join(single, "core")
+    # only white space is looked for in every text
+    every = texts.withColumn("_one", F.lit(1)).join(cores.where("core = ''").withColumn("_one", F.lit(1)), "_one")
+    sure = F.col("pattern") == F.col("core")
+    candidates = _windows(texts, cores.where(spaced)).unionByName(by_word.where(~sure).select("_row", "field", "pattern"))
+    candidates = candidates.unionByName(every.where(~sure).select("_row", "field", "pattern"))
+    listed = candidates.groupBy("_row", "field").agg(F.collect_set("pattern").alias("patterns"))
+    verified = listed.join(texts, ["_row", "field"]).select(
+        "_row", "field", F.explode(F.filter("patterns", lambda p: F.col("text").contains(p))).alias("pattern")
+    )
+    return verified.unionByName(by_word.where(sure).select("_row", "field", "pattern")).unionByName(
+        every.where(sure).select("_row", "field", "pattern")
+    )
+
+
+def _best(limit: int, merged: bool):
+    """For the postings and the queries of a block: (unit, block, place, score) of the ``limit`` best places of each query.
+
+    Places are in the order of ties; a position is twice the place, and one more for certified assets.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], postings: pa.Table, asked: pa.Table) -> pa.Table:
+        held: dict[str, list[tuple[int, int, np.ndarray]]] = {}
+        size = 0
+        columns = [postings.column(c).to_pylist() for c in ("pattern", "phrase_points", "token_points")]
+        for pattern, phrase, token, places in zip(*columns, postings.column("places"), strict=True):
+            at = places.values.to_numpy(zero_copy_only=False)
+            size = max(size, int(at.max()) + 1)
+            held.setdefault(pattern, []).append((phrase, token, at))
+        units: dict[str, list[tuple[str, bool, int]]] = {}
+        for unit, pattern, phrase, times in zip(*[asked.column(c).to_pylist() for c in ("unit", "pattern", "is_phrase", "times")], strict=True):
+            if pattern in held:
+                units.setdefault(unit, []).append((pattern, phrase, times))
+        scores = np.zeros(size, dtype=np.int64)
+        names, found, points = [], [], []
+        for unit, asks in units.items():
+            for pattern, phrase, times in asks:
+                for phrase_points, token_points, at in held[pattern]:
+                    scores[at] += (phrase_points if phrase else token_points) * times
+            hit = np.flatnonzero(scores)
+            score = scores[hit] + CERTIFIED_BOOST * (hit & 1)
+            scores[hit] = 0
+            place = hit >> 1
+            if merged and (place[1:] == place[:-1]).any():
+                order = np.lexsort((-score, place))
+                place, score = place[order], score[order]
+                first = np.concatenate(([True], place[1:] != place[:-1]))
+                place, score = place[first], score[first]
+            if len(place) > limit:
+                # places ascend, so that equal scores keep their order
+                top = np.argpartition(place - score * size, limit - 1)[:limit]
+                place, score = place[top], score[top]
+            names.append((unit, len(place)))
+            found.append(place)
+            points.append(score)
+        block = key[0].as_py()
+        total = sum(n for _, n in names)
+        return pa.table(
+            [
+                pa.array([u for u, n in names for _ in range(n)], pa.string()),
+                pa.array(np.full(total, block, dtype=np.int64)),
+                pa.array(np.concatenate(found) if found else [], pa.int64()),
+                pa.array(np.concatenate(points) if points else [], pa.int64()),
+            ],
+            names=["unit", "block", "place", "score"],
+        )
+
+    return run
+
+
 def search_queries(
     assets: DataFrame,
     queries: DataFrame,
@@ -221,45 +357,60 @@ def search_queries(
 ) -> DataFrame:
     """``search`` for a table of queries (query_id, query) of any length: the same scores and ranks.
 
-    Patterns are looked up in a table of the assets' trigrams (shorter patterns: of runs of
-    their length), each by the one of its trigrams that the fewest assets have; what is found is
-    verified by the substring test. Only trigrams that a query has are kept. Queries are rows, so
-    their number is bounded by nothing but the result.
+    Patterns are looked up in the vocabulary and the runs of words of the assets' texts. What is
+    found is kept as lists of places by block of assets; a query adds up its lists in each block
+    and hands on the ``limit`` best of it, so that pairs of query and asset are never rows. Equal
+    queries are scored once. Queries are rows, so their number is bounded by nothing but the result.
     """
     if asset_type is not None:
         assets = assets.filter(F.col("asset_type") == asset_type.upper())
-    lowered = assets.select(
-        "asset_id",
-        "name",
-        F.lower(F.coalesce("name", F.lit(""))).alias("_name"),
-        F.lower(F.coalesce("description", F.lit(""))).alias("_description"),
-        (F.coalesce("certification_status", F.lit("")) == "CERTIFIED").alias("_certified"),
+    lowered = checkpointed(
+        assets.select(
+            "asset_id",
+            "name",
+            F.lower(F.coalesce("name", F.lit(""))).alias("_name"),
+            F.lower(F.coalesce("description", F.lit(""))).alias("_description"),
+            (F.coalesce("certification_status", F.lit("")) == "CERTIFIED").alias("_certified"),
+            F.monotonically_increasing_id().alias("_row"),
+        )
     )
     asked = checkpointed(query_patterns(queries))
-    patterns = asked.select("pattern", F.least(F.length("pattern"), F.lit(GRAM)).alias("size")).distinct()
-    # four sizes at most
-    sizes = sorted(r[0] for r in patterns.select("size").distinct().collect())
-    parts = [patterns.where(F.col("size") == s).select("pattern", F.explode(grams(F.col("pattern"), s)).alias("gram")) for s in sizes]
-    if not parts:
-        none = F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id")
-        return lowered.limit(0).select(none, F.lit(0.0).alias("relevance_score"), "asset_id", "name", F.lit(0).alias("rank"))
-    pattern_grams = checkpointed(reduce(DataFrame.unionAll, parts))
-    wanted = pattern_grams.select("gram").distinct()
-    postings = []
-    for field in _FIELDS:
-        held = F.flatten(F.array(*[grams(F.col(f"_{field}"), s) for s in sizes]))
-        postings.append(lowered.select("asset_id", F.lit(field).alias("field"), F.explode(held).alias("gram")).join(wanted, "gram", "left_semi"))
-    posted = checkpointed(postings[0].unionAll(postings[1]))
-    frequency = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = pattern_grams.join(frequency, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    candidates = rarest.select("pattern", "r.gram").join(posted, "gram").select("pattern", "asset_id", "field")
-    text = F.when(F.col("field") == "name", F.col("_name")).otherwise(F.col("_description"))
-    found = candidates.join(lowered, "asset_id").where(text.contains(F.col("pattern"))).select("pattern", "field", "asset_id", "name", "_certified")
-    points = F.lit(0)
-    for field, (phrase, token) in _FIELDS.items():
-        points = F.when(F.col("field") == field, F.when(F.col("phrase"), phrase).otherwise(token)).otherwise(points)
-    hits = found.join(asked, "pattern").groupBy("query_id", "asset_id", "name", "_certified").agg(F.sum(points * F.col("times")).alias("_hits"))
-    scored = hits.select("query_id", "asset_id", "name", (F.col("_hits") + F.when(F.col("_certified"), CERTIFIED_BOOST).otherwise(0)).alias("_score"))
+    blocks = lowered.count() // BLOCK + 1
+    block = F.pmod(F.xxhash64("asset_id"), F.lit(blocks)).alias("block")
+    order = Window.partitionBy("block").orderBy(F.col("name").asc_nulls_first(), "asset_id")
+    placed = lowered.where("asset_id is not null").select("_row", "asset_id", "name", "_certified", block)
+    placed = checkpointed(
+        placed.withColumns({
+            "place": F.dense_rank().over(order).cast("bigint") - 1, "_alike": F.count(F.lit(1)).over(Window.partitionBy("block", "asset_id"))
+        })
+    )
+    texts = reduce(
+        DataFrame.unionAll,
+        [lowered.where("asset_id is not null").select("_row", F.lit(f).alias("field"), F.col(f"_{f}").alias("text")) for f in _FIELDS],
+    )
+    found = _found(texts, asked.select("pattern").distinct())
+    points = {}
+    for i, kind in enumerate(("phrase_points", "token_points")):
+        per_field = F.when(F.col("field") == "name", _FIELDS["name"][i]).otherwise(_FIELDS["description"][i])
+        points[kind] = F.sum(per_field * F.col("_alike")).alias(kind)
+    position = (F.col("place") * 2 + F.col("_certified").cast("bigint")).alias("position")
+    held = found.join(placed, "_row").groupBy("block", position, "pattern").agg(*points.values())
+    postings = held.groupBy("block", "pattern", *points).agg(F.collect_list("position").alias("places"))
+
+    ask = F.array_sort(F.collect_list(F.struct("pattern", "phrase", "times")))
+    wanted = checkpointed(asked.groupBy("query_id").agg(ask.alias("asks")).withColumn("unit", F.sha2(F.to_json("asks"), 256)))
+    units = wanted.groupBy("unit").agg(F.first("asks").alias("asks"))
+    buckets = units.count() // UNITS + 1
+    bucket = F.pmod(F.xxhash64("unit"), F.lit(buckets)).alias("bucket")
+    flat = checkpointed(units.select("unit", bucket, F.explode("asks").alias("a")).select("unit", "bucket", "a.pattern", F.col("a.phrase").alias("is_phrase"), "a.times"))
+    left = postings.join(flat.select("pattern", "bucket").distinct().toDF("pattern", "_bucket"), "pattern")
+    right = flat.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    best_places = left.groupBy("block", "_bucket").cogroup(right.groupBy("block", "bucket")).applyInArrow(
+        _best(limit, not boost_requires_hit), "unit string, block long, place long, score long"
+    )
+    named = placed.select("block", "place", "asset_id", "name").distinct()
+    scored = best_places.join(named, ["block", "place"]).join(wanted.select("query_id", "unit"), "unit")
+    scored = scored.select("query_id", "asset_id", "name", F.col("score").alias("_score"))
     if not boost_requires_hit:
         # of the assets that have nothing but the boost only the first few can be shown
         order = [F.col("name").asc_nulls_first(), F.col("asset_id")]

@@ -154,3 +154,45 @@ def test_queries_as_a_table_score_like_queries_in_the_plan(spark):
         assert many == one
     assert search.search_queries(frame, table.limit(0)).count() == 0
     assert search.search_queries(frame.limit(0), table).count() == 0
+
+
+def test_many_queries_are_scored_by_blocks_without_pairs(spark, monkeypatch):
+    """Common words are in every asset and every query: the pairs must not become rows."""
+    rng = random.Random(5)
+    words = ["the", "of", "data", "Order", "x", "theory", "é"]
+    assets = [
+        (i // 2 if i < 20 else i, f"n{i % 5}" if i % 9 else None, "".join(w + rng.choice([" ", "  ", "\n", ". "]) for w in rng.choices(words, k=12)),
+         rng.choice(["CERTIFIED", "DRAFT"]))
+        for i in range(20, 400)
+    ]
+    frame = spark.createDataFrame([(*a, "TABLE") for a in assets], "asset_id long, name string, description string, certification_status string, asset_type string")
+    queries = {i: q for i, q in enumerate(
+        ["the of data", "the of", "of  the", " the", "the ", "data order x theory", "e", "x.", ". of", "order\nthe", "the of data", "n1", "he o", "\n"] * 3
+    )}
+    table = spark.createDataFrame([*queries.items()], "query_id int, query string")
+    monkeypatch.setattr(search, "BLOCK", 50)
+    monkeypatch.setattr(search, "UNITS", 4)
+    handed, best = [], search._best
+
+    def counted(limit, merged):
+        handed.append((limit, merged))
+        return best(limit, merged)
+
+    monkeypatch.setattr(search, "_best", counted)
+    one = {tuple(r) for r in search.search(frame, queries, limit=4).collect()}
+    many = {tuple(r) for r in search.search_queries(frame, table, limit=4).collect()}
+    assert many == one and handed == [(4, True)]
+
+
+def test_best_places_of_a_block():
+    import pyarrow as pa
+
+    places = pa.table({
+        "pattern": ["a", "a", "b"], "phrase_points": [25, 50, 25], "token_points": [10, 20, 10], "places": pa.array([[0, 3, 4], [7], [3, 8, 9]], pa.list_(pa.int64())),
+    })
+    asked = pa.table({"unit": ["u", "u", "v", "w"], "pattern": ["a", "b", "b", "none"], "is_phrase": [False, False, True, False], "times": [2, 1, 1, 1]})
+    for limit, u in ((2, {(1, 45), (3, 55)}), (9, {(0, 20), (1, 45), (2, 20), (3, 55), (4, 25)})):
+        found = search._best(limit, True)((pa.scalar(6), pa.scalar(0)), places, asked).to_pylist()
+        assert {(r["place"], r["score"]) for r in found if r["unit"] == "u"} == u
+        assert {(r["place"], r["score"]) for r in found if r["unit"] == "v"} == {(1, 40), (4, 40)}
+        assert {r["block"] for r in found} == {6} and len(found) == len(u) + 2
