@@ -33,8 +33,10 @@ LONGEST = 4
 BITS = 26
 #: share of the documents that proposes phrases
 SAMPLE = 0.125
-#: words that a task counts at once, distinct ones it remembers, bytes of text it cuts at once
+#: words that a task counts at once, bytes of the distinct ones it remembers, bytes of text it cuts at once
 BUFFER, REMEMBERED, CHUNK = 1 << 19, 1 << 20, 1 << 22
+#: texts that a task holds as strings at once, bytes that a remembered word takes besides its letters
+ROWS, PER_WORD = 256, 8
 UNKNOWN = "und"
 _BUCKET = 1 << 15
 
@@ -58,6 +60,7 @@ class Words:
         self.codes: list[int] = [0]
         self.tables: dict[str, _Numbers] = {}
         self.languages: list[str] = []
+        self.size = 0
 
     def of(self, lang: str) -> _Numbers:
         if lang not in self.tables:
@@ -77,20 +80,23 @@ class _Numbers(dict):
         words.names.append(word)
         words.langs.append(self.lang)
         words.codes.append(code(word, self.seed))
+        words.size += len(word) + PER_WORD
         return number
 
 
 class Codes(dict):
-    """The 32-bit codes of the words of a language; some are remembered."""
+    """The 32-bit codes of the words of a language; the last ones are remembered."""
 
     def __init__(self, lang: str):
         super().__init__({_END: 0})
-        self.seed = seed(lang)
+        self.seed, self.size = seed(lang), 0
 
     def __missing__(self, word: bytes) -> int:
-        value = code(word, self.seed)
-        if len(self) < REMEMBERED:
-            self[word] = value
+        self.size += len(word) + PER_WORD
+        if self.size > REMEMBERED:
+            self.clear()
+            self[_END], self.size = 0, len(word) + PER_WORD
+        value = self[word] = code(word, self.seed)
         return value
 
 
@@ -116,6 +122,13 @@ def cut(text: str) -> Iterator[list[bytes]]:
         at = stop
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ROWS at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def longer(codes: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     """Codes of all runs of n words, from those of n - 1."""
     with np.errstate(over="ignore"):
@@ -230,8 +243,10 @@ def encoded(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, Codes] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
+            if sum(table.size for table in tables.values()) > REMEMBERED:
+                tables.clear()
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 table = tables.get(lang) or tables.setdefault(lang, Codes(lang))
                 parts = [np.fromiter(map(table.__getitem__, words), np.uint32, len(words)) for words in cut(text)]
@@ -247,8 +262,9 @@ def added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return codes, counts
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
+    del order
     starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[starts], np.add.reduceat(counts, starts)
+    return codes[starts], np.add.reduceat(counts, starts, dtype=np.int64)
 
 
 def packed(low: np.ndarray, counts: np.ndarray) -> bytes:
@@ -277,9 +293,13 @@ def passed(texts: DataFrame, count: Count, least: int, ranges: int) -> DataFrame
     width = np.uint64(64 - _UNUSED - ranges)
 
     def blocks(held: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-        for n, found in held.items():
-            codes = np.concatenate([c for c, _ in found]) >> np.uint64(_UNUSED)
-            codes, counts = added(codes, np.concatenate([k for _, k in found]))
+        while held:
+            n, found = held.popitem()
+            codes = np.concatenate([c for c, _ in found])
+            counts = np.concatenate([k for _, k in found])
+            del found
+            codes >>= np.uint64(_UNUSED)
+            codes, counts = added(codes, counts)
             parts = codes >> width
             edges = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(codes)])) if len(codes) else [0]
             low = codes & ((np.uint64(1) << width) - np.uint64(1))
@@ -296,7 +316,7 @@ def passed(texts: DataFrame, count: Count, least: int, ranges: int) -> DataFrame
 
         def take(words: np.ndarray) -> None:
             for n, codes, counts in count(words):
-                held.setdefault(n, []).append((codes, counts))
+                held.setdefault(n, []).append((codes, counts.astype(np.int32)))
 
         for batch in batches:
             for row in batch.column(0):
@@ -311,7 +331,6 @@ def passed(texts: DataFrame, count: Count, least: int, ranges: int) -> DataFrame
                     waiting, size = [now[len(now) - LONGEST + 1 :]], LONGEST - 1
                     if sum(len(c) for found in held.values() for c, _ in found) >= HELD:
                         yield from blocks(held)
-                        held.clear()
         if waiting:
             take(np.concatenate([*waiting, np.zeros(LONGEST - 1, np.uint32)]))
         yield from blocks(held)
@@ -335,7 +354,7 @@ def named(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, size = Words(), [], 0
         closing = np.zeros(LONGEST - 1, dtype=np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
@@ -348,9 +367,12 @@ def named(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
                     ids = np.concatenate(held)
                     yield from count(ids, vocabulary)
                     rest = ids[len(ids) - LONGEST + 1 :]
-                    if len(vocabulary.names) > REMEMBERED:
+                    if vocabulary.size > REMEMBERED:
                         names = [vocabulary.names[i] if i else _END for i in rest]
-                        old, vocabulary = [vocabulary.languages[vocabulary.langs[i]] for i in rest], Words()
+                        old = [vocabulary.languages[vocabulary.langs[i]] for i in rest]
+                        # words and their tables refer to each other
+                        vocabulary.tables.clear()
+                        vocabulary = Words()
                         rest = np.array([vocabulary.of(o)[w] for o, w in zip(old, names, strict=True)], dtype=np.int64)
                         numbers = vocabulary.of(lang)
                     held, size = [rest], len(rest)

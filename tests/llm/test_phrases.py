@@ -159,3 +159,46 @@ def test_blocks_round_trip():
         assert (codes == low).all() and (again == counts).all()
     codes, counts = phrases.added(np.array([5, 1, 5, 9, 1], np.uint64), np.array([1, 2, 3, 4, 5]))
     assert codes.tolist() == [1, 5, 9] and counts.tolist() == [7, 4, 4]
+
+
+def test_remembered_words_are_bounded_by_their_bytes():
+    codes = phrases.Codes("en")
+    words = [b"%d" % i + b"x" * 1000 for i in range(3000)]
+    assert [codes[w] for w in words] == [phrases.code(w, phrases.seed("en")) for w in words]
+    assert sum(map(len, codes)) <= phrases.REMEMBERED and codes[b"\xff"] == 0
+
+
+def test_forgotten_words_free_their_memory(spark, monkeypatch):
+    """A vocabulary and its tables refer to each other; they must not wait for a collection."""
+    import gc
+
+    import pyarrow as pa
+
+    taken, alive = [], []
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            taken.append(run)
+
+    class Counted(phrases.Words):
+        def __init__(self):
+            super().__init__()
+            alive.append(id(self))
+
+        def __del__(self):
+            alive.remove(id(self))
+
+    monkeypatch.setattr(phrases, "Words", Counted)
+    monkeypatch.setattr(phrases, "REMEMBERED", 10)
+    monkeypatch.setattr(phrases, "BUFFER", 50)
+    phrases.named(Frame(), np.full(1 << 12, 255, dtype=np.uint8))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"a{i} b{i} " * 40 for i in range(40)]), pa.array(["en"] * 40)], names=["text", "lang"])
+    gc.disable()
+    try:
+        most = max(len(alive) for _ in taken[0](iter([batch])))
+    finally:
+        gc.enable()
+    assert most <= 2
