@@ -87,3 +87,23 @@ def test_same_paths_as_the_listing(spark):
     listed = lineage.traverse(frame, roots).groupBy("root", "node").count()
     counted = paths.PathIndex(frame).paths_from(roots).counts()
     assert {tuple(r) for r in listed.collect()} == {(r.root, r.node, int(r.paths)) for r in counted.collect()}
+
+
+def test_layers_are_joined_without_the_driver(spark, monkeypatch):
+    """A broadcast in every layer sends the whole graph to the driver again and again; partitions must not add up either."""
+    plans, widths, kept = [], [], paths.checkpointed
+
+    def recorded(df):
+        done = kept(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        widths.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(paths, "checkpointed", recorded)
+    rows = [(f"n{(i - 1) // 2}", f"n{i}", "DIRECT_COPY") for i in range(1, 64)]
+    edges = spark.createDataFrame(rows, "source string, target string, transformation_type string")
+    roots = edges.select("source").distinct().toDF("root")
+    counts = {(r.root, r.node): (int(r.paths), r.shortest) for r in paths.PathIndex(edges).paths_from(roots).counts().collect()}
+    assert counts["n0", "n63"] == (1, 6) and len(counts) == sum(d * 2**d for d in range(1, 6)) + 6
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
+    assert max(widths) <= max(int(spark.conf.get("spark.sql.shuffle.partitions")), edges.rdd.getNumPartitions())
