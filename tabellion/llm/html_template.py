@@ -2,9 +2,11 @@
 
 A page is a sequence of tokens: tags with the path of tags around them, and texts with their
 path. Tokens of a host that occur equally often on every page share an occurrence vector and
-form an equivalence class. Classes on all pages and of several tokens, in one order and well
-nested, make up the host's template; what is left between them are slots. The main text is
-the slots of the article region that are not menus, adverts, notices, forms or comments.
+form an equivalence class. Classes on at least half of a host's pages and of several tokens, in
+one order and well nested, make up the host's template: its texts are boilerplate, its tags and
+texts part every page into slots. What fills a slot on all pages of the host tells whether it is a
+menu or a notice. The main text is the other slots of the article region, without adverts, forms
+or comments.
 """
 
 from __future__ import annotations
@@ -24,6 +26,16 @@ from tabellion.llm.common import written
 
 #: a template needs so many pages of its host, and a class so many tokens
 LEAST_PAGES, LEAST_TOKENS = 8, 3
+#: a class is on this share of its host's pages that are not empty
+SUPPORT = 0.5
+#: a block, or all that fills a slot, is a menu if this share of it is in links
+MENU_LINKS = 0.6
+#: outside of marked regions a slot is a notice if it has at most so many fillings a page
+FEW_FILLINGS = 0.1
+#: if so much of a region is template, its pages are copies of one article
+COPIES = 0.9
+#: stands for a page itself among its tokens, which are not negative
+PAGE = -1
 #: up to so many template texts are broadcast; beyond that they are joined by host
 BROADCAST_TEXTS = 50_000
 
@@ -182,31 +194,56 @@ def page_tokens(page: str) -> list[tuple[int, bool, int, int]]:
     return [(token, token in texts, n, first[token]) for token, n in times.items()]
 
 
-def main_text(page: str | None, template: set[int]) -> str:
+def _slots(found: list[tuple], texts: set[int], tags: set[int]) -> list[int | None]:
+    """The slot of each block: that of its own template tag, else the gap behind the last template token; None for template texts."""
+    out: list[int | None] = []
+    gap = 0
+    for block in found:
+        token = _digest(block[1], block[0])
+        if token in texts:
+            gap = token
+            out.append(None)
+        elif block[1] in tags:
+            gap = block[1]
+            out.append(gap)
+        else:
+            out.append(xxhash.xxh64_intdigest(f"after {gap}") >> 1)
+    return out
+
+
+def main_text(page: str | None, texts: set[int], tags: set[int] | None = None, refused: set[int] | None = None) -> str:
     """The blocks of the best region that are slots, one per line.
 
-    Links that make up most of a block outside an article are a menu. If nothing but
-    template would be left of the region, the pages are copies of one article and it stays.
+    ``texts`` and ``tags`` are the template of the page's host, ``refused`` its slots that are menus or
+    notices. Without a template, links that make up most of a block outside an article are a menu. If
+    hardly anything but template would be left of the region, the pages are copies of one article and it stays.
     """
-    found = [b for b in blocks(page) if not b[2]] if page else []
+    every = blocks(page) if page else []
+    templated = bool(texts or tags)
+    slots = _slots(every, texts, tags or set()) if templated else [0] * len(every)
+    found = [(b, slot) for b, slot in zip(every, slots, strict=True) if not b[2]]
     if not found:
         return ""
-    best = max(b[3] for b in found)
-    region = [b for b in found if b[3] == best and (best == _ARTICLE or b[4] < 0.6)]
-    slots = [b for b in region if _digest(b[1], b[0]) not in template] if template else region
-    return "\n".join(b[0] for b in slots or region)
+    best = max(b[3] for b, _ in found)
+    region = [(b, slot) for b, slot in found if b[3] == best]
+    if not templated:
+        return "\n".join(b[0] for b, _ in region if best == _ARTICLE or b[4] < MENU_LINKS)
+    region = [(b, slot) for b, slot in region if slot is None or slot not in (refused or ())]
+    fixed = sum(len(b[0]) for b, slot in region if slot is None)
+    copies = fixed >= COPIES * sum(len(b[0]) for b, _ in region)
+    return "\n".join(b[0] for b, slot in region if copies or slot is not None)
 
 
 def _nest(rows: pd.DataFrame) -> pd.DataFrame:
-    """Keeps the classes of a host that nest: the template's texts.
+    """Keeps the classes of a host that nest: the template's texts and tags.
 
     A class spans from its first to its last token. It is valid if it lies inside or outside
     every larger class's gaps, that is, if its span does not cross another's without being
-    contained in one gap of it.
+    contained in one gap of it. Classes on more pages come first, so partial ones nest in them.
     """
-    groups = [g.sort_values(["place", "token"]) for _, g in rows.groupby(["times", "vector1", "vector2"])]
-    groups = [g for g in groups if len(g) >= LEAST_TOKENS]
-    groups.sort(key=lambda g: -len(g))
+    classes = rows.groupby(["pages", "vector1", "vector2"])
+    groups = [g.sort_values(["place", "token"]) for _, g in classes if len(g) >= LEAST_TOKENS]
+    groups.sort(key=lambda g: (-g["pages"].iloc[0], -len(g), g["token"].iloc[0]))
     kept: list[np.ndarray] = []
     out = []
     for group in groups:
@@ -216,29 +253,31 @@ def _nest(rows: pd.DataFrame) -> pd.DataFrame:
             crosses = places[0] < outer[-1] and outer[0] < places[-1]
             gaps = np.searchsorted(outer, places)
             nested = nested and (not crosses or len(set(gaps.tolist())) <= 2)
-        if nested or group["times"].iloc[0] == 1:
+        if nested or (group["times"].iloc[0] == 1 and group["full"].iloc[0]):
             kept.append(places)
-            out.append(group[group["is_text"]])
-    return pd.concat(out)[["host", "token"]] if out else rows.iloc[:0][["host", "token"]]
+            out.append(group)
+    return pd.concat(out)[["host", "token", "is_text"]] if out else rows.iloc[:0][["host", "token", "is_text"]]
 
 
-def template_texts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, token): the texts of each host's template.
+def template_tokens(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, token, is_text): the texts and the tags of each host's template.
 
     Occurrence vectors are compared by two commutative sums over pages of hashes of (page,
-    count), so a host's pages are counted in parallel and never gathered. Hosts with fewer
-    than LEAST_PAGES pages have no template.
+    count), so a host's pages are counted in parallel and never gathered. All vectors that are on
+    at least ``SUPPORT`` of the host's pages make classes; pages without a token do not count. Hosts
+    with fewer than LEAST_PAGES pages have no template.
     """
-    rows = pages.select(
-        _host(url).alias("host"), F.col(html).alias("html")
-    ).where("host is not null and html is not null")
+    rows = _of_hosts(pages, url, html)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for host, page in zip(batch["host"], batch["html"], strict=True):
                 own = xxhash.xxh64_intdigest(page)
-                for token, is_text, times, place in page_tokens(page):
+                listed = page_tokens(page)
+                if listed:
+                    found.append((host, PAGE, False, 1, 0, 0, 0))
+                for token, is_text, times, place in listed:
                     vector = xxhash.xxh64_intdigest(f"{own} {times}")
                     found.append((host, token, is_text, times, place, vector & 0x7FFFFFFF, vector >> 33))
             yield pd.DataFrame(found, columns=["host", "token", "is_text", "times", "place", "vector1", "vector2"])
@@ -253,11 +292,63 @@ def template_texts(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         F.sum("vector1").alias("vector1"),
         F.sum("vector2").alias("vector2"),
     )
-    counts = rows.groupBy("host").agg(F.count("*").alias("all_pages")).where(F.col("all_pages") >= LEAST_PAGES)
-    # what is on every page of its host: at most the tokens of one page
-    everywhere = sums.where(F.col("pages") >= LEAST_PAGES).join(counts, "host").where(F.col("pages") == F.col("all_pages"))
-    everywhere = everywhere.withColumn("times", (F.col("times") / F.col("pages")))
-    return everywhere.groupBy("host").applyInPandas(_nest, "host string, token long")
+    # of a host's tokens those on many pages are kept: at most the tokens of one page over the share
+    sums = written(sums.where(F.col("pages") >= LEAST_PAGES), "token-sums")
+    counts = sums.where(F.col("token") == PAGE).select("host", F.col("pages").alias("all_pages"))
+    often = sums.where(F.col("token") != PAGE).join(counts, "host").where(F.col("pages") >= SUPPORT * F.col("all_pages"))
+    often = often.withColumns({"times": F.col("times") / F.col("pages"), "full": F.col("pages") == F.col("all_pages")})
+    return often.groupBy("host").applyInPandas(_nest, "host string, token long, is_text boolean")
+
+
+def template_texts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, token): the texts of each host's template."""
+    return template_tokens(pages, url, html).where("is_text").select("host", "token")
+
+
+def _listed(tokens: DataFrame) -> DataFrame:
+    """(_known, _texts, _tags): one row per host that has a template."""
+    return tokens.groupBy(F.col("host").alias("_known")).agg(
+        F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("_texts"),
+        F.collect_set(F.when(~F.col("is_text"), F.col("token"))).alias("_tags"),
+    )
+
+
+def refused_slots(pages: DataFrame, hosts: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, slot): the slots of each host that are menus or notices by what fills them on all its pages.
+
+    ``hosts``: _known, _texts and _tags. A menu is filled with links, and in no article; a notice lies in no marked
+    region and has few different fillings (counted by a sketch, to about 5%).
+    """
+    rows = _of_hosts(pages, url, html).join(hosts, F.col("host") == F.col("_known")).select("host", "html", "_texts", "_tags")
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for host, page, texts, tags in zip(batch["host"], batch["html"], batch["_texts"], batch["_tags"], strict=True):
+                every = blocks(page)
+                fillings: dict[int, list] = {}
+                for block, slot in zip(every, _slots(every, set(texts), set(tags)), strict=True):
+                    if slot is not None and not block[2]:
+                        fillings.setdefault(slot, []).append(block)
+                for slot, filled in fillings.items():
+                    size = sum(len(b[0]) for b in filled)
+                    linked = sum(len(b[0]) * b[4] for b in filled)
+                    text = xxhash.xxh64_intdigest("\n".join(b[0] for b in filled)) >> 1
+                    found.append((host, slot, max(b[3] for b in filled), size, linked, text))
+            yield pd.DataFrame(found, columns=["host", "slot", "region", "size", "linked", "text"])
+
+    filled = rows.mapInPandas(emit, "host string, slot long, region long, size long, linked double, text long")
+    judged = filled.groupBy("host", "slot").agg(
+        F.count("*").alias("pages"), F.max("region").alias("region"), F.sum("size").alias("size"),
+        F.sum("linked").alias("linked"), F.approx_count_distinct("text").alias("fillings"),
+    )
+    menu = (F.col("region") < _ARTICLE) & (F.col("linked") >= MENU_LINKS * F.col("size"))
+    few = (F.col("pages") >= LEAST_PAGES) & (F.col("fillings") <= FEW_FILLINGS * F.col("pages"))
+    return judged.where(menu | ((F.col("region") == 0) & few)).select("host", "slot")
+
+
+def _of_hosts(pages: DataFrame, url: str, html: str) -> DataFrame:
+    return pages.select(_host(url).alias("host"), F.col(html).alias("html")).where("host is not null and html is not null")
 
 
 def _host(url: str):
@@ -271,18 +362,22 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", name: str =
     joined by a line end in page order. A null page gives an empty text; without a url or
     with an unusual one the page is read without a template.
     """
-    texts = written(template_texts(pages, url, html), "template")
-    hosts = texts.groupBy("host").agg(F.collect_set("token").alias("_template"))
-    if texts.count() <= BROADCAST_TEXTS:
+    tokens = written(template_tokens(pages, url, html), "template")
+    small = tokens.count() <= BROADCAST_TEXTS
+    hosts = _listed(tokens)
+    refused = written(refused_slots(pages, F.broadcast(hosts) if small else hosts, url, html), "slots")
+    refused = refused.groupBy(F.col("host").alias("_known")).agg(F.collect_set("slot").alias("_refused"))
+    hosts = hosts.join(refused, "_known", "left")
+    if small:
         hosts = F.broadcast(hosts)
-    joined = pages.withColumn("_host", _host(url)).join(hosts.withColumnRenamed("host", "_known"), F.col("_host") == F.col("_known"), "left")
+    joined = pages.withColumn("_host", _host(url)).join(hosts, F.col("_host") == F.col("_known"), "left")
 
     @F.pandas_udf("string")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html_pages, templates in batches:
-            yield pd.Series(
-                [main_text(p, set(t) if t is not None else set()) for p, t in zip(html_pages, templates, strict=True)],
-                dtype=object,
-            )
-
-    return joined.withColumn(name, read(F.col(html), F.col("_template"))).drop("_host", "_known", "_template")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html_pages, *templates in batches:
+            known = (tuple(set(part) if part is not None else set() for part in parts) for parts in zip(*templates, strict=True))
+            yield pd.Series([main_text(p, *parts) for p, parts in zip(html_pages, known, strict=True)], dtype=object)
+
+    return joined.withColumn(name, read(F.col(html), F.col("_texts"), F.col("_tags"), F.col("_refused"))).drop(
+        "_host", "_known", "_texts", "_tags", "_refused"
+    )

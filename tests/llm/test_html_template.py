@@ -65,3 +65,35 @@ def test_registered_pages(spark):
         parts = [html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split() for p in re.split(r"</?(?:p|h1)>", inner)]
         text = "\n".join(" ".join(p) for p in parts if p)
         assert (got[row.page_id].text, got[row.page_id].n_chars) == (text, len(text))
+
+
+def test_template_survives_odd_and_empty_pages(spark):
+    def page(n):
+        return (
+            f"<body><div class=x1><p>Welcome to the site</p><p>Today's offer</p></div><div class=x2><p>Story {n} begins</p>"
+            f"<p>and ends {n}</p><p>Share this story</p></div><div class=x3><p>All rights</p></div></body>"
+        )
+
+    rows = [(n, f"https://news.example/{n}", page(n)) for n in range(10)]
+    rows += [(10, "https://news.example/none", ""), (11, "https://news.example/odd", "<body><p>Moved away</p></body>")]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 begins\nand ends 3"
+    assert (got[10], got[11]) == ("", "Moved away")
+
+
+def test_slots_between_template_tags_are_judged_by_what_fills_them(spark):
+    def page(n):
+        offer, link = ("Red", "Blue")[n % 2], f"<a href=/{n}>Read number {n}</a>"
+        return (
+            f"<body><div class=t><i>{offer} offer</i></div><h1>Title {n}</h1><p>Story {n} begins</p>" + f"<p>goes on {n}</p>" * (n % 3)
+            + f"<p>{link}</p>" * (n % 2) + f"<div class=m>{link}{' today' * (9 if n == 5 else 0)}</div><h6>{offer} end</h6></body>"
+        )
+
+    rows = [(n, f"https://slots.example/{n}", page(n)) for n in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tokens = h.template_tokens(pages).collect()
+    assert tokens and not any(r.is_text for r in tokens)  # no text is on half of the pages: the template is tags
+    got = {r.page_id: r.text for r in h.extract(pages).collect()}
+    assert got[4] == "Title 4\nStory 4 begins\ngoes on 4"
+    # the paragraph that is a link lies among paragraphs, the link with many words in a menu
+    assert got[5] == "Title 5\nStory 5 begins\ngoes on 5\ngoes on 5\nRead number 5"
