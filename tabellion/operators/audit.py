@@ -168,7 +168,7 @@ def verify(records: DataFrame, segment_rows: int = SEGMENT_ROWS, sealed: DataFra
     )
     if sealed is None:
         return found
-    last = records.groupBy(F.col("asset_id").alias("_asset")).agg(F.max("record_id").alias("_most"))
+    last = ends.groupBy(F.col("asset_id").alias("_asset")).agg(F.max("_most").alias("_most"))
     tails = sealed.join(last, F.col("asset_id").eqNullSafe(F.col("_asset")), "left").filter(
         F.coalesce("_most", F.lit(0)) < F.col("chain_length")
     )
