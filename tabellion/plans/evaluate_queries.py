@@ -11,6 +11,7 @@ from tabellion.plans.enrich_queries import RULES, annotated
 from tabellion.plans.oracle import define, half_up
 from tabellion.plans.profile_queries import estate_profile
 from tabellion.plans.registry import query
+from tabellion.session import checkpointed
 
 # --- classifier metrics ---------------------------------------------------------------------
 
@@ -46,7 +47,7 @@ GOLD_LIST = ", ".join(f"'{t}.{c}'" for t, c in GOLD_PII)
 )
 def pii_eval(e: Estate) -> DataFrame:
     """The rules with the estate's own keywords against the same rules without them."""
-    profiles = estate_profile(e)
+    profiles = checkpointed(estate_profile(e))  # one row per column, read by both metrics
     key = F.concat_ws(".", "table_name", "column_name")
     gold = profiles.select(
         "table_name",

@@ -121,3 +121,15 @@ def test_equal_results_shuffle_checksums_only(spark):
     lost, more = rows.where("k = 5").count(), rows.where("k = 6").count()
     assert tuple(found) == (20_000, 20_000 - lost + more, lost, more, False)
     assert tuple(evaluate.result_diff(rows, rows.select("k", "t")).first())[2:4] == (20_000, 20_000)
+
+
+def test_pii_metrics_read_the_tables_once(spark):
+    import os
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    plan = entry.queries()["pii_eval"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in plan

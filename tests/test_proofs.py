@@ -92,3 +92,20 @@ def test_a_changed_old_record_is_found_in_its_segment(spark, grown):
     forged = some.withColumn("actor", F.when(F.col("record_id") == 6, "nobody").otherwise(F.col("actor")))
     forged = forged.withColumn("curr_hash", F.when(F.col("record_id") == 6, body).otherwise(F.col("curr_hash")))
     assert ("a", "INCLUSION") in found(proofs.verify_segments(forged, nodes, seals[-1], SEG, FAN))
+
+
+def test_the_trail_is_hashed_once_for_all_checks(spark, monkeypatch):
+    import os
+
+    import __spark_entry__ as entry
+    from tabellion.operators import audit
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    calls, append = [], audit.append
+    monkeypatch.setattr(audit, "append", lambda *a, **k: calls.append(1) or append(*a, **k))
+    for name in ("audit_verify_tampered", "audit_verify_seal"):
+        found = entry.queries()[name](spark, folder)
+        assert len(calls) == 1 and "Scan parquet" not in found._jdf.queryExecution().executedPlan().toString()
+        calls.clear()
