@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tabellion.functions.columns import ratio
 from tabellion.functions.patterns import VALUE_PATTERNS, matches
+from tabellion.session import checkpointed
 
 SAMPLES = 5
 #: first characters of a string that are counted beside its digest
@@ -59,7 +60,10 @@ def value_counts(tables: Mapping[str, DataFrame]) -> tuple[list[ColumnRef], dict
     for family in sorted({c.family for c in columns}):
         rows, keys = _narrow(tables, columns, family), ["column", "value"]
         if family == "string":
-            rows, keys = rows.select("column", F.sha2("value", 256).alias("value"), F.substring("value", 1, PREFIX).alias("prefix")), [*keys, "prefix"]
+            # a text no longer than its prefix needs no digest; a join would add the condition to some readers of the counts
+            rows = rows.where("column is not null")
+            digest = F.when(F.length("value") > PREFIX, F.sha2("value", 256)).when(F.col("value").isNotNull(), "")
+            rows, keys = rows.select("column", digest.alias("value"), F.substring("value", 1, PREFIX).alias("prefix")), [*keys, "prefix"]
         counted[family] = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return columns, counted
 
@@ -76,7 +80,7 @@ def profile_tables(tables: Mapping[str, DataFrame], samples: int = SAMPLES, patt
     for family, counts in counted.items():
         stats = _statistics(counts, family, samples, patterns_from)
         if family == "string":
-            stats = stats.join(_string_values(tables, columns, counts, samples, patterns_from), "column", "left")
+            stats = _with_string_values(tables, columns, stats, counts, samples, patterns_from)
         per_family.append(stats.select(*_STATISTICS))
     found = reduce(DataFrame.unionByName, per_family)
     numbers = {(c.table, c.name): c.number for c in columns}
@@ -233,39 +237,57 @@ def _smallest(counts: DataFrame, samples: int, shown: Column) -> DataFrame:
     )
 
 
-def _string_values(
-    tables: Mapping[str, DataFrame], columns: list[ColumnRef], counts: DataFrame, samples: int, patterns_from: str
+def _with_string_values(
+    tables: Mapping[str, DataFrame], columns: list[ColumnRef], stats: DataFrame, counts: DataFrame, samples: int, patterns_from: str
 ) -> DataFrame:
-    """Bounds and smallest values of strings.
+    """``stats`` with the bounds and smallest values of strings.
 
     The ``samples`` smallest values begin with one of the ``samples`` smallest distinct
-    prefixes, the largest with the largest; only rows with such a prefix are read for values.
+    prefixes, the largest with the largest. A prefix shorter than PREFIX is its value; only the
+    columns in which one of these is as long are read again, for the rows with such a prefix.
     """
-    texts = _narrow(tables, columns, "string")
     # the counts stay in the condition, so that this reads the same shuffle as the statistics
     prefixes = counts.filter(F.when(F.col("n") > 0, F.col("prefix")).isNotNull()).select("column", "prefix").distinct()
     order = Window.partitionBy("column").orderBy("prefix")
     low = prefixes.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= samples)
-    low = low.groupBy("column").agg(F.max("prefix").alias("_low"))
+    low = low.groupBy("column").agg(F.array_sort(F.collect_list("prefix")).alias("_lows"))
     high = prefixes.groupBy("column").agg(F.max("prefix").alias("_high"))
-    # one row of two short strings per column: bounded by the schema
-    limits = F.broadcast(low.join(high, "column"))
-    prefix = F.substring("value", 1, PREFIX)
-    near = texts.join(limits, "column")
-    top = near.filter(prefix == F.col("_high")).groupBy("column").agg(F.max("value").alias("max_value"))
-    values = near.filter(prefix <= F.col("_low")).select("column", "value").distinct()
-    least = _smallest(values.withColumn("n", F.lit(1)), samples, F.col("value"))
-    least = least.withColumn("min_value", F.get("sample_values", F.lit(0)))
-    found = top.join(least, "column")
+    # one row per column
+    known = checkpointed(stats.join(low, "column", "left").join(high, "column", "left"))
+    longest = F.greatest(F.array_max(F.transform("_lows", F.length)), F.length("_high"))
+    cut = {r["column"] for r in known.where(longest >= PREFIX).select("column").collect()}
+    whole = known.where(~F.col("column").isin(*cut)) if cut else known
+    found = whole.where("_high is not null").select(
+        "column", F.col("_high").alias("max_value"), F.col("_lows").alias("sample_values"), F.get("_lows", F.lit(0)).alias("min_value")
+    )
+    if cut:
+        limits = known.select("column", F.element_at("_lows", -1).alias("_low"), "_high")
+        found = found.unionByName(_long_values(tables, [c for c in columns if c.number in cut], limits, samples))
     if patterns_from != "values":
-        return found.withColumn("detected_patterns", F.lit(None).cast("array<string>"))
+        return known.join(found, "column", "left").withColumn("detected_patterns", F.lit(None).cast("array<string>"))
+    texts = _narrow(tables, columns, "string")
     tested = texts.filter(F.col("value").isNotNull()).select(
         "column", F.sha2("value", 256).alias("digest"), *[matches(F.col("value"), name).alias(name) for name in VALUE_PATTERNS]
     )
     enough = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2))
     hits = [F.when(F.count_if(F.col(name)) >= enough, F.lit(name)) for name in VALUE_PATTERNS]
     per_value = tested.dropDuplicates(["column", "digest"]).groupBy("column")
-    return found.join(per_value.agg(F.array_compact(F.array(*hits)).alias("detected_patterns")), "column", "left")
+    patterns = per_value.agg(F.array_compact(F.array(*hits)).alias("detected_patterns"))
+    return known.join(found, "column", "left").join(patterns, "column", "left")
+
+
+def _long_values(tables: Mapping[str, DataFrame], columns: list[ColumnRef], limits: DataFrame, samples: int) -> DataFrame:
+    """(column, max_value, sample_values, min_value) of ``columns``, from their rows with a prefix among the limits."""
+    texts = _narrow(tables, columns, "string")
+    # one row of two short strings per column: bounded by the schema
+    near = texts.join(F.broadcast(limits), "column")
+    prefix = F.substring("value", 1, PREFIX)
+    top = near.filter(prefix == F.col("_high")).groupBy("column").agg(F.max("value").alias("max_value"))
+    values = near.filter(prefix <= F.col("_low")).select("column", "value").distinct()
+    least = _smallest(values.withColumn("n", F.lit(1)), samples, F.col("value"))
+    return top.join(least, "column").select(
+        "column", "max_value", "sample_values", F.get("sample_values", F.lit(0)).alias("min_value")
+    )
 
 
 def _patterns_of_all(value: Column, shown: Column) -> Column:

@@ -169,3 +169,16 @@ def test_both_email_patterns_find_the_same(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     plain, quick = (F.regexp_extract_all("text", F.lit(p["EMAIL"]), 0) for p in (patterns.TEXT_PATTERNS, patterns.SCAN_PATTERNS))
     assert rows.where(plain != quick).count() == 0 and rows.where(F.size(quick) > 0).count() > 100
+
+
+def test_short_strings_are_read_once(spark, tmp_path):
+    rows = [(f"s{n % 7:02d}", ("x" * 64 + str(n % 5)) if n % 2 else None, "only") for n in range(40)]
+    spark.createDataFrame(rows, "short string, long string, same string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    bare = profile.profile_tables({"t": df.select("short", "same")})
+    assert "Scan parquet" not in bare._jdf.queryExecution().executedPlan().toString()
+    got = {r.column_name: r for r in profile.profile_tables({"t": df}).collect()}
+    assert (got["short"].min_value, got["short"].max_value, got["short"].distinct_count) == ("s00", "s06", 7)
+    assert got["short"].sample_values == [f"s{n:02d}" for n in range(5)]
+    assert (got["long"].min_value, got["long"].max_value) == ("x" * 64 + "0", "x" * 64 + "4")
+    assert (got["long"].distinct_count, got["long"].null_count, got["same"].sample_values) == (5, 20, ["only"])
