@@ -114,3 +114,12 @@ def test_long_chains_reach_the_dashboard_and_carry_tags(spark):
     seeds = spark.createDataFrame([("e.p.t0", "PII", "X", 1.0)], "root string, tag_name string, tag_value string, confidence double")
     assert lineage.propagate(edges, seeds).agg(F.max("hop_count")).first()[0] == 15
     assert {r.node for r in lineage.reachable(edges, roots(spark, "t12", "t13")).collect()} == {"t14", "dashboard.d"}
+
+
+def test_accuracy_holds_no_side_of_its_join(spark):
+    gold = spark.createDataFrame([("m", f"c{n}", [("s", f"c{n}"), ("t", "x")]) for n in range(20)], "target_table string, target_column string, expected_sources array<struct<table: string, column: string>>")
+    found = spark.createDataFrame([("cte_s", f"C{n}", "m", f"c{n}") for n in range(19)] * 2, "source_table string, source_column string, target_table string, target_column string")
+    verdicts, totals = lineage.accuracy(found, gold)
+    got = {r.target_column: (r.expected, r.missing) for r in verdicts.collect()}
+    assert got == {f"c{n}": (2, 1 if n < 19 else 2) for n in range(20)}
+    assert "Broadcast" not in verdicts._jdf.queryExecution().executedPlan().toString() and totals.first().correct == 0
