@@ -107,3 +107,19 @@ def test_layers_are_joined_without_the_driver(spark, monkeypatch):
     assert counts["n0", "n63"] == (1, 6) and len(counts) == sum(d * 2**d for d in range(1, 6)) + 6
     assert not [p for p in plans if "BroadcastHashJoin" in p]
     assert max(widths) <= max(int(spark.conf.get("spark.sql.shuffle.partitions")), edges.rdd.getNumPartitions())
+
+
+def test_pairs_that_feed_each_other_need_no_search_for_components(spark, monkeypatch):
+    chain = [(f"c{i}", f"c{i + 1}", "X") for i in range(8)] + [("c3", "c2", "Y"), ("c6", "c5", "Y"), ("p", "q", "X"), ("q", "p", "X")]
+    # a pair inside a larger cycle
+    larger = [("a", "b", "X"), ("b", "a", "X"), ("b", "d", "X"), ("d", "a", "Y"), ("c8", "a", "X"), ("d", "end", "X")]
+    searched, search = [], paths.strong_components
+    monkeypatch.setattr(paths, "strong_components", lambda pairs: searched.append(pairs) or search(pairs))
+    starts = ["c0", "c3", "b", "p", "end"]
+    roots = spark.createDataFrame([(n,) for n in starts], "root string")
+    for edges, upstream, searches in ((chain, True, 0), (chain + larger, False, 1)):
+        found = paths.PathIndex(spark.createDataFrame(edges, EDGES)).paths_from(roots, upstream)
+        assert len(searched) == searches
+        counts, lasts = plain(edges, starts, upstream)
+        assert {(r.root, r.node, int(r.paths), r.shortest) for r in found.counts().collect()} == counts
+        assert {(*r[:4], int(r.paths)) for r in found.last_edges().collect()} == lasts
