@@ -123,3 +123,24 @@ def test_accuracy_holds_no_side_of_its_join(spark):
     got = {r.target_column: (r.expected, r.missing) for r in verdicts.collect()}
     assert got == {f"c{n}": (2, 1 if n < 19 else 2) for n in range(20)}
     assert "Broadcast" not in verdicts._jdf.queryExecution().executedPlan().toString() and totals.first().correct == 0
+
+
+def test_tags_travel_as_numbers_and_chains_are_copied_once(spark, monkeypatch):
+    kept, frames = lineage.checkpointed, []
+
+    def recorded(df):
+        frames.append(kept(df))
+        return frames[-1]
+
+    # the only edge into n0 and n1 closes a cycle; n5 is reached twice, n0 is a root of two tags, one without a value
+    rows = [(f"n{i}", f"n{i + 1}", "DIRECT_COPY") for i in range(12)] + [("n12", "n0", "X"), ("n2", "n5", "X"), ("n2", "n5", "X"), ("n3", None, "X")]
+    edges = [(s, t, k, i) for i, (s, t, k) in enumerate(rows)]
+    seeds = spark.createDataFrame([("n0", "PII", "X", 1.0), ("n0", "PII", None, 0.5), ("n4", "PII", "X", 1.0), (None, "PII", "X", 1.0)], "root string, tag_name string, tag_value string, confidence double")
+    monkeypatch.setattr(lineage, "checkpointed", recorded)
+    found = lineage.propagate(spark.createDataFrame(edges, EDGES), seeds).collect()
+    assert {dict(f.dtypes)["_tag"] for f in frames if "_tag" in f.columns} == {"bigint"}
+    assert sum(f.count() for f in frames if "reason_chain" in f.columns) <= 2 * 3 * 13
+    got = [(r.root, r.node, round(r.confidence, 9), r.hop_count, r.reason_chain) for r in found if r.tag_value]
+    wanted = [(*r[:2], round(r[2], 9), *r[3:]) for r in breadth_first([e for e in edges if e[1]], ["n0", "n4"], 99)]
+    assert sorted(map(str, [r for r in got if r[1]])) == sorted(map(str, wanted))
+    assert len(found) - len(got) == sum(r[0] == "n0" for r in got) == 16
