@@ -196,3 +196,44 @@ def test_best_places_of_a_block():
         assert {(r["place"], r["score"]) for r in found if r["unit"] == "u"} == u
         assert {(r["place"], r["score"]) for r in found if r["unit"] == "v"} == {(1, 40), (4, 40)}
         assert {r["block"] for r in found} == {6} and len(found) == len(u) + 2
+
+
+def test_no_rows_per_word_are_kept_for_many_queries(spark, monkeypatch):
+    """What is kept between the steps are assets and queries, not the words of the texts (which filled the disk)."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    frame = spark.createDataFrame(
+        [(i, "n", " ".join(rng.choices(words, k=200)), None, "TABLE") for i in range(40)],
+        "asset_id long, name string, description string, certification_status string, asset_type string",
+    )
+    queries = {i: " ".join(rng.sample(words, 3)) for i in range(20)}
+    kept, checkpointed = [], search.checkpointed
+
+    def counted(df):
+        done = checkpointed(df)
+        kept.append((done.count(), done.columns))
+        return done
+
+    monkeypatch.setattr(search, "checkpointed", counted)
+    many = {tuple(r) for r in search.search_queries(frame, spark.createDataFrame([*queries.items()], "query_id int, query string")).collect()}
+    assert many == {tuple(r) for r in search.search(frame, queries).collect()}
+    assert kept and all(rows <= 40 for rows, _ in kept)
+
+
+def test_long_and_short_lists_marks_and_boosts_agree_with_the_plan(spark, monkeypatch):
+    """Rare and common words, the same asset in several rows and at two positions, more than one block, and ids that are null."""
+    rng = random.Random(11)
+    words = ["the", "of", *[f"rare{i}" for i in range(40)]]
+    rows = [(i, f"n{i % 7}", " ".join(rng.choices(words, weights=[20, 20, *[1] * 40], k=15)), "CERTIFIED" if i % 10 == 0 else None, "TABLE") for i in range(300)]
+    queries = {i: " ".join(rng.choices(words, k=3)) for i in range(60)}
+    schema = "asset_id long, name string, description string, certification_status string, asset_type string"
+    table = spark.createDataFrame([*queries.items()], "query_id int, query string")
+    monkeypatch.setattr(search, "BLOCK", 70)
+    frame = spark.createDataFrame(rows, schema)
+    for options in ({}, {"boost_requires_hit": True}):
+        one = {tuple(r) for r in search.search(frame, queries, **options).collect()}
+        assert {tuple(r) for r in search.search_queries(frame, table, **options).collect()} == one
+    # an asset with both states is shown once, by the better one; null ids are only found by their boost
+    odd = spark.createDataFrame([(1, "a", "the", "CERTIFIED", "TABLE"), (1, "a", "rare1", None, "TABLE"), (None, None, "of", "CERTIFIED", "TABLE")], schema)
+    got = {(r.query_id, r.asset_id): r.relevance_score for r in search.search_queries(odd, spark.createDataFrame([(1, "rare1"), (2, "of")], "query_id int, query string")).collect()}
+    assert got == {(1, 1): 70.0, (1, None): 15.0, (2, None): 15.0, (2, 1): 15.0}
