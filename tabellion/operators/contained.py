@@ -110,7 +110,7 @@ def _within(data: np.ndarray, offsets: np.ndarray, cores: Sequence[bytes]) -> np
             found[slices:] = [_distinct(np.concatenate(found[slices:]))] if len(found) > slices else []
             slices = len(found)
         low = high
-    return _distinct(joined(found, np.int64))
+    return _distinct(concatenated(found, np.int64))
 
 
 class Texts:
@@ -192,7 +192,7 @@ class Texts:
             parts.append(self._verified(np.concatenate([k for k, _ in unsure]), np.concatenate([d for _, d in unsure]), patterns))
         listed = [[p[i] for p in parts] for i in range(3)]
         parts.clear()
-        return tuple(joined(some, kind) for some, kind in zip(listed, (np.int64, np.int64, np.int32), strict=True))
+        return tuple(concatenated(some, kind) for some, kind in zip(listed, (np.int64, np.int64, np.int32), strict=True))
 
     def _by_word(self, cores: list[bytes]) -> Iterator[Runs]:
         pairs = _within(self.data, self.offsets, cores)
@@ -214,7 +214,7 @@ class Texts:
             listed.append(np.flatnonzero(marks).astype(np.int32))
             sizes.append(len(listed[-1]))
         if listed:
-            yield core[often], np.array(sizes, dtype=np.int64), joined(listed, np.int32)
+            yield core[often], np.array(sizes, dtype=np.int64), concatenated(listed, np.int32)
         first, last, core = first[~often], last[~often], core[~often]
         ends, low = np.cumsum(total[~often]), 0
         while low < len(core):
@@ -327,7 +327,7 @@ class Texts:
         return _runs(_distinct(pattern[keep] * self.n + docs[keep]), self.n)
 
 
-def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+def concatenated(parts: list[np.ndarray], kind: type) -> np.ndarray:
     """All parts in one array; each is let go when it has been copied."""
     whole = np.empty(sum(map(len, parts)), dtype=kind)
     end = len(whole)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabellion.functions.columns import any_of, joined
 from tabellion.operators.catalog import tagged_columns
-from tabellion.operators.contained import Texts, joined, stretches
+from tabellion.operators.contained import Texts, concatenated, stretches
 from tabellion.session import checkpointed
 
 # fixed values: search weights
@@ -351,7 +351,7 @@ def _best(limit: int, merged: bool):
             found.append([b.astype(np.int32) if b.max(initial=0) < 1 << 31 else b for b in (_cut(limit, *_once(*best)) if paired else best)])
             low = high
         del commons
-        which, best_places, scores = (joined([b[i] for b in found], np.int64) for i in range(3))
+        which, best_places, scores = (concatenated([b[i] for b in found], np.int64) for i in range(3))
         block = np.full(len(which), key[0].as_py(), dtype=np.int64)
         return pa.table(
             [units.dictionary.take(pa.array(which)), *map(pa.array, (block, best_places, scores))], names=["unit", "block", "place", "score"]
